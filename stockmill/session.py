@@ -1,7 +1,6 @@
 """Session set-up and the shared working folder."""
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -10,6 +9,8 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_local_dirs = {}
+
 
 def build_session(app_name="stockmill", master=None, shuffle_partitions=None, **conf):
     """A session with the settings this package is tuned for.
@@ -38,7 +39,7 @@ def build_session(app_name="stockmill", master=None, shuffle_partitions=None, **
 def shared_dir(spark):
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may leave it unset; it then gets a temporary folder that is
+    Only a local session may leave it unset; it then gets one temporary folder that is
     removed when the process ends.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None)
@@ -46,12 +47,13 @@ def shared_dir(spark):
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    base = tempfile.mkdtemp(prefix="stockmill-")
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set(CHECKPOINT_DIR, base)
-    return base
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="stockmill-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
+    return _local_dirs[app]
 
 
 def new_dir(spark, label):
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -19,6 +19,8 @@ CREATED_AT = "2025-01-01"
 _SAFETY_DAYS = (7, 14, 21)
 _LAST_SAFETY_DAYS = 30
 
+_schemas = {}
+
 
 class Feeds:
     def __init__(self, spark, sf_dir):
@@ -26,7 +28,11 @@ class Feeds:
         self.sf_dir = sf_dir
 
     def table(self, name):
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A star-schema table; its file footer is read once per process."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        if path not in _schemas:
+            _schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[path]).parquet(path)
 
     @cached_property
     def supplier_count(self):
@@ -39,14 +45,17 @@ class Feeds:
             F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name")
         )
 
-    @cached_property
-    def supplier_location(self):
-        """Location (region) of each supplier."""
+    def _located(self, lines):
+        """Order lines with the location (region) of their supplier.
+
+        The dimensions join one after the other: a join of the two would hide from the
+        planner how small they are.
+        """
+        supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
+        nation = self.table("nation").select("n_nationkey", "n_regionkey")
         return (
-            self.table("supplier").select("s_suppkey", "s_nationkey")
-            .join(self.table("nation").select("n_nationkey", "n_regionkey"),
-                  F.col("s_nationkey") == F.col("n_nationkey"))
-            .select("s_suppkey", F.col("n_regionkey").alias("location_id"))
+            lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         )
 
     @cached_property
@@ -149,8 +158,9 @@ class Feeds:
             F.last_day(F.col("l_shipdate").cast("date")).alias("snapshot_date"),
         )
         return (
-            lines.join(self.supplier_location, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy(F.col("l_partkey").alias("item_id"), "location_id", "snapshot_date")
+            self._located(lines)
+            .groupBy(F.col("l_partkey").alias("item_id"),
+                     F.col("n_regionkey").alias("location_id"), "snapshot_date")
             .agg((F.sum("l_quantity") * QTY_SCALE).cast("bigint").alias("inventory_qty"))
             .join(self.prices, "item_id")
             .select("item_id", "location_id", "inventory_qty",
@@ -185,10 +195,11 @@ class Feeds:
             flagged = F.when(F.col("l_linestatus") == status, F.col("l_quantity")).otherwise(0.0)
             return (F.sum(flagged) * QTY_SCALE).cast("bigint")
 
+        lines = self.table("lineitem").select(
+            "l_partkey", "l_suppkey", "l_quantity", "l_linestatus")
         return (
-            self.table("lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_linestatus")
-            .join(self.supplier_location, F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy(F.col("l_partkey").alias("item_id"), F.col("location_id").alias("location"))
+            self._located(lines)
+            .groupBy(F.col("l_partkey").alias("item_id"), F.col("n_regionkey").alias("location"))
             .agg(held("F").alias("current_stock"), held("O").alias("required_qty"))
             .join(self.item_master.select("item_id", "item_name", "category", "category_name",
                                           "lead_time_days"), "item_id")
