@@ -145,7 +145,8 @@ def transfer_requests(plan, request_date, days_until_need=rules.DAYS_UNTIL_NEED)
     )
 
 
-def emergency_order_requests(positions, request_date, days_until_need=rules.DAYS_UNTIL_NEED):
+def emergency_order_requests(positions, locations, request_date,
+                             days_until_need=rules.DAYS_UNTIL_NEED):
     """Order form rows for what transfers cannot cover."""
     due = F.date_add(F.lit(request_date).cast("date"), days_until_need)
     reason = F.format_string(
@@ -156,7 +157,7 @@ def emergency_order_requests(positions, request_date, days_until_need=rules.DAYS
         F.date_format("desired_delivery_date", "yyyy/MM/dd"), "reason",
     )
     return (
-        uncovered_shortages(positions)
+        uncovered_shortages(positions, locations)
         .withColumns({"desired_delivery_date": due, "reason": reason})
         .select(
             F.lit(request_date).cast("date").alias("request_date"),
@@ -177,8 +178,9 @@ def order_proposals(summary, positions, items, demand, id_chars=8):
     """
     newest = (
         summary.groupBy("item_id")
-        .agg(F.max(F.struct("month", "turnover_rate", "days_on_hand")).alias("newest"))
-        .select("item_id", "newest.*")
+        .agg(F.max("month").alias("month"),
+             F.max_by("turnover_rate", "month").alias("turnover_rate"),
+             F.max_by("days_on_hand", "month").alias("days_on_hand"))
     )
     held = positions.groupBy("item_id").agg(
         F.sum("current_stock").alias("current_stock"),

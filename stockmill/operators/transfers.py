@@ -5,57 +5,61 @@ location order, surpluses largest first.  Where a shortage and a surplus overlap
 much stock moves.  The overlaps are found by walking the interval starts in order, so an
 item with s short and u surplus locations costs s + u rows, never s * u pairs.
 
-Positions are keyed by item and location, so an item's group in these windows has at
-most one row per location.
+Positions are keyed by item and location.  ``locations`` is the number of locations, which
+bounds the rows of one item: up to ``ROWS_PER_TASK`` an item is handled in one task,
+beyond it (or when the number is unknown) items are split over tasks.
 """
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from stockmill.functions import stock
+from stockmill.functions.ordered import carry_forward, running_sums
+
+ROWS_PER_TASK = 1_000_000
 
 _SHORT, _SURPLUS = 1, 0
 
 
-def _intervals(positions):
+def _must_split(locations):
+    return locations is None or locations > ROWS_PER_TASK
+
+
+def _intervals(positions, split):
     """Short and surplus positions with their interval [start, stop) on the item's line."""
-    sided = positions.withColumn("net", stock.net_position()).filter(F.col("net") != 0)
-    sided = sided.withColumn("side", F.when(F.col("net") < 0, _SHORT).otherwise(_SURPLUS))
-    is_short = F.col("side") == _SHORT
-    # one ordering and one partitioning serve both running sums
-    line = (
-        Window.partitionBy("item_id")
-        .orderBy("side", F.when(~is_short, -F.col("net")), "location")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    net = positions.withColumn("net", stock.net_position()).filter(F.col("net") != 0)
+    is_short = F.col("net") < 0
     amount = F.abs("net")
-    stop = F.when(is_short, F.sum(F.when(is_short, amount)).over(line)).otherwise(
-        F.sum(F.when(~is_short, amount)).over(line)
-    )
-    return sided.withColumns({"amount": amount, "stop": stop}).withColumn(
-        "start", F.col("stop") - F.col("amount")
+    sided = net.withColumns({
+        "side": F.when(is_short, _SHORT).otherwise(_SURPLUS),
+        "amount": amount,
+        "short_amount": F.when(is_short, amount),
+        "surplus_amount": F.when(~is_short, amount),
+        "size_rank": F.when(~is_short, -amount).otherwise(0),
+    })
+    lines = running_sums(
+        sided, "item_id", ["side", "size_rank", "location"],
+        {"short_stop": "short_amount", "surplus_stop": "surplus_amount"}, split,
     )
+    stop = F.when(F.col("side") == _SHORT, F.col("short_stop")).otherwise(F.col("surplus_stop"))
+    return lines.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("amount"))
 
 
-def transfer_plan(positions):
+def transfer_plan(positions, locations):
     """Quantity to move from each source to each target location, per item."""
-    lines = _intervals(positions)
-    walk = (
-        Window.partitionBy("item_id")
-        .orderBy("start", "side")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    split = _must_split(locations)
+    short = F.col("side") == _SHORT
+    starts = _intervals(positions, split).select(
+        "item_id", "item_name", "lead_time_days", "start", "side",
+        F.when(~short, F.col("location")).alias("source_location"),
+        F.when(~short, F.col("stop")).alias("source_stop"),
+        F.when(short, F.col("location")).alias("target_location"),
+        F.when(short, F.col("stop")).alias("target_stop"),
+        F.when(short, F.col("amount")).alias("shortage_qty"),
     )
-    is_short = F.col("side") == _SHORT
-
-    def current(side, column):
-        return F.last(F.when(side, F.col(column)), ignorenulls=True).over(walk)
-
-    paired = lines.select(
-        "item_id", "item_name", "lead_time_days", "start",
-        current(~is_short, "location").alias("source_location"),
-        current(~is_short, "stop").alias("source_stop"),
-        current(is_short, "location").alias("target_location"),
-        current(is_short, "stop").alias("target_stop"),
-        current(is_short, "amount").alias("shortage_qty"),
+    paired = carry_forward(
+        starts, "item_id", ["start", "side"],
+        ["source_location", "source_stop", "target_location", "target_stop", "shortage_qty"],
+        split,
     )
     end = F.least("source_stop", "target_stop")
     return (
@@ -71,24 +75,23 @@ def transfer_plan(positions):
     )
 
 
-def uncovered_shortages(positions):
+def uncovered_shortages(positions, locations):
     """Short positions that the item's surplus cannot fill, with the missing quantity.
 
     A shortage is covered as far as its interval lies below the item's total surplus,
     so the plan itself need not be joined back.
     """
-    is_short = F.col("side") == _SHORT
-    item_surplus = F.coalesce(
-        F.sum(F.when(~is_short, F.col("amount"))).over(Window.partitionBy("item_id")), F.lit(0)
-    )
-    covered = F.greatest(F.least("stop", "item_surplus") - F.col("start"), F.lit(0))
+    held = positions.withColumn("net", stock.net_position()).filter(F.col("net") > 0)
+    surplus = held.groupBy("item_id").agg(F.sum("net").alias("item_surplus"))
+    covered = F.greatest(
+        F.least("stop", F.coalesce("item_surplus", F.lit(0))) - F.col("start"), F.lit(0))
     return (
-        _intervals(positions)
-        .withColumn("item_surplus", item_surplus)
-        .filter(is_short)
+        _intervals(positions, _must_split(locations))
+        .filter(F.col("side") == _SHORT)
+        .join(surplus, "item_id", "left")
         .withColumn("covered_qty", covered)
         .withColumn("order_qty", F.col("amount") - F.col("covered_qty"))
         .filter(F.col("order_qty") > 0)
-        .drop("net", "side", "start", "stop", "item_surplus")
-        .withColumnRenamed("amount", "shortage_qty")
+        .select(*positions.columns, F.col("amount").alias("shortage_qty"),
+                "covered_qty", "order_qty")
     )

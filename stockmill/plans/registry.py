@@ -592,7 +592,7 @@ def transfer_plan(t):
 
 @query
 def emergency_order_request(t):
-    return actions.emergency_order_requests(t.positions, REQUEST_DATE)
+    return actions.emergency_order_requests(t.positions, t.location_count, REQUEST_DATE)
 
 
 @query

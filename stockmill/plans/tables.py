@@ -69,9 +69,14 @@ class Tables:
         held = held.withColumns({c: held[c].cast("string") for c in ("item_id", "location")})
         return held.unionByName(literals.shortage_entries(self.spark))
 
+    @cached_property
+    def location_count(self):
+        """Number of locations, from their own dimension."""
+        return self.feeds.table("nation").select("n_regionkey").distinct().count()
+
     @cached_property
     def transfers(self):
-        return transfer_plan(self.positions)
+        return transfer_plan(self.positions, self.location_count)
 
     def gold_tables(self):
         return {

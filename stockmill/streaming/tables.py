@@ -14,22 +14,30 @@ from stockmill.schemas import FEEDS
 from stockmill.sources.landing import feed_path
 
 DEDUPE_SALTS = 16
+BATCH_BYTES = 1 << 40
+
+
+def _reader(spark, schema, max_files):
+    """Batches hold at most ``max_files`` files, or else about ``BATCH_BYTES``.
+
+    A backlog of any size is thus worked off in batches whose state and output commit one
+    after the other, and a restart repeats one batch at most.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        return reader.option("maxFilesPerTrigger", max_files)
+    return reader.option("maxBytesPerTrigger", BATCH_BYTES)
 
 
 def read_landing_stream(spark, root, feed, max_files=None):
     """New CSV files of a feed."""
-    reader = spark.readStream.schema(FEEDS[feed]).option("header", True)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(feed_path(root, feed))
+    reader = _reader(spark, FEEDS[feed], max_files)
+    return reader.option("header", True).csv(feed_path(root, feed))
 
 
 def read_table_stream(spark, path, schema, max_files=None):
     """New files of a table written by a stream."""
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return _reader(spark, schema, max_files).parquet(path)
 
 
 def write_streaming_table(df, path, checkpoint):

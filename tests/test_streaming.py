@@ -116,3 +116,13 @@ def test_whole_pipeline_on_generated_feeds(spark, fresh):
 
 def test_landing_path_default(spark):
     assert landing.landing_path(spark) == landing.DEFAULT_LANDING_PATH
+
+
+def test_command_line(spark, fresh, capsys):
+    from stockmill.__main__ import main
+
+    main(["generate", "--landing", f"{fresh}/in", "--items", "30", "--orders", "60"], spark)
+    main(["update", "--landing", f"{fresh}/in", "--out", f"{fresh}/out"], spark)
+    main(["report", "--out", f"{fresh}/out"], spark)
+    shown = capsys.readouterr().out
+    assert "avg_gap_rate_pct" in shown and "overstock_count" in shown and "SUP-" in shown

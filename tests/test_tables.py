@@ -8,7 +8,7 @@ from stockmill.plans import generate
 from stockmill.plans.registry import QUERIES
 from stockmill.plans.tables import Tables
 from stockmill.schemas import OVERSTOCK_ENTRIES
-from stockmill.session import shared_dir
+from stockmill.session import new_dir, shared_dir
 from stockmill.sources.literals import overstock_entries
 
 
@@ -174,10 +174,18 @@ def test_item_with_a_third_of_all_snapshots(spark):
     assert got.filter("item_id = '0'").first().avg_inventory_qty == 4.5
 
 
-def test_shared_dir_reads_the_session_setting(spark, fresh):
-    assert shared_dir(spark) == shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    try:
-        assert shared_dir(spark) == fresh
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class _Session:
+    """Just enough of a session to ask for its settings."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+
+
+def test_shared_dir_is_the_session_setting():
+    assert shared_dir(_Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert new_dir(_Session("yarn", "hdfs:///shared/"), "x").startswith("hdfs:///shared/x-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("yarn"))
+    local = _Session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
