@@ -29,6 +29,7 @@ def build_session(app_name="stockmill", master=None, shuffle_partitions=None, **
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.numRecentProgressUpdates": "10000",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     }
     settings.update(conf)

@@ -5,7 +5,8 @@ in one or more batches, and stops.  The checkpoint remembers the files, so the n
 takes only new ones.
 """
 
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from stockmill.operators.dedupe import KEYS
 from stockmill.operators.quality import EXPECTATIONS, apply_expectations
@@ -13,7 +14,6 @@ from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
 from stockmill.sources.landing import feed_path
 
-DEDUPE_SALTS = 16
 BATCH_BYTES = 1 << 40
 
 
@@ -54,25 +54,34 @@ def write_streaming_table(df, path, checkpoint):
     return query
 
 
-def dedupe_stream(df, keys, salts=DEDUPE_SALTS, watermark=None):
-    """First arrival of each key, across batches.
+def collapse_copies(df, keys):
+    """Drop repeated keys inside each Arrow batch, before any shuffle.
 
-    A key with very many copies would send all of them to one state task.  With ``salts``
-    the copies are first reduced within each of several sub-groups, by input partition,
-    and the few survivors then meet under the plain key.  ``watermark`` (column, delay)
-    bounds the state for feeds whose copies arrive close together.
+    Built-in stream operators do not combine on the map side, so a key with very many
+    copies would send them all to one state task.  This leaves it one row per batch of
+    input rows.  It keeps no state and needs no shuffle.
     """
-    def drop(frame, columns):
-        if watermark:
-            return frame.dropDuplicatesWithinWatermark(columns)
-        return frame.dropDuplicates(columns)
+    def first_rows(batches):
+        for batch in batches:
+            table = pa.table(
+                {**{k: batch.column(k) for k in keys}, "_row": pa.array(range(batch.num_rows))})
+            kept = table.group_by(keys, use_threads=False).aggregate([("_row", "min")])
+            yield batch.take(kept.column("_row_min").combine_chunks())
+
+    return df.mapInArrow(first_rows, df.schema)
+
+
+def dedupe_stream(df, keys, collapse=True, watermark=None):
+    """First arrival of each key, across batches.
 
+    ``watermark`` (column, delay) bounds the state for feeds whose copies arrive close
+    together; without it the state holds every key seen.
+    """
+    if collapse:
+        df = collapse_copies(df, keys)
     if watermark:
-        df = df.withWatermark(*watermark)
-    if salts:
-        salted = df.withColumn("_salt", F.spark_partition_id() % salts)
-        df = drop(salted, [*keys, "_salt"]).drop("_salt")
-    return drop(df, keys)
+        return df.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
+    return df.dropDuplicates(keys)
 
 
 def silver_stream(bronze, table, observe=True, **dedupe_options):
@@ -85,14 +94,16 @@ def silver_stream(bronze, table, observe=True, **dedupe_options):
 def observed_violations(query, table):
     """Violations per rule, summed over the batches of a finished query.
 
-    The query keeps its newest 100 progress entries; a longer run raises rather than
-    report a partial count.
+    A query keeps a limited number of progress entries; a run that reached the limit
+    raises rather than report a partial count.
     """
-    totals = {}
+    limit = int(SparkSession.active().conf.get(
+        "spark.sql.streaming.numRecentProgressUpdates", "100"))
     progress = query.recentProgress
-    if progress and progress[0].batchId > 0 and len(progress) >= 100:
-        raise RuntimeError("progress history is incomplete; raise "
+    if len(progress) >= limit:
+        raise RuntimeError("progress history is full; raise "
                            "spark.sql.streaming.numRecentProgressUpdates")
+    totals = {}
     for step in progress:
         row = step.observedMetrics.get(f"{table}_quality")
         if row is not None:

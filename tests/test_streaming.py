@@ -39,7 +39,7 @@ def test_second_run_takes_only_new_files(spark, fresh):
     assert medallion.read_layer(spark, out, "bronze", "inventory").count() == 57
 
 
-@pytest.mark.parametrize("options", [{}, {"salts": None}, {"watermark": ("snapshot_date_ts", "1 day")}])
+@pytest.mark.parametrize("options", [{}, {"collapse": False}, {"watermark": ("snapshot_date_ts", "1 day")}])
 def test_dedupe_across_batches(spark, fresh, options):
     rows = stock_rows(spark, 200, copies=3)
     landing.land(rows.repartition(5), fresh, "inventory")
@@ -67,6 +67,14 @@ def test_hot_key_stream(spark, fresh):
     assert got.filter("item_id = 'hot'").count() == 1
 
 
+def test_copies_collapse_before_the_shuffle(spark):
+    rows = spark.createDataFrame(
+        [("a", None, 1), ("a", None, 2), (None, 1, 3), (None, 1, 4), ("b", 1, 5)],
+        "k string, l int, v int").coalesce(1)
+    got = sorted(tables.collapse_copies(rows, ["k", "l"]).collect(), key=str)
+    assert [r.v for r in got] == [1, 5, 3]
+
+
 def test_gate_counts_over_batches(spark, fresh):
     rows = stock_rows(spark, 100).withColumn(
         "inventory_qty", F.when(F.col("inventory_qty") < 10, -1).otherwise(F.col("inventory_qty")))
