@@ -31,24 +31,20 @@ def overstock_kpi(alerts, min_days=rules.KPI_DAYS):
     )
 
 
-def inventory_trend(summary):
-    return (
-        summary.groupBy("month", "category")
-        .agg(F.sum("avg_inventory_value").alias("avg_inventory_value"))
-        .orderBy("month", "category")
+def inventory_trend(summary, ordered=True):
+    """``ordered=False`` spares the sort where a roll-up follows."""
+    trend = summary.groupBy("month", "category").agg(
+        F.sum("avg_inventory_value").alias("avg_inventory_value")
     )
+    return trend.orderBy("month", "category") if ordered else trend
 
 
-def category_breakdown(summary):
-    return (
-        latest_month(summary)
-        .groupBy("category")
-        .agg(
-            F.sum("avg_inventory_value").alias("total_value"),
-            F.count_distinct("item_id").alias("item_count"),
-        )
-        .orderBy(F.desc("total_value"), "category")
+def category_breakdown(summary, ordered=True):
+    breakdown = latest_month(summary).groupBy("category").agg(
+        F.sum("avg_inventory_value").alias("total_value"),
+        F.count_distinct("item_id").alias("item_count"),
     )
+    return breakdown.orderBy(F.desc("total_value"), "category") if ordered else breakdown
 
 
 def overstock_alerts(alerts, min_days=rules.ALERT_DAYS, rows=rules.ALERT_ROWS):
@@ -71,8 +67,9 @@ def overstock_worst(alerts, rows=rules.WORST_ROWS):
     )
 
 
-def turnover_trend(analysis):
-    return analysis.select("month", "category", "avg_turnover_rate").orderBy("month", "category")
+def turnover_trend(analysis, ordered=True):
+    trend = analysis.select("month", "category", "avg_turnover_rate")
+    return trend.orderBy("month", "category") if ordered else trend
 
 
 def supplier_leadtime(receipts, rows=rules.SUPPLIER_ROWS):

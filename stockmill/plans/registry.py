@@ -443,19 +443,19 @@ def overstock_category_summary(t):
 
 @query
 def widget_inventory_trend(t):
-    trend = marts.inventory_trend(t.summary)
+    trend = marts.inventory_trend(t.summary, ordered=False)
     return rounded(marts.widget_inventory_trend(trend), 2, "sum_inventory_value")
 
 
 @query
 def widget_turnover_trend(t):
-    trend = marts.turnover_trend(t.analysis)
+    trend = marts.turnover_trend(t.analysis, ordered=False)
     return rounded(marts.widget_turnover_trend(trend), 10, "avg_turnover_rate")
 
 
 @query
 def widget_category_value(t):
-    breakdown = marts.category_breakdown(t.summary)
+    breakdown = marts.category_breakdown(t.summary, ordered=False)
     return rounded(marts.widget_category_value(breakdown), 2, "sum_total_value")
 
 
