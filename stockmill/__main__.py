@@ -1,7 +1,7 @@
 """Command line: ``spark-submit`` this file, or ``python -m stockmill``.
 
   generate --landing DIR [--items N] [--orders N] [--dry-run]
-  update   --landing DIR --out DIR
+  update   --landing DIR --out DIR [--database NAME]
   report   --out DIR
 """
 
@@ -22,11 +22,13 @@ def _generate(spark, args):
 
 def _update(spark, args):
     medallion.run_pipeline(spark, args.out, args.landing)
+    if args.database:
+        medallion.register_layers(spark, args.out, args.database)
 
 
 def _report(spark, args):
     gold = {name: spark.read.parquet(f"{args.out}/gold/{name}")
-            for name in ("inventory_summary", "turnover_analysis", "overstock_alert")}
+            for name in medallion.GOLD}
     receipts = medallion.read_layer(spark, args.out, "silver", "receipts")
     marts.widget_counters(
         marts.inventory_kpi(gold["inventory_summary"]),
@@ -50,6 +52,7 @@ def main(argv=None, spark=None):
     update = commands.add_parser("update")
     update.add_argument("--landing", default=None)
     update.add_argument("--out", required=True)
+    update.add_argument("--database", default=None)
     update.set_defaults(run=_update)
     report = commands.add_parser("report")
     report.add_argument("--out", required=True)

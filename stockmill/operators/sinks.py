@@ -5,13 +5,12 @@ from pyspark.sql import functions as F
 from stockmill.schemas import ORDER_PROPOSALS, conform
 
 
-def _register(spark, name, path, comment, properties):
-    """Name a written folder in the session catalog, with comment and properties."""
+def register_table(spark, name, path, comment=None, layer=None):
+    """Name a written folder in the session catalog; ``layer`` becomes its quality tag."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.catalog.createTable(name, path=path, source="parquet", description=comment)
-    if properties:
-        pairs = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
+    if layer:
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('quality' = '{layer}')")
 
 
 def write_materialized_view(df, path, layer="gold", name=None, comment=None, cluster_by=None):
@@ -28,7 +27,7 @@ def write_materialized_view(df, path, layer="gold", name=None, comment=None, clu
         df = df.hint("rebalance")
     df.write.mode("overwrite").parquet(path)
     if name:
-        _register(spark, name, path, comment, {"quality": layer})
+        register_table(spark, name, path, comment, layer)
     return spark.read.parquet(path)
 
 
@@ -37,7 +36,7 @@ def create_or_replace_table(df, schema, path, name=None, comment=None):
     spark = df.sparkSession
     conform(df, schema).write.mode("overwrite").parquet(path)
     if name:
-        _register(spark, name, path, comment, None)
+        register_table(spark, name, path, comment)
     return spark.read.schema(schema).parquet(path)
 
 

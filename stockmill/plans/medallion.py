@@ -2,12 +2,13 @@
 
 from stockmill.operators import gold
 from stockmill.operators.dedupe import KEYS
-from stockmill.operators.sinks import write_materialized_view
+from stockmill.operators.sinks import register_table, write_materialized_view
 from stockmill.schemas import FEEDS
 from stockmill.sources.landing import landing_path, read_item_master
 from stockmill.streaming import tables
 
 STREAMED = ("orders", "inventory", "receipts", "demand")
+GOLD = ("inventory_summary", "turnover_analysis", "overstock_alert")
 
 
 def ingest_bronze(spark, feed, landing, out, max_files=None):
@@ -55,3 +56,13 @@ def run_pipeline(spark, out, landing=None, max_files=None):
     for table in KEYS:
         refresh_silver(spark, table, out, max_files)
     return rebuild_gold(spark, read_item_master(spark, landing), out)
+
+
+def register_layers(spark, out, database):
+    """Name all stored tables in the catalog, tagged with their layer."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    stored = [("bronze", f"raw_{feed}", feed) for feed in STREAMED]
+    stored += [("silver", table, table) for table in KEYS]
+    stored += [("gold", table, table) for table in GOLD]
+    for layer, name, folder in stored:
+        register_table(spark, f"{database}.{name}", f"{out}/{layer}/{folder}", layer=layer)

@@ -725,4 +725,4 @@ def stream_resume(t):
         stream = streams.read_landing_stream(t.spark, root, "inventory")
         streams.write_streaming_table(
             stream.withColumn("ingest_run", F.lit(run)), f"{out}/rows", f"{out}/checkpoint")
-    return t.spark.read.parquet(f"{out}/rows")
+    return t.spark.read.parquet(f"{out}/rows").drop(landing.CORRUPT)

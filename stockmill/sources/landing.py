@@ -1,9 +1,12 @@
 """CSV landing folders."""
 
+from pyspark.sql.types import StringType, StructField, StructType
+
 from stockmill.schemas import FEEDS
 
 LANDING_PATH = "stockmill.landing_path"
 DEFAULT_LANDING_PATH = "landing"
+CORRUPT = "_corrupt_record"
 
 
 def landing_path(spark):
@@ -15,6 +18,11 @@ def feed_path(root, feed):
     return f"{root.rstrip('/')}/{feed}"
 
 
+def with_corrupt_record(schema):
+    """The schema plus a column that keeps the text of rows that do not fit it."""
+    return StructType([*schema.fields, StructField(CORRUPT, StringType())])
+
+
 def read_csv(spark, path, schema):
     return spark.read.schema(schema).option("header", True).csv(path)
 

@@ -12,7 +12,7 @@ from stockmill.operators.dedupe import KEYS
 from stockmill.operators.quality import EXPECTATIONS, apply_expectations
 from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
-from stockmill.sources.landing import feed_path
+from stockmill.sources.landing import CORRUPT, feed_path, with_corrupt_record
 
 BATCH_BYTES = 1 << 40
 
@@ -30,9 +30,15 @@ def _reader(spark, schema, max_files):
 
 
 def read_landing_stream(spark, root, feed, max_files=None):
-    """New CSV files of a feed."""
-    reader = _reader(spark, FEEDS[feed], max_files)
-    return reader.option("header", True).csv(feed_path(root, feed))
+    """New CSV files of a feed; a field that does not fit its type becomes NULL and the
+    row's text is kept in ``_corrupt_record``."""
+    reader = _reader(spark, with_corrupt_record(FEEDS[feed]), max_files)
+    return (
+        reader.option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(feed_path(root, feed))
+    )
 
 
 def read_table_stream(spark, path, schema, max_files=None):

@@ -130,7 +130,32 @@ def test_command_line(spark, fresh, capsys):
     from stockmill.__main__ import main
 
     main(["generate", "--landing", f"{fresh}/in", "--items", "30", "--orders", "60"], spark)
-    main(["update", "--landing", f"{fresh}/in", "--out", f"{fresh}/out"], spark)
+    main(["update", "--landing", f"{fresh}/in", "--out", f"{fresh}/out",
+          "--database", "stock_t"], spark)
     main(["report", "--out", f"{fresh}/out"], spark)
     shown = capsys.readouterr().out
     assert "avg_gap_rate_pct" in shown and "overstock_count" in shown and "SUP-" in shown
+    try:
+        tags = {r.key: r.value
+                for r in spark.sql("SHOW TBLPROPERTIES stock_t.raw_orders").collect()}
+        assert tags["quality"] == "bronze"
+        assert spark.table("stock_t.orders").count() == 60
+        assert len(spark.catalog.listTables("stock_t")) == 10
+    finally:
+        spark.sql("DROP DATABASE stock_t CASCADE")
+
+
+def test_malformed_rows_are_kept_and_judged(spark, fresh):
+    lines = ["item_id,location_id,inventory_qty,inventory_value,snapshot_date",
+             "a,w,5,1.5,2025-03-31", "b,w,many,1.5,2025-03-31", "c,w,7"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(
+        f"{fresh}/inventory")
+    out = f"{fresh}/out"
+    medallion.ingest_bronze(spark, "inventory", fresh, out)
+    medallion.refresh_silver(spark, "inventory", out)
+    bronze = {r.item_id: r for r in spark.read.parquet(f"{out}/bronze/inventory").collect()}
+    assert bronze["a"]._corrupt_record is None
+    assert bronze["b"].inventory_qty is None and "many" in bronze["b"]._corrupt_record
+    assert bronze["c"].inventory_qty == 7 and bronze["c"].inventory_value is None
+    silver = medallion.read_layer(spark, out, "silver", "inventory")
+    assert [r.item_id for r in silver.collect()] == ["a"]
