@@ -27,6 +27,8 @@ def _update(spark, args):
 
 
 def _report(spark, args):
+    for table in medallion.health(spark, args.out):
+        table.show()
     gold = {name: spark.read.parquet(f"{args.out}/gold/{name}")
             for name in medallion.GOLD}
     receipts = medallion.read_layer(spark, args.out, "silver", "receipts")

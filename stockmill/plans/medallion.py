@@ -1,8 +1,11 @@
 """The whole pipeline: landing folders to bronze, silver and gold tables."""
 
-from stockmill.operators import gold
+from functools import reduce
+
+from stockmill.operators import gold, quality
 from stockmill.operators.dedupe import KEYS
 from stockmill.operators.sinks import register_table, write_materialized_view
+from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
 from stockmill.sources.landing import landing_path, read_item_master
 from stockmill.streaming import tables
@@ -58,11 +61,28 @@ def run_pipeline(spark, out, landing=None, max_files=None):
     return rebuild_gold(spark, read_item_master(spark, landing), out)
 
 
+def stored_tables(out):
+    """(layer, table name, folder) of every table the pipeline stores."""
+    found = [("bronze", f"raw_{feed}", f"{out}/bronze/{feed}") for feed in STREAMED]
+    found += [("silver", table, f"{out}/silver/{table}") for table in KEYS]
+    found += [("gold", table, f"{out}/gold/{table}") for table in GOLD]
+    return found
+
+
 def register_layers(spark, out, database):
     """Name all stored tables in the catalog, tagged with their layer."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    stored = [("bronze", f"raw_{feed}", feed) for feed in STREAMED]
-    stored += [("silver", table, table) for table in KEYS]
-    stored += [("gold", table, table) for table in GOLD]
-    for layer, name, folder in stored:
-        register_table(spark, f"{database}.{name}", f"{out}/{layer}/{folder}", layer=layer)
+    for layer, name, path in stored_tables(out):
+        register_table(spark, f"{database}.{name}", path, layer=layer)
+
+
+def health(spark, out):
+    """Tables and rows per layer, and the share of bronze rows that pass their rules."""
+    layers = quality.layer_row_counts(
+        [(layer, name, spark.read.parquet(path)) for layer, name, path in stored_tables(out)])
+    rates = [
+        quality.pass_rate(typed(read_layer(spark, out, "bronze", table), table), table,
+                          quality.EXPECTATIONS[table])
+        for table in KEYS
+    ]
+    return layers, reduce(lambda a, b: a.unionByName(b), rates)

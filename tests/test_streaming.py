@@ -135,6 +135,7 @@ def test_command_line(spark, fresh, capsys):
     main(["report", "--out", f"{fresh}/out"], spark)
     shown = capsys.readouterr().out
     assert "avg_gap_rate_pct" in shown and "overstock_count" in shown and "SUP-" in shown
+    assert "pass_rate_pct" in shown and "bronze" in shown
     try:
         tags = {r.key: r.value
                 for r in spark.sql("SHOW TBLPROPERTIES stock_t.raw_orders").collect()}
