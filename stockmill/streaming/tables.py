@@ -5,6 +5,7 @@ in one or more batches, and stops.  The checkpoint remembers the files, so the n
 takes only new ones.
 """
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
@@ -69,9 +70,9 @@ def collapse_copies(df, keys):
     """
     def first_rows(batches):
         for batch in batches:
-            table = pa.table(
-                {**{k: batch.column(k) for k in keys}, "_row": pa.array(range(batch.num_rows))})
-            kept = table.group_by(keys, use_threads=False).aggregate([("_row", "min")])
+            columns = {k: batch.column(k) for k in keys}
+            columns["_row"] = np.arange(batch.num_rows)
+            kept = pa.table(columns).group_by(keys, use_threads=False).aggregate([("_row", "min")])
             yield batch.take(kept.column("_row_min").combine_chunks())
 
     return df.mapInArrow(first_rows, df.schema)

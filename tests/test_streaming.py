@@ -73,6 +73,7 @@ def test_copies_collapse_before_the_shuffle(spark):
         "k string, l int, v int").coalesce(1)
     got = sorted(tables.collapse_copies(rows, ["k", "l"]).collect(), key=str)
     assert [r.v for r in got] == [1, 5, 3]
+    assert tables.collapse_copies(rows.filter("v > 9"), ["k", "l"]).count() == 0
 
 
 def test_gate_counts_over_batches(spark, fresh):
