@@ -3,9 +3,10 @@
 Two zstandard dictionaries are built from labelled good and bad texts.  A text is cut into
 blocks, so that long texts keep needing the dictionary, and every block is compressed with
 each.  The difference of the two sizes, divided by the text's length, goes through a logistic
-curve fitted on other labelled texts: the score.
+curve fitted on other labelled texts: the score.  The curve also knows how short a text is,
+as a short one shows little difference either way.
 
-An empty or null text has difference zero and so the curve's middle score.  Rows are scored
+An empty or null text has difference zero and the greatest shortness.  Rows are scored
 alone: repeated rows, ties, null ids and extra columns do not matter.  With fewer than
 ``MIN_PER_CLASS`` usable texts of either label every text gets the share of good labels (1.0
 when nothing is labelled), so that a filter keeps what it cannot judge.
@@ -36,8 +37,7 @@ _PRIOR_BYTES = 64
 class Model:
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    curve: tuple  # slope, weight of shortness, offset
 
 
 def _compressor(dictionary):
@@ -48,16 +48,17 @@ def _compressor(dictionary):
 
 
 def _difference(text, good, bad):
-    """Bytes that the good dictionary saves over the bad one, per byte of text."""
+    """Bytes that the good dictionary saves over the bad one, per byte of text; shortness; 1."""
     saved = 0
     for start in range(0, len(text), BLOCK_BYTES):
         block = text[start:start + BLOCK_BYTES]
         saved += len(bad.compress(block)) - len(good.compress(block))
-    return saved / (len(text) + _PRIOR_BYTES)
+    return saved / (len(text) + _PRIOR_BYTES), _PRIOR_BYTES / (len(text) + _PRIOR_BYTES), 1.0
 
 
-def _logistic(x):
-    return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
+def _logistic(curve, x):
+    z = sum(a * b for a, b in zip(curve, x))
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
 
 def _dictionary(texts):
@@ -69,19 +70,19 @@ def _dictionary(texts):
         return b"".join(texts)[:DICTIONARY_BYTES] or b"\n" * 8
 
 
-def _curve(x, y, ridge=1e-4, rounds=100):
-    """Slope and offset of a logistic curve, by Newton steps on standardised differences."""
-    scale = float(np.std(x)) or 1.0
-    z = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
+def _curve(x, y, ridge=1e-3, rounds=100):
+    """Weights of a logistic curve, by Newton steps on scaled columns."""
+    scale = np.where(np.std(x, 0) > 0, np.std(x, 0), 1)
+    z = x / scale
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge * np.eye(2),
-                               z.T @ (y - p) - ridge * w)
+        hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, z.T @ (y - p) - ridge * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return w / scale
 
 
 def fit(docs, labels, doc_id="doc_id", text="text", label="quality",
@@ -110,7 +111,7 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="quality",
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 1.0
     if min(len(parts[0]), len(parts[1])) < MIN_PER_CLASS:
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(b"\n" * 8, b"\n" * 8, 0.0, math.log(share / (1 - share)))
+        return Model(b"\n" * 8, b"\n" * 8, (0.0, 0.0, math.log(share / (1 - share))))
     good, bad = _dictionary(parts[1][::2]), _dictionary(parts[0][::2])
     with_good, with_bad = _compressor(good), _compressor(bad)
     x, y, weight = [], [], {k: counts[k] / len(parts[k][1::2]) for k in parts}
@@ -118,9 +119,9 @@ def fit(docs, labels, doc_id="doc_id", text="text", label="quality",
         for t in parts[k][1::2]:
             x.append(_difference(t, with_good, with_bad))
             y.append(k)
-    slope, offset = _curve(np.array(x), np.array(y, float))
+    slope, short, offset = _curve(np.array(x), np.array(y, float)).tolist()
     # the sample holds the labels in other shares than the table
-    return Model(good, bad, slope, offset + math.log(weight[1] / weight[0]))
+    return Model(good, bad, (slope, short, offset + math.log(weight[1] / weight[0])))
 
 
 def score(docs, model, text="text"):
@@ -132,9 +133,8 @@ def score(docs, model, text="text"):
         good, bad = _compressor(held.good), _compressor(held.bad)
 
         def compute(texts):
-            return [[
-                _logistic(held.slope * _difference((t or "").encode(), good, bad) + held.offset)
-                for t in texts.to_pylist()]]
+            return [[_logistic(held.curve, _difference((t or "").encode(), good, bad))
+                     for t in texts.to_pylist()]]
 
         return compute
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stockmill.llm import decontaminate, language_id, quality, sharding
+from stockmill.llm import decontaminate, language_id, line_dedup, quality, sharding
 from stockmill.llm.common import held_out, table
 
 QUERIES, ORACLE = {}, {}
@@ -27,6 +27,15 @@ def op1_decontamination(spark, sf_dir):
         joined_ids(F.col("out.items")).alias("items_sha256"), "out.contaminated")
 
 
+@query
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedupe_lines(docs).select(
+        "row.doc_id", "out.n_lines", F.size("out.dropped").cast("bigint").alias("n_dropped"),
+        joined_ids(F.col("out.dropped")).alias("dropped_sha256"),
+        F.sha2(F.coalesce("out.text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -83,3 +92,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
 """
+
+ORACLE["op2_line_dedup"] = r"""
+WITH cut AS (
+  SELECT doc_id, i - 1 AS line, parts[i] AS body,
+    regexp_extract_all(translate(parts[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts
+              FROM documents WHERE text <> ''))),
+lines AS (SELECT doc_id, line, body, len(w) AS n, array_to_string(w, ' ') AS phrase, w FROM cut),
+firsts AS (
+  SELECT phrase, any_value(w) AS w, any_value(n) AS n, min(doc_id * 1000000 + line) AS spot
+  FROM lines WHERE n >= 3 GROUP BY phrase),
+variants AS (
+  SELECT phrase, spot, i AS gone, array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' ') AS v
+  FROM (SELECT phrase, spot, w, unnest(generate_series(1, n)) AS i FROM firsts WHERE n >= 8)),
+same AS (SELECT v, gone, min(spot) AS low FROM variants GROUP BY v, gone),
+part AS (SELECT v, min(spot) AS low FROM variants GROUP BY v),
+near AS (
+  SELECT phrase FROM variants JOIN same USING (v, gone) WHERE low < spot
+  UNION SELECT a.phrase FROM variants a JOIN firsts b ON a.v = b.phrase
+    WHERE b.n >= 8 AND b.spot < a.spot
+  UNION SELECT f.phrase FROM firsts f JOIN part ON f.phrase = part.v
+    WHERE f.n >= 8 AND part.low < f.spot),
+judged AS (
+  SELECT doc_id, line, body, l.n >= 3 AND (near.phrase IS NOT NULL
+    OR doc_id * 1000000 + line <> spot) AS gone
+  FROM lines l LEFT JOIN firsts f ON l.phrase = f.phrase LEFT JOIN near ON l.phrase = near.phrase),
+done AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    coalesce(string_agg(line::VARCHAR, ',' ORDER BY line::VARCHAR) FILTER (gone), '') AS dropped,
+    coalesce(string_agg(body, chr(10) ORDER BY line) FILTER (NOT gone), '') AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
+  coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(dropped, '')) AS dropped_sha256,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id)
+"""
