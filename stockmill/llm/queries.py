@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from stockmill.llm import decontaminate, language_id, line_dedup, quality, sharding
+from stockmill.llm import (
+    decontaminate, language_id, line_dedup, ngram_join, quality, sharding,
+)
 from stockmill.llm.common import held_out, table
 
 QUERIES, ORACLE = {}, {}
@@ -53,6 +55,12 @@ def op4_quality(spark, sf_dir):
         (F.col("out.score") >= quality.KEEP_FROM).cast("int").alias("predicted"))
 
 
+@query
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.similar(table(spark, sf_dir, "documents")).withColumn(
+        "kept", F.col("doc_id") == F.col("component_id"))
+
+
 @query
 def op8_sharding(spark, sf_dir):
     packed = sharding.pack(table(spark, sf_dir, "documents"), shards=sharding.SHARDS)
