@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from stockmill.session import new_dir
 
 FOLDS = 5
+SLICE_BYTES = 8 << 20
 
 
 def table(spark, sf_dir, name):
@@ -33,6 +34,14 @@ def free_shuffles(spark):
     spark.sparkContext._jvm.System.gc()
 
 
+def _slices(batches):
+    """Batches of about ``SLICE_BYTES``, so that what is made of one stays small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def with_arrow_columns(df, inputs, outputs, prepare):
     """Add columns computed per Arrow batch, whatever the other columns are called.
 
@@ -51,9 +60,9 @@ def with_arrow_columns(df, inputs, outputs, prepare):
         compute = prepare()
         types = [to_arrow_type(f.dataType) for f in out_type.fields]
         fields = [pa.field(f.name, t) for f, t in zip(out_type.fields, types)]
-        for batch in batches:
+        for batch in _slices(batches):
             columns = compute(*batch.column("x").flatten())
-            arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=t)
+            arrays = [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, type=t)
                       for c, t in zip(columns, types)]
             out = pa.StructArray.from_arrays(arrays, fields=fields)
             yield pa.RecordBatch.from_arrays([batch.column("row"), out], names=["row", "out"])

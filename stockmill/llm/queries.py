@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stockmill.llm import (
-    decontaminate, language_id, line_dedup, ngram_join, quality, sharding,
+    decontaminate, language_id, line_dedup, ngram_join, quality, sharding, suffix_dedup,
 )
 from stockmill.llm.common import held_out, table
 
@@ -69,6 +69,16 @@ def op8_sharding(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    span = F.aggregate("out.spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    return suffix_dedup.dedupe(docs).select(
+        "row.doc_id", "out.n_bytes", span.alias("n_removed"),
+        F.size("out.spans").cast("bigint").alias("n_spans"),
+        F.sha2("out.kept", 256).alias("kept_sha256"))
+
+
 ORACLE["op1_decontamination"] = r"""
 WITH item_words AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
