@@ -30,8 +30,9 @@ FAMILIES = {
     "indic": "hi mr ne bn gu pa ur",
     "semitic": "ar he mt am",
 }
-#: Labelled texts per language used for fitting, on average at most.
-SAMPLE_PER_LANGUAGE = 800
+#: Labelled texts used for fitting: per language on average at most, and in all.
+SAMPLE_PER_LANGUAGE = 500
+SAMPLE = 2500
 LANGUAGES = 200
 FEATURES = 4096
 #: Each training text also gives a snippet of so many characters, for short texts.
@@ -121,7 +122,7 @@ def fit(docs, doc_id="doc_id", text="text", lang="lang", sample=SAMPLE_PER_LANGU
     """A model from rows outside the held-out fold whose language is known.
 
     About ``sample`` rows per language, picked by a hash of the id, and never more than twice
-    that in total; their feature vectors (16 KB each) come to the driver, texts do not.
+    ``SAMPLE`` in all; their feature vectors (8 KB each) come to the driver, texts do not.
     """
     known = docs.where(~held_out(doc_id) & F.col(lang).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -129,6 +130,7 @@ def fit(docs, doc_id="doc_id", text="text", lang="lang", sample=SAMPLE_PER_LANGU
         LANGUAGES).collect()
     if not counts:
         return Model((), (), np.zeros((0, FEATURES + 1), np.float32), np.zeros((0, 2)))
+    sample = min(sample, SAMPLE // len(counts))
     scale = 1 << 30
     share = F.create_map(*[F.lit(v) for r in counts
                            for v in (r.lang, min(scale, scale * sample // r["count"]))])
@@ -140,10 +142,11 @@ def fit(docs, doc_id="doc_id", text="text", lang="lang", sample=SAMPLE_PER_LANGU
             out = [], []
             for t in texts.to_pylist():
                 usable = has_letter(t)
-                out[0].append(features(t).tobytes() if usable else None)
+                out[0].append(features(t).astype(np.float16).tobytes() if usable else None)
                 middle = max(0, len(t or "") // 2 - SNIPPET)
                 snippet = (t or "")[middle:middle + SNIPPET]
-                out[1].append(features(snippet).tobytes() if has_letter(snippet) else None)
+                out[1].append(features(snippet).astype(np.float16).tobytes()
+                              if has_letter(snippet) else None)
             return out
 
         return compute
@@ -155,7 +158,7 @@ def fit(docs, doc_id="doc_id", text="text", lang="lang", sample=SAMPLE_PER_LANGU
     for i, r in enumerate(rows):
         for vector in (r.whole, r.snippet):
             if vector:
-                vectors.append(np.frombuffer(vector, np.float32))
+                vectors.append(np.frombuffer(vector, np.float16))
                 langs.append(r.lang)
                 fits.append(i % 4 > 0)
     if not vectors:
@@ -164,7 +167,7 @@ def fit(docs, doc_id="doc_id", text="text", lang="lang", sample=SAMPLE_PER_LANGU
     for name in set(langs):  # a language with one row has it in both parts
         if not fits[langs == name].any():
             fits[langs == name] = True
-    return _fit_arrays(np.stack(vectors), fits, langs)
+    return _fit_arrays(np.stack(vectors).astype(np.float32), fits, langs)
 
 
 def decide(model, chance):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stockmill.llm import (
-    decontaminate, language_id, line_dedup, ngram_join, quality, sharding, suffix_dedup,
+    decontaminate, language_id, line_dedup, ngram_join, pieces, quality, sharding, suffix_dedup,
 )
 from stockmill.llm.common import held_out, table
 
@@ -79,6 +79,18 @@ def op9_suffix_dedup(spark, sf_dir):
         F.sha2("out.kept", 256).alias("kept_sha256"))
 
 
+@query
+def op10_pieces(spark, sf_dir):
+    vocabulary = pieces.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, vocabulary)
+    back = pieces.decode(coded, vocabulary, F.col("out.ids"))
+    return back.select(
+        "row.row.doc_id", F.size("row.out.ids").cast("bigint").alias("n_pieces"),
+        F.col("row.out.ids").alias("ids"),
+        F.col("out.text").eqNullSafe(F.col("row.row.text")).alias("lossless"))
+
+
 ORACLE["op1_decontamination"] = r"""
 WITH item_words AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
