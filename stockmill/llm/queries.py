@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from stockmill.llm import (
-    decontaminate, language_id, line_dedup, ngram_join, pieces, quality, sharding, suffix_dedup,
+    decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, pieces, quality,
+    sharding, suffix_dedup,
 )
 from stockmill.llm.common import held_out, table
 
@@ -61,6 +62,12 @@ def op5_ngram_join(spark, sf_dir):
         "kept", F.col("doc_id") == F.col("component_id"))
 
 
+@query
+def op6_embedding_dedup(spark, sf_dir):
+    found, _ = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 @query
 def op8_sharding(spark, sf_dir):
     packed = sharding.pack(table(spark, sf_dir, "documents"), shards=sharding.SHARDS)
