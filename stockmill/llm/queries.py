@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from stockmill.llm import (
-    decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, pieces, quality,
-    sharding, suffix_dedup,
+    decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join, pieces,
+    quality, sharding, suffix_dedup,
 )
 from stockmill.llm.common import held_out, table
 
@@ -68,6 +68,11 @@ def op6_embedding_dedup(spark, sf_dir):
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+@query
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_sharding(spark, sf_dir):
     packed = sharding.pack(table(spark, sf_dir, "documents"), shards=sharding.SHARDS)
