@@ -42,15 +42,15 @@ def _slices(batches):
             yield batch.slice(start, rows)
 
 
-def with_arrow_columns(df, inputs, outputs, prepare):
+def with_arrow_columns(df, inputs, outputs, prepare, keep=None):
     """Add columns computed per Arrow batch, whatever the other columns are called.
 
     ``inputs`` are columns, ``outputs`` a DDL list, ``prepare()`` runs once per task and gives
     a function from the input arrays to one list or array per output.  The result has two
-    columns: ``row`` (all columns of ``df``) and ``out`` (the outputs).
+    columns: ``row`` (the columns ``keep`` of ``df``, or all) and ``out`` (the outputs).
     """
     packed = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"),
         F.struct(*[column.alias(f"x{i}") for i, column in enumerate(inputs)]).alias("x"),
     )
     out_type = StructType.fromDDL(outputs)

@@ -295,7 +295,7 @@ def near_duplicates(vectors, vector="embedding", vec_id="vec_id", similarity=SIM
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
     named = stored(_points(rows), "vectors")
-    points = named.where("name IS NOT NULL AND vec_id IS NOT NULL").groupBy("name").agg(
+    points = named.where("name IS NOT NULL").groupBy("name").agg(
         F.min("vec_id").alias("id"), F.count("*").alias("copies"),
         F.any_value("unit").alias("unit"))
 

@@ -83,7 +83,8 @@ def _line_table(docs, text):
 
     scanned = with_arrow_columns(
         docs, [F.col(f"`{text}`")],
-        "lines array<struct<line:int,h1:bigint,h2:bigint,keys:array<bigint>>>", prepare)
+        "lines array<struct<line:int,h1:bigint,h2:bigint,keys:array<bigint>>>", prepare,
+        keep=["doc_id", "place"])
     return scanned.select("row.doc_id", "row.place", F.explode("out.lines").alias("l")).select(
         F.struct("doc_id", "place", "l.line").alias("at"), "l.h1", "l.h2", "l.keys")
 
@@ -128,7 +129,8 @@ def _variants(survivors, docs, text):
 
     rows = with_arrow_columns(
         held, [F.col(f"`{text}`"), F.col("numbers")],
-        "lines array<struct<line:int,words:array<binary>,keys:array<array<bigint>>>>", prepare)
+        "lines array<struct<line:int,words:array<binary>,keys:array<array<bigint>>>>", prepare,
+        keep=["doc_id", "place"])
     return rows.select("row.doc_id", "row.place", F.explode("out.lines").alias("l")).select(
         F.struct("doc_id", "place", "l.line").alias("first"), "l.words", "l.keys")
 

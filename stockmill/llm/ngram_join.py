@@ -10,7 +10,8 @@ full sets reaches the threshold.  Links leave a block as counts and spanning tie
 pairs, so a cluster of many near copies costs no row per pair.
 
 Null, empty and wordless texts have no set: a class of their own each, no links.  Repeated
-rows are copies.  The class name is its smallest document id; a null id only names nothing.
+rows are copies.  The class name is its smallest document id; a set that only rows
+without an id hold links with nothing.
 """
 
 import math
@@ -82,7 +83,7 @@ def _signatures(docs, n, bands, rows):
         return compute
 
     return with_arrow_columns(docs, [F.col("text")], "name array<bigint>, keys array<bigint>",
-                              prepare).select(
+                              prepare, keep=["doc_id"]).select(
         "row.doc_id", F.col("out.name")[0].alias("h1"), F.col("out.name")[1].alias("h2"),
         "out.keys")
 
@@ -180,7 +181,7 @@ def _with_sets(meetings, classes, docs, n):
         return compute
 
     made = with_arrow_columns(chosen, [F.col("text")], "codes binary, name array<bigint>",
-                              prepare).select(
+                              prepare, keep=["doc_id"]).select(
         F.col("row.doc_id").alias("doc"), F.col("out.name")[0].alias("h1"),
         F.col("out.name")[1].alias("h2"), "out.codes")
     # an id may occur with several texts: keep the class's own set, once

@@ -108,7 +108,7 @@ def _anchor_table(rows, window, core):
     found = with_arrow_columns(
         rows, [F.col("text")],
         "anchors array<struct<pos:bigint,core:bigint,context:binary,low:smallint,high:smallint>>",
-        prepare)
+        prepare, keep=["place"])
     return found.select("row.place", F.explode("out.anchors").alias("a")).select("place", "a.*")
 
 
@@ -184,7 +184,7 @@ def _bytes_of(wanted, rows, reach, window):
     asked = stored(wanted.groupBy(F.col("at.place").alias("held")).agg(
         F.collect_list(F.struct("context", "core", "at.pos", "low", "high")).alias("asked")),
         "asked-contexts")
-    held = rows.join(asked, F.col("place") == F.col("held")).select("text", "asked")
+    held = rows.join(asked, F.col("place") == F.col("held")).select("text", "asked", "held")
 
     def prepare():
         def compute(texts, asked):
@@ -202,7 +202,7 @@ def _bytes_of(wanted, rows, reach, window):
     made = with_arrow_columns(
         held, [F.col("text"), F.col("asked")],
         "contexts array<struct<context:binary,core:bigint,low:smallint,high:smallint,"
-        "bytes:binary>>", prepare)
+        "bytes:binary>>", prepare, keep=["held"])
     return made.select(F.explode("out.contexts").alias("c")).select("c.*").dropDuplicates(
         ["context"])
 
@@ -235,7 +235,7 @@ def _halved(parts, window):
     made = with_arrow_columns(
         parts, [F.col(c) for c in ("bytes", "low", "high", "first", "last")],
         "halves array<struct<core:bigint,part:binary,low:smallint,high:smallint,first:smallint,"
-        "last:smallint,bytes:binary>>", prepare)
+        "last:smallint,bytes:binary>>", prepare, keep=["context"])
     return made.select("row.context", F.explode("out.halves").alias("h")).select("context", "h.*")
 
 
