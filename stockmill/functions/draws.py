@@ -5,13 +5,14 @@ A draw never depends on partitioning, so a lost task recomputes the same rows.
 
 from pyspark.sql import functions as F
 
-_RANGE = 1 << 32
+BITS = 60
+_RANGE = 1 << BITS
 
 
 def draw(salt, *keys):
-    """Integer in [0, 2**32) from the first eight hex digits of an MD5."""
+    """Integer in [0, 2**60) from the first fifteen hex digits of an MD5."""
     digest = F.md5(F.concat_ws(":", F.lit(salt), *[F.col(k).cast("string") for k in keys]))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("bigint")
 
 
 def whole(salt, low, high, *keys):

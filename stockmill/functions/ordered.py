@@ -1,10 +1,8 @@
 """Running sums and carried values along an order within groups.
 
-``split=False`` uses one window per group, so a whole group passes through one task; that
-is right while a group's size has a known bound.  ``split=True`` is for groups without
-one: rows are spread over range buckets of (group, order), every bucket is handled on its
-own, and one summary row per group and bucket carries the result across buckets.  No task
-then sees more than one bucket, however large the group.
+Rows are spread over range buckets of (group, order), every bucket is handled on its own,
+and one summary row per group and bucket carries the result across buckets.  No task sees
+more than one bucket, however large the group.
 """
 
 from pyspark.sql import Window, functions as F
@@ -14,14 +12,11 @@ from stockmill.session import new_dir
 _BUCKET = "_bucket"
 
 
-def running_sums(df, group, order, sums, split=False):
+def running_sums(df, group, order, sums):
     """Add columns with the sum from the group's start; ``sums`` maps new name to value column.
 
     ``order`` must be unique within a group.
     """
-    if not split:
-        line = _upto_here([group], order)
-        return df.withColumns({new: F.sum(value).over(line) for new, value in sums.items()})
     rows = _spread(df, group, order)
     before = Window.partitionBy(group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -38,11 +33,8 @@ def running_sums(df, group, order, sums, split=False):
         _BUCKET, *[f"_{new}" for new in sums])
 
 
-def carry_forward(df, group, order, columns, split=False):
+def carry_forward(df, group, order, columns):
     """Fill NULLs in each column with the last value before them in the group's order."""
-    if not split:
-        line = _upto_here([group], order)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(line) for c in columns})
     rows = _spread(df, group, order)
     place = F.struct(*order)
     before = Window.partitionBy(group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)

@@ -109,7 +109,11 @@ def surplus_candidates(positions):
 
 
 def replenishment_choice(positions, days_until_need=rules.DAYS_UNTIL_NEED):
-    """Transfer when the supplier is too slow or another location holds surplus."""
+    """Transfer when the supplier is too slow or another location holds surplus.
+
+    ``has_source`` tells whether any stock can be moved: a late supplier makes the choice a
+    transfer even where none can, and such a position has to be ordered after all.
+    """
     net = positions.withColumn("net", stock.net_position())
     surplus = net.filter(F.col("net") > 0).groupBy("item_id").agg(
         F.sum("net").alias("surplus_qty")
@@ -123,6 +127,7 @@ def replenishment_choice(positions, days_until_need=rules.DAYS_UNTIL_NEED):
             F.coalesce("surplus_qty", F.lit(0)).alias("surplus_qty"),
             F.when(late | F.col("surplus_qty").isNotNull(), "transfer").otherwise("order")
             .alias("choice"),
+            F.col("surplus_qty").isNotNull().alias("has_source"),
         )
     )
 
@@ -145,7 +150,7 @@ def transfer_requests(plan, request_date, days_until_need=rules.DAYS_UNTIL_NEED)
     )
 
 
-def emergency_order_requests(positions, locations, request_date,
+def emergency_order_requests(positions, request_date,
                              days_until_need=rules.DAYS_UNTIL_NEED):
     """Order form rows for what transfers cannot cover."""
     due = F.date_add(F.lit(request_date).cast("date"), days_until_need)
@@ -157,7 +162,7 @@ def emergency_order_requests(positions, locations, request_date,
         F.date_format("desired_delivery_date", "yyyy/MM/dd"), "reason",
     )
     return (
-        uncovered_shortages(positions, locations)
+        uncovered_shortages(positions)
         .withColumns({"desired_delivery_date": due, "reason": reason})
         .select(
             F.lit(request_date).cast("date").alias("request_date"),
@@ -170,11 +175,10 @@ def emergency_order_requests(positions, locations, request_date,
     )
 
 
-def order_proposals(summary, positions, items, demand, id_chars=8):
+def order_proposals(summary, positions, items, demand):
     """One proposal per item that is short, nearly out of stock or slow in its newest month.
 
-    The id is a hash of item and month, so writing the same proposal twice is visible.
-    ``id_chars`` is the number of hex digits kept; raise it where items run into millions.
+    The id is a SHA-256 of item and month, so writing the same proposal twice is visible.
     """
     newest = (
         summary.groupBy("item_id")
@@ -202,11 +206,8 @@ def order_proposals(summary, positions, items, demand, id_chars=8):
         rows.withColumn("priority", priority)
         .filter(short | (F.col("priority") != rules.PRIORITY_LOW))
         .select(
-            F.substring(
-                F.sha2(F.concat_ws("|", F.col("item_id").cast("string"),
-                                   F.date_format("month", "yyyy-MM-dd")), 256),
-                1, id_chars,
-            ).alias("proposal_id"),
+            F.sha2(F.concat_ws("|", F.col("item_id").cast("string"),
+                               F.date_format("month", "yyyy-MM-dd")), 256).alias("proposal_id"),
             "item_id", "item_name", "category", "current_stock",
             F.greatest(F.col("required_qty") - F.col("current_stock"),
                        F.col("reorder_point_qty")).alias("recommended_order_qty"),

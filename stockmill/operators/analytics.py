@@ -7,7 +7,7 @@ partition keys only see rows that are already aggregated to categories or months
 from pyspark.sql import Window, functions as F
 
 from stockmill.functions import stock
-from stockmill.operators.marts import latest_month
+from stockmill.operators.marts import newest_of
 
 
 def _over_all(column):
@@ -17,21 +17,16 @@ def _over_all(column):
 
 def latest_stock_by_category(inventory, items):
     """True stock of the newest snapshot: quantity, value and items per category."""
-    newest = inventory.select(F.max("snapshot_date")).scalar()
-    per_item = (
-        inventory.filter(F.col("snapshot_date") == newest)
-        .groupBy("item_id")
-        .agg(F.sum("inventory_qty").alias("qty"), F.sum("inventory_value").alias("value"))
-    )
-    return (
+    per_item = inventory.groupBy("item_id", "snapshot_date").agg(
+        F.sum("inventory_qty").alias("qty"), F.sum("inventory_value").alias("value"))
+    return newest_of(
         per_item.join(items.select("item_id", "category", "category_name"), "item_id")
-        .groupBy("category", "category_name")
+        .groupBy("snapshot_date", "category", "category_name")
         .agg(
             F.sum("qty").alias("total_qty"),
             F.sum("value").alias("total_value"),
             F.count_distinct("item_id").alias("item_count"),
-        )
-    )
+        ), "snapshot_date")
 
 
 def forecast_gap_by_category(demand, items):
@@ -103,9 +98,8 @@ def demand_gap_with_value(demand, summary):
 
 def category_share(summary):
     """Category value as percent of the total, newest month."""
-    per_category = latest_month(summary).groupBy("category", "category_name").agg(
-        F.sum("avg_inventory_value").alias("total_value")
-    )
+    per_category = newest_of(summary.groupBy("month", "category", "category_name").agg(
+        F.sum("avg_inventory_value").alias("total_value")))
     return share_of_total(per_category, "total_value")
 
 
@@ -157,9 +151,11 @@ def leadtime_vs_rest(receipts, items):
 
 
 def month_over_month(summary):
-    """Total value per month and its change on the month before."""
+    """Total value per month and its change on the calendar month before; NULL without one."""
     monthly = summary.groupBy("month").agg(F.sum("avg_inventory_value").alias("total_value"))
-    before = F.lag("total_value").over(Window.orderBy("month"))
+    line = Window.orderBy("month")  # one row per month
+    before = F.when(F.lag("month").over(line) == F.add_months("month", -1),
+                    F.lag("total_value").over(line))
     return monthly.withColumn("previous_value", before).withColumn(
         "change_pct", F.try_divide(F.col("total_value"), F.col("previous_value")) * 100 - 100
     )

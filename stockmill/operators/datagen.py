@@ -7,10 +7,10 @@ constant maps looked up inside the projection; only orders need a join, to their
 
 from itertools import chain
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stockmill import rules
-from stockmill.functions.draws import draw, uniform, whole
+from stockmill.functions.draws import BITS, draw, uniform, whole
 from stockmill.functions.stock import gap_rate_pct
 
 # Period and shares
@@ -22,6 +22,8 @@ DEMAND_SHARE = 0.84
 SAFETY_DAYS = (7, 14, 21, 30)
 DELAY_DAYS = (-2, 7)
 RECEIVED_SHARE = (0.95, 1.05)
+#: A sample counts draws in 2**20 ranges.
+RANGE_BITS = 20
 
 _FIELDS = ("name", "items", "price_low", "price_high", "lot_low", "lot_high",
            "stock_low", "stock_high", "noise_low", "noise_high",
@@ -177,12 +179,20 @@ def gen_demand(items):
 def sample_n(df, n, seed, *keys):
     """A repeatable sample of exactly ``n`` rows without replacement.
 
-    Rows are ranked by a draw on their key; Spark keeps the ``n`` smallest per task and
-    never sorts the whole table.
+    Rows are ranked by a draw on their key.  Counts per range of draws tell which ranges are
+    in whole and which one the n-th row falls into; only that range is sorted, so no task
+    sees the sample.
     """
-    return (
-        df.withColumn("_rank", draw(f"sample{seed}", *keys))
-        .orderBy("_rank", *keys)
-        .limit(n)
-        .drop("_rank")
-    )
+    ranked = df.withColumn("_rank", draw(f"sample{seed}", *keys))
+    ranked = ranked.withColumn("_range", F.shiftright("_rank", BITS - RANGE_BITS))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = ranked.groupBy("_range").agg(F.count(F.lit(1)).alias("rows")).withColumn(
+        "upto", F.sum("rows").over(upto))
+    edge = counts.where(F.col("upto") > n)
+    cut = F.coalesce(edge.select(F.min("_range")).scalar(), F.lit(1 << RANGE_BITS))
+    left = n - F.coalesce(
+        counts.where(F.col("upto") <= n).select(F.max("upto")).scalar(), F.lit(0))
+    last = ranked.where(F.col("_range") == cut).withColumn(
+        "_place", F.row_number().over(Window.orderBy("_rank", *keys))).where(
+        F.col("_place") <= left).drop("_place")
+    return ranked.where(F.col("_range") < cut).unionByName(last).drop("_rank", "_range")

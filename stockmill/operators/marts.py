@@ -1,6 +1,6 @@
 """Dashboard datasets and their chart-level roll-ups."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stockmill import rules
 from stockmill.functions.stock import net_position
@@ -8,16 +8,29 @@ from stockmill.functions.text import format_money
 
 
 def latest_month(summary):
-    """Rows of the newest month; the month is found once by a scalar subquery."""
+    """Rows of the newest month; the month is found once by a scalar subquery.
+
+    For roll-ups use ``newest_of``, which reads the rows once.
+    """
     newest = summary.select(F.max("month")).scalar()
     return summary.filter(F.col("month") == newest)
 
 
+def newest_of(per_month, month="month"):
+    """Rows of the newest month of a table that is aggregated by month already."""
+    newest = F.max(month).over(Window.partitionBy())
+    return per_month.withColumn("_newest", newest).where(
+        F.col(month) == F.col("_newest")).drop("_newest", month)
+
+
 def inventory_kpi(summary):
-    return latest_month(summary).agg(
+    """Value and items of the newest month; without any row, one row of NULL and 0."""
+    newest = newest_of(summary.groupBy("month").agg(
         F.sum("avg_inventory_value").alias("total_value"),
         F.count_distinct("item_id").alias("total_items"),
-    )
+    ))
+    return newest.agg(F.sum("total_value").alias("total_value"),
+                      F.coalesce(F.sum("total_items"), F.lit(0)).alias("total_items"))
 
 
 def turnover_kpi(analysis):
@@ -40,10 +53,10 @@ def inventory_trend(summary, ordered=True):
 
 
 def category_breakdown(summary, ordered=True):
-    breakdown = latest_month(summary).groupBy("category").agg(
+    breakdown = newest_of(summary.groupBy("month", "category").agg(
         F.sum("avg_inventory_value").alias("total_value"),
         F.count_distinct("item_id").alias("item_count"),
-    )
+    ))
     return breakdown.orderBy(F.desc("total_value"), "category") if ordered else breakdown
 
 

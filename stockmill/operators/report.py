@@ -13,11 +13,15 @@ def summable_columns(schema, words=rules.NUMERIC_WORDS, label_columns=2):
     ]
 
 
-def report_totals(detail, label_columns=2):
+def report_totals(detail, label_columns=None):
     """Detail rows plus one row of sums; text columns of the total row hold a dash.
 
+    The first two columns are labels, or the first one where there are only two columns.
+
     The total is a plain aggregate, combined before its one-row shuffle.
     """
+    if label_columns is None:
+        label_columns = min(2, len(detail.columns) - 1)
     first = detail.columns[0]
     summed = summable_columns(detail.schema, label_columns=label_columns)
     total = detail.agg(*[F.sum(c).alias(c) for c in summed]) if summed else detail.agg(

@@ -5,9 +5,8 @@ location order, surpluses largest first.  Where a shortage and a surplus overlap
 much stock moves.  The overlaps are found by walking the interval starts in order, so an
 item with s short and u surplus locations costs s + u rows, never s * u pairs.
 
-Positions are keyed by item and location.  ``locations`` is the number of locations, which
-bounds the rows of one item: up to ``ROWS_PER_TASK`` an item is handled in one task,
-beyond it (or when the number is unknown) items are split over tasks.
+Positions are keyed by item and location.  Items are spread over range buckets of (item,
+order), so an item of any size is split over tasks.
 """
 
 from pyspark.sql import functions as F
@@ -15,16 +14,10 @@ from pyspark.sql import functions as F
 from stockmill.functions import stock
 from stockmill.functions.ordered import carry_forward, running_sums
 
-ROWS_PER_TASK = 1_000_000
-
 _SHORT, _SURPLUS = 1, 0
 
 
-def _must_split(locations):
-    return locations is None or locations > ROWS_PER_TASK
-
-
-def _intervals(positions, split):
+def _intervals(positions):
     """Short and surplus positions with their interval [start, stop) on the item's line."""
     net = positions.withColumn("net", stock.net_position()).filter(F.col("net") != 0)
     is_short = F.col("net") < 0
@@ -38,17 +31,16 @@ def _intervals(positions, split):
     })
     lines = running_sums(
         sided, "item_id", ["side", "size_rank", "location"],
-        {"short_stop": "short_amount", "surplus_stop": "surplus_amount"}, split,
+        {"short_stop": "short_amount", "surplus_stop": "surplus_amount"},
     )
     stop = F.when(F.col("side") == _SHORT, F.col("short_stop")).otherwise(F.col("surplus_stop"))
     return lines.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("amount"))
 
 
-def transfer_plan(positions, locations):
+def transfer_plan(positions):
     """Quantity to move from each source to each target location, per item."""
-    split = _must_split(locations)
     short = F.col("side") == _SHORT
-    starts = _intervals(positions, split).select(
+    starts = _intervals(positions).select(
         "item_id", "item_name", "lead_time_days", "start", "side",
         F.when(~short, F.col("location")).alias("source_location"),
         F.when(~short, F.col("stop")).alias("source_stop"),
@@ -59,7 +51,6 @@ def transfer_plan(positions, locations):
     paired = carry_forward(
         starts, "item_id", ["start", "side"],
         ["source_location", "source_stop", "target_location", "target_stop", "shortage_qty"],
-        split,
     )
     end = F.least("source_stop", "target_stop")
     return (
@@ -75,7 +66,7 @@ def transfer_plan(positions, locations):
     )
 
 
-def uncovered_shortages(positions, locations):
+def uncovered_shortages(positions):
     """Short positions that the item's surplus cannot fill, with the missing quantity.
 
     A shortage is covered as far as its interval lies below the item's total surplus,
@@ -86,7 +77,7 @@ def uncovered_shortages(positions, locations):
     covered = F.greatest(
         F.least("stop", F.coalesce("item_surplus", F.lit(0))) - F.col("start"), F.lit(0))
     return (
-        _intervals(positions, _must_split(locations))
+        _intervals(positions)
         .filter(F.col("side") == _SHORT)
         .join(surplus, "item_id", "left")
         .withColumn("covered_qty", covered)

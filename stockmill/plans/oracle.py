@@ -41,7 +41,7 @@ _STOCK_REST = ["inventory_qty", "inventory_value"]
 
 def _draw(salt, *keys):
     key = " || ':' || ".join([f"'{salt}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
-    return f"CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT)"
 
 
 def _whole(salt, low, high, *keys):
@@ -50,7 +50,7 @@ def _whole(salt, low, high, *keys):
 
 def _uniform(salt, low, high, *keys):
     low, high = f"CAST({low} AS DOUBLE)", f"CAST({high} AS DOUBLE)"
-    return f"({low} + ({high} - {low}) * ({_draw(salt, *keys)} / CAST(4294967296 AS DOUBLE)))"
+    return f"({low} + ({high} - {low}) * ({_draw(salt, *keys)} / CAST(1152921504606846976 AS DOUBLE)))"
 
 
 _PROFILE_ROWS, _low = [], 0
@@ -252,7 +252,7 @@ _CTES = {
           ON s.item_id = t.item_id AND s.location = t.target_location
         WHERE s.shortage_qty > coalesce(moved, 0)""",
     "proposals": f"""
-        SELECT substr(sha256(CAST(item_id AS VARCHAR) || '|' || strftime(month, '%Y-%m-%d')), 1, 8)
+        SELECT sha256(CAST(item_id AS VARCHAR) || '|' || strftime(month, '%Y-%m-%d'))
                    AS proposal_id,
                item_id, item_name, category, current_stock,
                greatest(required_qty - current_stock, reorder_point_qty) AS recommended_order_qty,
@@ -562,8 +562,10 @@ _SELECTS = {
     "month_over_month": """
         SELECT month, round(v, 2) AS total_value, round(p, 2) AS previous_value,
                round(v / p * 100 - 100, 2) AS change_pct
-        FROM (SELECT month, v, lag(v) OVER (ORDER BY month) AS p
-              FROM (SELECT month, sum(avg_inventory_value) AS v FROM summary GROUP BY month))""",
+        FROM (SELECT a.month, a.v, b.v AS p
+              FROM (SELECT month, sum(avg_inventory_value) AS v FROM summary GROUP BY month) a
+              LEFT JOIN (SELECT month, sum(avg_inventory_value) AS v FROM summary
+                         GROUP BY month) b ON b.month = a.month - INTERVAL 1 MONTH)""",
     "turnover_verdict": """
         SELECT *, CASE WHEN avg_turnover >= 1.5 THEN '良好' ELSE '要改善' END AS verdict
         FROM (SELECT category, category_name, round(avg(avg_turnover_rate), 2) AS avg_turnover
@@ -608,7 +610,8 @@ _SELECTS = {
     "replenishment_choice": """
         SELECT s.item_id, s.location, s.shortage_qty, s.lead_time_days,
                coalesce(u.q, 0) AS surplus_qty,
-               CASE WHEN s.lead_time_days > 7 OR u.q > 0 THEN 'transfer' ELSE 'order' END AS choice
+               CASE WHEN s.lead_time_days > 7 OR u.q > 0 THEN 'transfer' ELSE 'order' END AS choice,
+               u.q IS NOT NULL AS has_source
         FROM shorts s LEFT JOIN (SELECT item_id, CAST(sum(surplus_qty) AS BIGINT) AS q
                                  FROM surpluses GROUP BY 1) u ON s.item_id = u.item_id""",
     "transfer_plan": "SELECT * FROM transfers",

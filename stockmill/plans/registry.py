@@ -258,17 +258,14 @@ def order_amount(t):
 
 @query
 def inventory_value(t):
-    return t.feeds.raw_inventory.join(t.feeds.prices, "item_id").select(
-        "item_id", "location_id", "snapshot_date",
-        stock.line_value("inventory_qty", "unit_price").alias("inventory_value"),
-    )
+    return t.feeds.raw_inventory.select(
+        "item_id", "location_id", "snapshot_date", "inventory_value")
 
 
 @query
 def expected_delivery_date(t):
     """Order date plus the lead time of the item's own supplier."""
-    lead = t.items.select("item_id", "lead_time_days")
-    return t.feeds.raw_orders.join(lead, "item_id").select(
+    return t.feeds.dated_lines.join(t.items.select("item_id", "lead_time_days"), "item_id").select(
         "order_id", "item_id", "order_date", "lead_time_days",
         stock.due_date("order_date", "lead_time_days").alias("expected_delivery_date"),
     )
@@ -592,7 +589,7 @@ def transfer_plan(t):
 
 @query
 def emergency_order_request(t):
-    return actions.emergency_order_requests(t.positions, t.location_count, REQUEST_DATE)
+    return actions.emergency_order_requests(t.positions, REQUEST_DATE)
 
 
 @query

@@ -1,7 +1,6 @@
 """Inventory feeds derived from the star-schema test tables.
 
-Each method returns a lazy DataFrame; keys keep the tables' integer types.  Facts are
-aggregated before they are joined to dimensions wherever the feed allows it.
+Each method returns a lazy DataFrame; keys keep the tables' integer types.
 """
 
 from functools import cached_property
@@ -19,20 +18,19 @@ CREATED_AT = "2025-01-01"
 _SAFETY_DAYS = (7, 14, 21)
 _LAST_SAFETY_DAYS = 30
 
-_schemas = {}
-
 
 class Feeds:
     def __init__(self, spark, sf_dir):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._schemas = {}
 
     def table(self, name):
-        """A star-schema table; its file footer is read once per process."""
+        """A star-schema table; its file footer is read once."""
         path = f"{self.sf_dir}/{name}.parquet"
-        if path not in _schemas:
-            _schemas[path] = self.spark.read.parquet(path).schema
-        return self.spark.read.schema(_schemas[path]).parquet(path)
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
     @cached_property
     def supplier_count(self):
@@ -85,7 +83,8 @@ class Feeds:
         )
 
     @cached_property
-    def _order_lines(self):
+    def dated_lines(self):
+        """Order lines with the date and status of their order, before any item join."""
         orders = self.table("orders").select(
             F.col("o_orderkey").alias("l_orderkey"),
             F.col("o_orderdate").cast("date").alias("order_date"), "o_orderstatus",
@@ -96,9 +95,14 @@ class Feeds:
         return (
             lines.join(orders, "l_orderkey")
             .withColumnRenamed("l_partkey", "item_id")
-            .join(self.prices, "item_id")
+            .withColumn("order_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+        )
+
+    @cached_property
+    def _order_lines(self):
+        return (
+            self.dated_lines.join(self.prices, "item_id")
             .withColumns({
-                "order_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
                 "order_qty": (F.col("l_quantity") * QTY_SCALE).cast("bigint"),
                 "promised_days": F.col("l_suppkey") % 39 + 7,
                 "status": F.when(F.col("o_orderstatus") == "F", rules.DELIVERED)

@@ -126,4 +126,4 @@ def test_order_proposal_fields(spark):
     (row,) = actions.order_proposals(summary, positions, items, demand).collect()
     assert (row.current_stock, row.recommended_order_qty) == (150, 400)
     assert (row.priority, row.status, row.created_by) == ("HIGH", "PENDING", "ai-agent")
-    assert len(row.proposal_id) == 8 and row.reason.endswith("+12日）]")
+    assert len(row.proposal_id) == 64 and row.reason.endswith("+12日）]")
