@@ -21,7 +21,11 @@ def _generate(spark, args):
 
 
 def _update(spark, args):
-    medallion.run_pipeline(spark, args.out, args.landing)
+    marks = {}
+    for mark in args.watermark:
+        table, column, delay = mark.split(":")
+        marks[table] = (column, delay)
+    medallion.run_pipeline(spark, args.out, args.landing, watermarks=marks)
     if args.database:
         medallion.register_layers(spark, args.out, args.database)
 
@@ -55,6 +59,8 @@ def main(argv=None, spark=None):
     update.add_argument("--landing", default=None)
     update.add_argument("--out", required=True)
     update.add_argument("--database", default=None)
+    update.add_argument("--watermark", action="append", default=[],
+                        metavar="TABLE:COLUMN:DELAY", help="bounds the dedupe state of a table")
     update.set_defaults(run=_update)
     report = commands.add_parser("report")
     report.add_argument("--out", required=True)

@@ -36,7 +36,7 @@ def _signed(values):
 
 
 def _lines(text):
-    """Word runs and the first and last word of each line."""
+    """Word runs, and the first word of each line and of the one after."""
     hashes, starts = word_hashes(text)
     breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
     bounds = np.searchsorted(starts, breaks)
@@ -62,22 +62,23 @@ def _line_table(docs, text):
 
     def prepare():
         def compute(texts):
-            out = []
-            for t in texts.to_pylist():
-                if not t:
-                    out.append([])
-                    continue
-                runs, first, last = _lines(t.encode())
-                number = np.flatnonzero(last - first >= MIN_WORDS)
-                first, last = first[number], last[number]
-                h1, h2 = (_signed(h).tolist() for h in runs.run(first, last))
-                keys = _half_keys(runs, first, last).tolist()
-                out.append([(n, a, b, k if w >= NEAR_WORDS else None) for n, a, b, k, w in
-                            zip(number.tolist(), h1, h2, keys, (last - first).tolist())])
-            kind = pa.list_(pa.struct([("line", pa.int32()), ("h1", pa.int64()),
-                                       ("h2", pa.int64()), ("keys", pa.list_(pa.int64()))]))
-            fields = ["line", "h1", "h2", "keys"]
-            return [pa.array([[dict(zip(fields, x)) for x in xs] for xs in out], type=kind)]
+            held = [t.encode() if t else b"" for t in texts.to_pylist()]
+            runs, first, last = _lines(b"\n".join(held))  # all texts at once
+            counts = np.array([h.count(b"\n") + 1 for h in held])
+            begin = np.cumsum(counts) - counts
+            line = np.arange(len(first)) - np.repeat(begin, counts)
+            used = last - first >= MIN_WORDS
+            upto = np.concatenate([[0], np.cumsum(used)])[np.append(begin, len(first))]
+            first, last, line = first[used], last[used], line[used]
+            near = last - first >= NEAR_WORDS
+            keys = _half_keys(runs, first, last)[near].ravel()
+            h1, h2 = runs.run(first, last)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(near * 4)]), pa.int32()), pa.array(keys))
+            rows = pa.StructArray.from_arrays(
+                [pa.array(line, pa.int32()), pa.array(_signed(h1)), pa.array(_signed(h2)), lists],
+                names=["line", "h1", "h2", "keys"])
+            return [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows)]
 
         return compute
 
@@ -90,12 +91,14 @@ def _line_table(docs, text):
 
 
 def _screened(distinct):
-    """Lines that share half a line with another one."""
-    halves = distinct.where("keys IS NOT NULL").select(
-        "h1", "h2", "first", F.explode("keys").alias("key"))
+    """Lines that share half a line with another one.
+
+    Half the line's name stands for it here: a clash only lets a line through.
+    """
+    halves = distinct.select("h1", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").count().where("count > 1").select("key")
-    return halves.join(stored(shared, "line-halves"), "key").select(
-        "h1", "h2", "first").dropDuplicates(["h1", "h2"])
+    through = halves.join(stored(shared, "line-halves"), "key").select("h1").distinct()
+    return distinct.select("h1", "first").join(stored(through, "line-names"), "h1").select("first")
 
 
 def _variants(survivors, docs, text):
@@ -104,7 +107,8 @@ def _variants(survivors, docs, text):
         F.collect_list(F.col("first.line")).alias("numbers"))
     wanted = stored(wanted, "line-places").select(
         F.col("doc_id").alias("id"), F.col("place").alias("hash"), "numbers")
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (
+    # a side that grows with the corpus: joined in one way at every size
+    held = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (
         F.col("place") == F.col("hash")))
 
     def prepare():
@@ -139,7 +143,8 @@ def _earliest_near(variants):
     """For each line the earliest line that shares a variant, where that is earlier."""
     keys = variants.select("first", F.explode("keys").alias("k")).select(
         "first", F.col("k")[0].alias("gone"), F.col("k")[1].alias("v1"), F.col("k")[2].alias("v2"))
-    keys = stored(keys, "line-variants")
+    shared = keys.groupBy("v1", "v2").count().where("count > 1").select("v1", "v2")
+    keys = stored(keys.join(stored(shared, "shared-variants"), ["v1", "v2"]), "line-variants")
     whole = F.col("gone") == -1
     same_place = keys.where(~whole).groupBy("v1", "v2", "gone").agg(
         F.min("first").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -214,7 +219,7 @@ def dedupe_lines(docs, text="text", doc_id="doc_id"):
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.col("row")[text]
     joined = rows.join(
-        dropped, (F.xxhash64(body) == F.col("_place"))
+        dropped.hint("merge"), (F.xxhash64(body) == F.col("_place"))
         & F.col("row")[doc_id].eqNullSafe(F.col("_id")), "left").select("row", "dropped")
 
     def prepare():

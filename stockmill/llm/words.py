@@ -11,7 +11,7 @@ CLEAN = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
     for c in range(256)
 )
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 #: Odd multipliers, each with its inverse modulo 2**64.
 _BYTES, _FIRST, _SECOND = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _powers = {}

@@ -1,4 +1,10 @@
-"""Writing tables."""
+"""Writing tables.
+
+A table is replaced by writing its new rows into a folder beside it and then swapping names,
+so a write that fails leaves the old table whole, and a table may be computed from itself.
+"""
+
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +19,25 @@ def register_table(spark, name, path, comment=None, layer=None):
         spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('quality' = '{layer}')")
 
 
+def replace_files(df, path):
+    """Write ``df`` as Parquet beside ``path``, then put it in the place of ``path``.
+
+    Both renames touch names only.  What was there is deleted last.
+    """
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    new, old = f"{path.rstrip('/')}.new-{tag}", f"{path.rstrip('/')}.old-{tag}"
+    df.write.parquet(new)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(hadoop(path)):
+        files.rename(hadoop(path), hadoop(old))
+    if not files.rename(hadoop(new), hadoop(path)):
+        files.rename(hadoop(old), hadoop(path))
+        raise OSError(f"{new} could not be renamed to {path}")
+    files.delete(hadoop(old), True)
+    spark.catalog.refreshByPath(path)
+
+
 def write_materialized_view(df, path, layer="gold", name=None, comment=None, cluster_by=None):
     """Replace a table by a full recompute and return it read back.
 
@@ -25,7 +50,7 @@ def write_materialized_view(df, path, layer="gold", name=None, comment=None, clu
         df = df.hint("rebalance", F.col(cluster_by)).sortWithinPartitions(cluster_by)
     else:
         df = df.hint("rebalance")
-    df.write.mode("overwrite").parquet(path)
+    replace_files(df, path)
     if name:
         register_table(spark, name, path, comment, layer)
     return spark.read.parquet(path)
@@ -34,7 +59,7 @@ def write_materialized_view(df, path, layer="gold", name=None, comment=None, clu
 def create_or_replace_table(df, schema, path, name=None, comment=None):
     """Replace a table that has declared types and column comments."""
     spark = df.sparkSession
-    conform(df, schema).write.mode("overwrite").parquet(path)
+    replace_files(conform(df, schema), path)
     if name:
         register_table(spark, name, path, comment)
     return spark.read.schema(schema).parquet(path)

@@ -2,32 +2,44 @@
 
 from functools import reduce
 
+from pyspark.sql import functions as F
+
 from stockmill.operators import gold, quality
 from stockmill.operators.dedupe import KEYS
 from stockmill.operators.sinks import register_table, write_materialized_view
 from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
-from stockmill.sources.landing import landing_path, read_item_master
+from stockmill.sources.landing import CORRUPT, landing_path, read_item_master
 from stockmill.streaming import tables
 
 STREAMED = ("orders", "inventory", "receipts", "demand")
 GOLD = ("inventory_summary", "turnover_analysis", "overstock_alert")
 
 
-def ingest_bronze(spark, feed, landing, out, max_files=None):
+def ingest_bronze(spark, feed, landing, out, max_files=None, **options):
     """Take new files of one feed into its bronze table; returns the table's path."""
     path = f"{out}/bronze/{feed}"
-    stream = tables.read_landing_stream(spark, landing, feed, max_files)
+    stream = tables.read_landing_stream(
+        spark, landing, feed, max_files, f"{out}/checkpoints/headers_{feed}", **options)
     tables.write_streaming_table(stream, path, f"{out}/checkpoints/bronze_{feed}")
     return path
 
 
+def refresh_items(spark, landing, out):
+    """Replace the bronze item master by the landed one; returns it without malformed text."""
+    items = write_materialized_view(
+        read_item_master(spark, landing, keep_malformed=True), f"{out}/bronze/item_master")
+    return items.drop(CORRUPT)
+
+
 def refresh_silver(spark, table, out, max_files=None, **dedupe_options):
-    """Take new bronze rows of one table into silver; returns the finished query."""
+    """Take new bronze rows of one table into silver and store the rule counts per batch;
+    returns the finished query."""
     bronze = tables.read_table_stream(spark, f"{out}/bronze/{table}", FEEDS[table], max_files)
     return tables.write_streaming_table(
         tables.silver_stream(bronze, table, **dedupe_options),
         f"{out}/silver/{table}", f"{out}/checkpoints/silver_{table}",
+        tables.keep_rule_counts(spark, f"{out}/rule_counts", table),
     )
 
 
@@ -48,22 +60,31 @@ def rebuild_gold(spark, items, out):
     alerts = write_materialized_view(
         gold.overstock_alert(summary), f"{out}/gold/overstock_alert", cluster_by="month"
     )
+    rules = quality.EXPECTATIONS["overstock_alert"]
+    tables.store_counts(
+        quality.violation_counts(alerts, "overstock_alert", rules).select(
+            "dataset", F.col("expectation").alias("measure"), F.col("violations").alias("row_count")),
+        f"{out}/rule_counts", "overstock_alert")
     return {"inventory_summary": summary, "turnover_analysis": analysis, "overstock_alert": alerts}
 
 
-def run_pipeline(spark, out, landing=None, max_files=None):
-    """One update: new files through bronze and silver, then gold from scratch."""
+def run_pipeline(spark, out, landing=None, max_files=None, watermarks=None):
+    """One update: new files through bronze and silver, then gold from scratch.
+
+    ``watermarks`` maps a silver table to the (column, delay) that bounds its dedupe state.
+    """
     landing = landing or landing_path(spark)
     for feed in STREAMED:
         ingest_bronze(spark, feed, landing, out, max_files)
     for table in KEYS:
-        refresh_silver(spark, table, out, max_files)
-    return rebuild_gold(spark, read_item_master(spark, landing), out)
+        refresh_silver(spark, table, out, max_files, watermark=(watermarks or {}).get(table))
+    return rebuild_gold(spark, refresh_items(spark, landing, out), out)
 
 
 def stored_tables(out):
     """(layer, table name, folder) of every table the pipeline stores."""
     found = [("bronze", f"raw_{feed}", f"{out}/bronze/{feed}") for feed in STREAMED]
+    found.append(("bronze", "item_master", f"{out}/bronze/item_master"))
     found += [("silver", table, f"{out}/silver/{table}") for table in KEYS]
     found += [("gold", table, f"{out}/gold/{table}") for table in GOLD]
     return found

@@ -695,9 +695,9 @@ def stream_quality_gate(t):
     root, out = new_dir(t.spark, "landing"), new_dir(t.spark, "tables")
     landing.land(t.feeds.landed_orders, root, "orders")
     medallion.ingest_bronze(t.spark, "orders", root, out)
-    done = medallion.refresh_silver(t.spark, "orders", out)
-    seen = streams.observed_violations(done, "orders")
-    counts = t.spark.createDataFrame(sorted(seen.items()), "measure string, row_count bigint")
+    medallion.refresh_silver(t.spark, "orders", out)
+    counts = streams.rule_counts(t.spark, f"{out}/rule_counts").groupBy("measure").agg(
+        F.sum("row_count").alias("row_count"))
     kept = medallion.read_layer(t.spark, out, "silver", "orders").agg(
         F.lit("silver_rows").alias("measure"), F.count(F.lit(1)).alias("row_count"))
     return counts.unionByName(kept)

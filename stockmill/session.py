@@ -1,6 +1,7 @@
 """Session set-up and the shared working folder."""
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -47,7 +48,7 @@ def shared_dir(spark):
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:

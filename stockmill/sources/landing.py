@@ -1,5 +1,16 @@
-"""CSV landing folders."""
+"""CSV landing folders, read by the names in each file's header.
 
+Files of one feed may differ in the order of their columns.  A pass over the first block of
+every new file notes its header line; rows are then read as text and parsed by the header of
+their own file, so a column can never land in another one's place.  A column that a file lacks
+is NULL; a column that the feed does not know is reported and left out.
+"""
+
+import csv
+import warnings
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from stockmill.schemas import FEEDS
@@ -7,6 +18,7 @@ from stockmill.schemas import FEEDS
 LANDING_PATH = "stockmill.landing_path"
 DEFAULT_LANDING_PATH = "landing"
 CORRUPT = "_corrupt_record"
+_HEADERS = "file string, header string, modified timestamp"
 
 
 def landing_path(spark):
@@ -23,12 +35,74 @@ def with_corrupt_record(schema):
     return StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
-def read_csv(spark, path, schema):
-    return spark.read.schema(schema).option("header", True).csv(path)
+def file_headers(spark, path, since=None):
+    """(file, header, modified) of the CSV files in a folder, or of those changed ``since``."""
+    reader = spark.read.option("modifiedAfter", since.isoformat()) if since else spark.read
+    lines = reader.format("text").load(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.monotonically_increasing_id().alias("place"))
+    return lines.where("start = 0").groupBy("file").agg(
+        F.min_by("value", "place").alias("header"), F.max("modified").alias("modified"))
+
+
+def note_headers(spark, path, noted):
+    """The headers of all files of a folder, kept in the table ``noted``; a later call reads
+    only the files that are new since then."""
+    try:
+        known = spark.read.schema(_HEADERS).parquet(noted)
+        since = known.agg(F.max("modified")).first()[0]
+    except AnalysisException:
+        known, since = None, None
+    found = file_headers(spark, path, since)
+    if known is not None:
+        found = found.join(known, "file", "left_anti")
+    found.select("file", "header", "modified").write.mode("append").parquet(noted)
+    return spark.read.schema(_HEADERS).parquet(noted)
+
+
+def parse_lines(lines, headers, schema):
+    """Rows of CSV text (``value``, ``file``) as the schema's columns and ``_corrupt_record``.
+
+    The number of different header lines is small; each gives one way to parse.
+    """
+    kinds = [r.header for r in headers.select("header").distinct().orderBy("header").collect()]
+    row = F.raise_error(F.concat(F.lit("no header noted for "), F.col("file"))).cast(
+        with_corrupt_record(schema))
+    for header in kinds:
+        names = [n.strip() for n in next(csv.reader([header or ""]), [])]
+        unknown = [n for n in names if n not in schema.names]
+        if unknown:
+            warnings.warn(f"columns left out: {', '.join(unknown)}", stacklevel=2)
+        known = {f.name: f.dataType for f in schema.fields}
+        laid = StructType([StructField(n, known.get(n, StringType())) for n in names])
+        parsed = F.from_csv(
+            "value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in
+                               with_corrupt_record(laid).fields),
+            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        cells = [(parsed[n] if n in names else F.lit(None).cast(t)).alias(n)
+                 for n, t in known.items()]
+        row = F.when(F.col("header").eqNullSafe(header),
+                     F.struct(*cells, parsed[CORRUPT].alias(CORRUPT))).otherwise(row)
+    body = lines.join(headers.select("file", "header"), "file", "left").where(
+        (F.col("value") != "") & ~F.col("value").eqNullSafe(F.col("header")))
+    fields = {f.name: f.metadata for f in schema.fields}
+    return body.select(row.alias("row")).select(
+        *[F.col(f"row.{n}").alias(n, metadata=m) for n, m in fields.items()],
+        F.col(f"row.{CORRUPT}"))
+
+
+def read_csv(spark, path, schema, keep_malformed=False):
+    """CSV files by header; ``keep_malformed`` adds the text of rows that do not fit."""
+    lines = spark.read.format("text").load(path).select(
+        "value", F.col("_metadata.file_path").alias("file"))
+    rows = parse_lines(lines, file_headers(spark, path), schema)
+    return rows if keep_malformed else rows.drop(CORRUPT)
 
 
-def read_item_master(spark, root):
-    return read_csv(spark, feed_path(root, "item_master"), FEEDS["item_master"])
+def read_item_master(spark, root, keep_malformed=False):
+    return read_csv(spark, feed_path(root, "item_master"), FEEDS["item_master"], keep_malformed)
 
 
 def land(df, root, feed, mode="append"):

@@ -7,48 +7,57 @@ takes only new ones.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from stockmill.operators.dedupe import KEYS
 from stockmill.operators.quality import EXPECTATIONS, apply_expectations
 from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
-from stockmill.sources.landing import CORRUPT, feed_path, with_corrupt_record
+from stockmill.session import new_dir
+from stockmill.sources.landing import feed_path, note_headers, parse_lines
 
 BATCH_BYTES = 1 << 40
+_EVENT_TIME = "_event_time"
+_COUNTS = "dataset string, batch bigint, measure string, row_count bigint"
 
 
-def _reader(spark, schema, max_files):
-    """Batches hold at most ``max_files`` files, or else about ``BATCH_BYTES``.
+def _reader(spark, max_files, batch_bytes=BATCH_BYTES):
+    """Batches hold at most ``max_files`` files, or else about ``batch_bytes``.
 
     A backlog of any size is thus worked off in batches whose state and output commit one
     after the other, and a restart repeats one batch at most.
     """
-    reader = spark.readStream.schema(schema)
     if max_files:
-        return reader.option("maxFilesPerTrigger", max_files)
-    return reader.option("maxBytesPerTrigger", BATCH_BYTES)
-
-
-def read_landing_stream(spark, root, feed, max_files=None):
-    """New CSV files of a feed; a field that does not fit its type becomes NULL and the
-    row's text is kept in ``_corrupt_record``."""
-    reader = _reader(spark, with_corrupt_record(FEEDS[feed]), max_files)
-    return (
-        reader.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(feed_path(root, feed))
-    )
+        return spark.readStream.option("maxFilesPerTrigger", max_files)
+    return spark.readStream.option("maxBytesPerTrigger", batch_bytes)
+
 
+def read_landing_stream(spark, root, feed, max_files=None, noted=None, batch_bytes=BATCH_BYTES):
+    """New CSV files of a feed, each read by its own header; a field that does not fit its type
+    becomes NULL and the row's text is kept in ``_corrupt_record``.
+
+    Headers are noted in the table ``noted`` (default: a new folder) before the stream starts;
+    a file that arrives in between stops the run, and the next run takes it.
+    """
+    path = feed_path(root, feed)
+    headers = note_headers(spark, path, noted or new_dir(spark, "headers"))
+    lines = _reader(spark, max_files, batch_bytes).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"))
+    return parse_lines(lines, headers, FEEDS[feed])
 
-def read_table_stream(spark, path, schema, max_files=None):
+
+def read_table_stream(spark, path, schema, max_files=None, batch_bytes=BATCH_BYTES):
     """New files of a table written by a stream."""
-    return _reader(spark, schema, max_files).parquet(path)
+    return _reader(spark, max_files, batch_bytes).schema(schema).parquet(path)
+
 
+def write_streaming_table(df, path, checkpoint, on_progress=None):
+    """Append a stream to a Parquet table and wait until all arrived files are in.
 
-def write_streaming_table(df, path, checkpoint):
-    """Append a stream to a Parquet table and wait until all arrived files are in."""
+    ``on_progress`` gets every batch's progress, some more than once: it is asked for while
+    the stream runs, so the length of the kept history does not matter.
+    """
     query = (
         df.writeStream.format("parquet")
         .outputMode("append")
@@ -57,7 +66,11 @@ def write_streaming_table(df, path, checkpoint):
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(1 if on_progress else None) is not False
+        for step in query.recentProgress if on_progress else ():
+            on_progress(step)
     return query
 
 
@@ -81,13 +94,18 @@ def collapse_copies(df, keys):
 def dedupe_stream(df, keys, collapse=True, watermark=None):
     """First arrival of each key, across batches.
 
-    ``watermark`` (column, delay) bounds the state for feeds whose copies arrive close
-    together; without it the state holds every key seen.
+    ``watermark`` (date or timestamp column, delay) bounds the state for feeds whose copies
+    arrive close together; without it the state holds every key seen.
     """
     if collapse:
         df = collapse_copies(df, keys)
     if watermark:
-        return df.withWatermark(*watermark).dropDuplicatesWithinWatermark(keys)
+        column, delay = watermark
+        if isinstance(df.schema[column].dataType, DateType):
+            timed = df.withColumn(_EVENT_TIME, F.col(column).cast("timestamp"))
+            return timed.withWatermark(_EVENT_TIME, delay).dropDuplicatesWithinWatermark(
+                keys).drop(_EVENT_TIME)
+        return df.withWatermark(column, delay).dropDuplicatesWithinWatermark(keys)
     return df.dropDuplicates(keys)
 
 
@@ -98,22 +116,32 @@ def silver_stream(bronze, table, observe=True, **dedupe_options):
     return dedupe_stream(gated, KEYS[table], **dedupe_options)
 
 
-def observed_violations(query, table):
-    """Violations per rule, summed over the batches of a finished query.
+def keep_rule_counts(spark, path, table):
+    """A progress handler that stores the rule counts of each batch once.
 
-    A query keeps a limited number of progress entries; a run that reached the limit
-    raises rather than report a partial count.
+    A batch has a folder of its own that is written over, so a batch that is replayed, or
+    reported twice, counts once.
     """
-    limit = int(SparkSession.active().conf.get(
-        "spark.sql.streaming.numRecentProgressUpdates", "100"))
-    progress = query.recentProgress
-    if len(progress) >= limit:
-        raise RuntimeError("progress history is full; raise "
-                           "spark.sql.streaming.numRecentProgressUpdates")
-    totals = {}
-    for step in progress:
+    done = set()
+
+    def keep(step):
         row = step.observedMetrics.get(f"{table}_quality")
-        if row is not None:
-            for name, value in row.asDict().items():
-                totals[name] = totals.get(name, 0) + value
-    return totals
+        if row is None or step.batchId in done:
+            return
+        done.add(step.batchId)
+        rows = [(table, name, value) for name, value in sorted(row.asDict().items())]
+        store_counts(spark.createDataFrame(rows, "dataset string, measure string, row_count bigint"),
+                     path, table, step.batchId)
+
+    return keep
+
+
+def store_counts(counts, path, table, batch=0):
+    """Write the rule counts (dataset, measure, row_count) of one batch in place of earlier ones."""
+    counts.select("dataset", F.lit(batch).cast("bigint").alias("batch"), "measure", "row_count"
+                  ).coalesce(1).write.mode("overwrite").parquet(f"{path}/{table}-{batch}")
+
+
+def rule_counts(spark, path):
+    """(dataset, batch, measure, row_count) of all batches stored."""
+    return spark.read.schema(_COUNTS).parquet(f"{path}/*")

@@ -189,3 +189,21 @@ def test_shared_dir_is_the_session_setting():
         shared_dir(_Session("yarn"))
     local = _Session("local[2]")
     assert shared_dir(local) == shared_dir(local)
+
+
+def test_failed_write_leaves_the_old_table(spark, fresh):
+    path = f"{fresh}/t"
+    sinks.write_materialized_view(spark.range(5), path)
+    bad = spark.range(10).select(F.when(F.col("id") < 9, F.col("id")).otherwise(
+        F.raise_error(F.lit("stop")).cast("bigint")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_materialized_view(bad, path)
+    assert spark.read.parquet(path).count() == 5
+    doubled = spark.read.parquet(path).union(spark.read.parquet(path))
+    assert sinks.write_materialized_view(doubled, path).count() == 10
+
+
+def test_two_column_report(spark):
+    df = spark.createDataFrame([("a", 2), ("b", 3)], "name string, total_qty long")
+    total = report.report_totals(df).filter("row_kind = 'total'").first()
+    assert total.total_qty == 5
