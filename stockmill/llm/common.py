@@ -29,6 +29,11 @@ def stored(df, label):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unbounded(df):
+    """A join side that grows with the corpus: sorted and merged at every size, never broadcast."""
+    return df.hint("merge")
+
+
 def free_shuffles(spark):
     """Let the driver notice unused shuffle files between rounds of a loop."""
     spark.sparkContext._jvm.System.gc()

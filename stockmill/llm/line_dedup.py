@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stockmill.llm.common import free_shuffles, stored, with_arrow_columns
+from stockmill.llm.common import free_shuffles, stored, unbounded, with_arrow_columns
 from stockmill.llm.words import CLEAN, Runs, mix, word_hashes
 
 MIN_WORDS = 3
@@ -97,8 +97,9 @@ def _screened(distinct):
     """
     halves = distinct.select("h1", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").count().where("count > 1").select("key")
-    through = halves.join(stored(shared, "line-halves"), "key").select("h1").distinct()
-    return distinct.select("h1", "first").join(stored(through, "line-names"), "h1").select("first")
+    through = halves.join(unbounded(stored(shared, "line-halves")), "key").select("h1").distinct()
+    return distinct.select("h1", "first").join(
+        unbounded(stored(through, "line-names")), "h1").select("first")
 
 
 def _variants(survivors, docs, text):
@@ -107,8 +108,7 @@ def _variants(survivors, docs, text):
         F.collect_list(F.col("first.line")).alias("numbers"))
     wanted = stored(wanted, "line-places").select(
         F.col("doc_id").alias("id"), F.col("place").alias("hash"), "numbers")
-    # a side that grows with the corpus: joined in one way at every size
-    held = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (
+    held = docs.join(unbounded(wanted), F.col("doc_id").eqNullSafe(F.col("id")) & (
         F.col("place") == F.col("hash")))
 
     def prepare():
@@ -144,7 +144,7 @@ def _earliest_near(variants):
     keys = variants.select("first", F.explode("keys").alias("k")).select(
         "first", F.col("k")[0].alias("gone"), F.col("k")[1].alias("v1"), F.col("k")[2].alias("v2"))
     shared = keys.groupBy("v1", "v2").count().where("count > 1").select("v1", "v2")
-    keys = stored(keys.join(stored(shared, "shared-variants"), ["v1", "v2"]), "line-variants")
+    keys = stored(keys.join(unbounded(stored(shared, "shared-variants")), ["v1", "v2"]), "line-variants")
     whole = F.col("gone") == -1
     same_place = keys.where(~whole).groupBy("v1", "v2", "gone").agg(
         F.min("first").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -152,9 +152,9 @@ def _earliest_near(variants):
         F.min(F.when(whole, F.col("first"))).alias("low_whole"),
         F.min(F.when(~whole, F.col("first"))).alias("low_part")).where(
         "low_whole IS NOT NULL AND low_part IS NOT NULL")
-    replaced = keys.join(stored(same_place, "line-same-place"), ["v1", "v2", "gone"]).select(
+    replaced = keys.join(unbounded(stored(same_place, "line-same-place")), ["v1", "v2", "gone"]).select(
         "first", "low")
-    grown = keys.join(stored(inserted, "line-inserted"), ["v1", "v2"]).select(
+    grown = keys.join(unbounded(stored(inserted, "line-inserted")), ["v1", "v2"]).select(
         "first", F.when(whole, F.col("low_part")).otherwise(F.col("low_whole")).alias("low"))
     return replaced.union(grown).where("low < first").groupBy("first").agg(
         F.min("low").alias("low"))
@@ -194,7 +194,8 @@ def repeated_lines(docs, text="text", doc_id="doc_id"):
                        F.xxhash64(F.col(f"`{text}`")).alias("place"))
     lines = stored(_line_table(rows, "text"), "lines")
     distinct = stored(lines.groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.any_value("keys").alias("keys")), "distinct-lines")
+        F.min("at").alias("first"), F.any_value("keys").alias("keys"),
+        F.count("*").alias("n")), "distinct-lines")
     survivors = stored(_screened(distinct), "line-survivors")
     free_shuffles(spark)
     variants = stored(_variants(survivors, rows, "text"), "line-words")
@@ -202,10 +203,10 @@ def repeated_lines(docs, text="text", doc_id="doc_id"):
     near = stored(_verified(stored(_earliest_near(variants), "line-pairs"), variants),
                   "near-lines")
     free_shuffles(spark)
-    judged = stored(distinct.select("h1", "h2", "first").join(
-        near.withColumn("near", F.lit(True)), "first", "left"), "judged-lines")
-    dropped = lines.select("at", "h1", "h2").join(judged, ["h1", "h2"]).where(
-        F.coalesce("near", F.lit(False)) | (F.col("at") != F.col("first")))
+    again = distinct.where("n > 1").select("h1", "h2", "first")
+    repeated = lines.select("at", "h1", "h2").join(unbounded(again), ["h1", "h2"]).where(
+        F.col("at") != F.col("first")).select("at")
+    dropped = repeated.union(near.select(F.col("first").alias("at")))
     return dropped.groupBy("at.doc_id", "at.place").agg(
         F.sort_array(F.collect_set("at.line")).alias("dropped"))
 
@@ -219,7 +220,7 @@ def dedupe_lines(docs, text="text", doc_id="doc_id"):
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     body = F.col("row")[text]
     joined = rows.join(
-        dropped.hint("merge"), (F.xxhash64(body) == F.col("_place"))
+        unbounded(dropped), (F.xxhash64(body) == F.col("_place"))
         & F.col("row")[doc_id].eqNullSafe(F.col("_id")), "left").select("row", "dropped")
 
     def prepare():
