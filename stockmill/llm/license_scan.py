@@ -166,7 +166,8 @@ class Model:
     """Word features, family regression and calibration."""
 
     def __init__(self, docs, text="text", doc_id="doc_id"):
-        examples = _examples(docs, text, doc_id).cache()
+        # a few thousand short rows at most: one partition, as each fitting step is a job
+        examples = _examples(docs, text, doc_id).repartition(1).cache()
         self._families = StringIndexer(inputCol="family", outputCol="label",
                                        stringOrderType="alphabetAsc").fit(examples)
         labelled = self._families.transform(examples)
