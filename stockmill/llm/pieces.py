@@ -35,6 +35,8 @@ SHARPNESS = 1.0
 SEED = 1
 _SPACE = "▁"
 _BASE = 0xC2B2AE3D27D4EB4F
+#: Bytes of text whose lattices are held at once; one longer part is held whole.
+LETTERS_AT_ONCE = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +88,8 @@ class Segmenter:
                     ends.append(-1)
                 node = children[node][b]
             ends[node] = i
-        self._next = np.zeros((len(children), 256), np.int32)
+        self._next = np.zeros((len(children), 256),
+                              np.uint16 if len(children) <= 1 << 16 else np.int32)
         for node, found in enumerate(children):
             for b, child in found.items():
                 self._next[node, b] = child
@@ -100,14 +103,23 @@ class Segmenter:
         """Piece ids of all texts in a row, and how many each has; ``keys`` seed the rows."""
         padded = [b" " + t if t else b"" for t in texts]
         data = np.frombuffer(b"".join(padded), np.uint8)
-        sizes = np.array([len(p) for p in padded])
-        if not len(data):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        sizes = np.array([len(p) for p in padded], np.int64)
         begin = np.cumsum(sizes) - sizes
-        ids, counts = self._encode(data, sizes, begin, keys, share=True)
-        if not np.array_equal(self.letters(ids), data):  # two parts with one hash
-            ids, counts = self._encode(data, sizes, begin, keys, share=False)
-        return ids, counts
+        opens = np.flatnonzero((data[1:] == 32) & (data[:-1] != 32)) + 1
+        starts = np.unique(np.concatenate([opens, begin[sizes > 0]]))
+        lengths = np.diff(np.append(starts, len(data)))
+        text = np.repeat(np.arange(len(sizes)), sizes)[starts]
+        seeds = mix(np.asarray(keys, np.int64).view(np.uint64))
+        out, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), LETTERS_AT_ONCE)))
+        for low, high in zip(cuts, np.append(cuts[1:], len(starts))):
+            at, owner = starts[low:high], text[low:high]
+            part = data[at[0]:at[-1] + lengths[high - 1]]
+            ids, n = self._encode(part, at - at[0], lengths[low:high], seeds[owner],
+                                  at - begin[owner])
+            out.append(ids)
+            np.add.at(counts, owner, n)
+        return np.concatenate(out), counts
 
     def letters(self, ids):
         """The bytes that pieces spell."""
@@ -116,21 +128,23 @@ class Segmenter:
         place = np.repeat(self._offset[ids] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)
         return self._letters[place]
 
-    def _encode(self, data, sizes, begin, keys, share):
-        space = data == 32
-        opens = space & ~np.concatenate([[False], space[:-1]])
-        opens[begin[sizes > 0]] = True
-        starts = np.flatnonzero(opens)
-        lengths = np.diff(np.append(starts, len(data)))
-        which = np.arange(len(starts))
-        first = which
+    def decode(self, ids):
+        """The text's bytes: what the pieces spell, without the space in front."""
+        return self.letters(ids)[1:].tobytes()
+
+    def _encode(self, data, starts, lengths, seeds, places, share=True):
+        """Piece ids of parts that fill ``data``, and how many each has."""
+        first = which = np.arange(len(starts))
         if share:
             sums = prefix_sums(data.astype(np.uint64) + np.uint64(1), _BASE)
             names = mix(run_hash(sums, starts, starts + lengths, _BASE)
                         ^ mix(lengths.astype(np.uint64)))
             _, first, which = np.unique(names, return_index=True, return_inverse=True)
         lattice = self._lattice(data, starts[first], lengths[first])
-        return self._sample(data, sizes, begin, keys, starts, which, lattice)
+        ids, counts = self._sample(data, starts, seeds, places, which, lattice)
+        if share and not np.array_equal(self.letters(ids), data):  # two parts with one hash
+            return self._encode(data, starts, lengths, seeds, places, share=False)
+        return ids, counts
 
     def _lattice(self, data, starts, lengths):
         """Edges of the distinct parts by end node, with cumulated shares of the filter's sums."""
@@ -197,18 +211,16 @@ class Segmenter:
         share[heads + members - 1] = 1.0
         return base + np.arange(len(starts)), lengths, node_from, piece, share, head
 
-    def _sample(self, data, sizes, begin, keys, starts, which, lattice):
+    def _sample(self, data, starts, seeds, places, which, lattice):
         root, lengths, node_from, piece, share, head = lattice
-        text = np.repeat(np.arange(len(sizes)), sizes)[starts]
-        key = mix(np.asarray(keys, np.int64).view(np.uint64))[text]
         shift = starts - root[which]
         chosen = np.full(len(data) + 1, -1, np.int64)
         node, origin = root[which] + lengths[which], root[which]
-        offset = (shift - begin[text]).astype(np.int64)
+        offset = places - root[which]  # from a node to its place in the text
         live = np.arange(len(starts))
         while len(live):
             now = node[live]
-            drawn = mix(key[live] ^ ((now + offset[live]).astype(np.uint64) * _STEP))
+            drawn = mix(seeds[live] ^ ((now + offset[live]).astype(np.uint64) * _STEP))
             u = (drawn >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
             edge = head[now]
             later = np.flatnonzero(share[edge] <= u)
@@ -230,12 +242,13 @@ class Segmenter:
                 np.cumsum(n) - n, n)
             out[out < 0] = self.words.byte_ids[data[place[out < 0]]]
         upto = np.concatenate([[0], np.cumsum(n)])
-        counts = np.diff(upto[np.searchsorted(ends, np.append(begin, len(data)), side="right")])
+        counts = np.diff(upto[np.searchsorted(ends, np.append(starts, len(data)), side="right")])
         return out, counts
 
 
 def encode(docs, vocabulary, key="doc_id", text="text", seed=SEED):
-    """Columns ``row`` (the document's own) and ``out.ids``: one sampled segmentation."""
+    """Columns ``row`` (the document's own) and ``out``: ids, one sampled segmentation, and
+    lossless, whether they decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def prepare():
@@ -245,14 +258,16 @@ def encode(docs, vocabulary, key="doc_id", text="text", seed=SEED):
             held = [t.encode() if t else b"" for t in texts.to_pylist()]
             ids, counts = segmenter.encode(held, keys.to_numpy())
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            same = [segmenter.decode(ids[a:b]) == t
+                    for t, a, b in zip(held, offsets, offsets[1:])]
             return [pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(ids, pa.int32()), mask=texts.is_null())]
+                pa.array(offsets), pa.array(ids, pa.int32()), mask=texts.is_null()), same]
 
         return compute
 
     return with_arrow_columns(
-        docs, [F.col(f"`{text}`"), F.xxhash64(F.lit(seed), F.col(f"`{key}`"))],
-        "ids array<int>", prepare)
+        docs, [text, F.xxhash64(F.lit(seed), F.col(f"`{key}`"))],
+        "ids array<int>, lossless boolean", prepare)
 
 
 def decode(coded, vocabulary, ids):
@@ -270,7 +285,7 @@ def decode(coded, vocabulary, ids):
                 if n is None:
                     out.append(None)
                     continue
-                out.append(segmenter.letters(values[at:at + n])[1:].tobytes().decode())
+                out.append(segmenter.decode(values[at:at + n]).decode())
                 at += n
             return [out]
 

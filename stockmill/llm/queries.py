@@ -93,14 +93,10 @@ def op9_suffix_dedup(spark, sf_dir):
 
 @query
 def op10_pieces(spark, sf_dir):
-    vocabulary = pieces.load()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.encode(docs, vocabulary)
-    back = pieces.decode(coded, vocabulary, F.col("out.ids"))
-    return back.select(
-        "row.row.doc_id", F.size("row.out.ids").cast("bigint").alias("n_pieces"),
-        F.col("row.out.ids").alias("ids"),
-        F.col("out.text").eqNullSafe(F.col("row.row.text")).alias("lossless"))
+    return pieces.encode(docs, pieces.load()).select(
+        "row.doc_id", F.size("out.ids").cast("bigint").alias("n_pieces"), "out.ids",
+        "out.lossless")
 
 
 ORACLE["op1_decontamination"] = r"""
@@ -172,3 +168,31 @@ SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN done USING (doc_id)
 """
+
+ORACLE["op5_ngram_join"] = r"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i
+        FROM doc_words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b, c = m.n AND c = o.n AS same
+  FROM pairs JOIN sizes m ON m.doc_id = a JOIN sizes o ON o.doc_id = b
+  WHERE 5 * c >= 4 * (m.n + o.n - c)),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+parts AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (
+  SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (same) AS twin FROM links GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(twin, d.doc_id)) AS class_id,
+  coalesce(n_links, 0)::BIGINT AS n_links, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN parts p ON p.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id
+"""
