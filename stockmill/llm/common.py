@@ -1,5 +1,8 @@
 """Helpers shared by the text operators."""
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -47,18 +50,32 @@ def _slices(batches):
             yield batch.slice(start, rows)
 
 
+def _give_back():
+    """Return freed memory to the system: a Python worker waits for its next task, and would
+    hold what this one took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def with_arrow_columns(df, inputs, outputs, prepare, keep=None):
     """Add columns computed per Arrow batch, whatever the other columns are called.
 
-    ``inputs`` are columns, ``outputs`` a DDL list, ``prepare()`` runs once per task and gives
+    ``inputs`` are columns, or names of columns that are carried anyway and so need not be
+    sent twice; ``outputs`` is a DDL list, ``prepare()`` runs once per task and gives
     a function from the input arrays to one list or array per output.  The result has two
     columns: ``row`` (the columns ``keep`` of ``df``, or all) and ``out`` (the outputs).
     """
     packed = df.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"),
-        F.struct(*[column.alias(f"x{i}") for i, column in enumerate(inputs)]).alias("x"),
+        F.struct(F.lit(True).alias("x"), *[
+            column.alias(f"x{i}") for i, column in enumerate(inputs)
+            if not isinstance(column, str)]).alias("x"),
     )
     out_type = StructType.fromDDL(outputs)
+    names = [x if isinstance(x, str) else None for x in inputs]
     schema = StructType().add(packed.schema["row"]).add("out", out_type, False)
 
     def run(batches):
@@ -66,10 +83,16 @@ def with_arrow_columns(df, inputs, outputs, prepare, keep=None):
         types = [to_arrow_type(f.dataType) for f in out_type.fields]
         fields = [pa.field(f.name, t) for f, t in zip(out_type.fields, types)]
         for batch in _slices(batches):
-            columns = compute(*batch.column("x").flatten())
+            row, sent = batch.column("row"), iter(batch.column("x").flatten()[1:])
+            columns = compute(*[row.field(row.type.get_field_index(x)) if isinstance(x, str)
+                                else next(sent) for x in names])
             arrays = [c.cast(t) if isinstance(c, pa.Array) else pa.array(c, type=t)
                       for c, t in zip(columns, types)]
             out = pa.StructArray.from_arrays(arrays, fields=fields)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), out], names=["row", "out"])
+            yield pa.RecordBatch.from_arrays([row, out], names=["row", "out"])
+            del columns, arrays, out
+            pa.default_memory_pool().release_unused()
+        del compute
+        _give_back()
 
     return packed.mapInArrow(run, schema)

@@ -28,7 +28,8 @@ _CLEAN = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
     for c in range(256)
 )
-_OUT = "n_words bigint, n_hit bigint, items array<bigint>, runs array<array<bigint>>"
+_OUT = ("n_words bigint, n_hit bigint, items array<bigint>, runs array<array<bigint>>, "
+        "spans array<array<bigint>>")
 _automata = {}
 
 
@@ -117,7 +118,10 @@ def scan(docs, items, text="text", item_id="item_id", item_text="text", window=W
         state = _one_pass(state, text, windows)
         if block + 1 < blocks:
             state = stored(state, "decontaminate")
-    return _with_spans(state, text)
+    n_hit, n_words = F.col("out.n_hit"), F.col("out.n_words")
+    return state.select("row", F.struct(
+        "out.n_words", "out.n_hit", "out.items", "out.spans",
+        ((n_hit > 0) & (n_hit * ONE_IN >= n_words)).alias("contaminated")).alias("out"))
 
 
 def _one_pass(state, text, windows):
@@ -131,14 +135,16 @@ def _one_pass(state, text, windows):
         built = _automata[name]
 
         def compute(texts, items_before, runs_before):
-            out = [], [], [], []
+            out = [], [], [], [], []
             for text, items, runs in zip(texts.to_pylist(), items_before.to_pylist(),
                                          runs_before.to_pylist()):
-                n_words, found, merged = scan_text((text or "").encode(), built, runs)
+                data = (text or "").encode()
+                n_words, found, merged = scan_text(data, built, runs)
                 out[0].append(n_words)
                 out[1].append(sum(last - first + 1 for first, last in merged))
                 out[2].append(sorted(found.union(items), key=lambda x: (x is None, x)))
                 out[3].append(merged)
+                out[4].append(char_spans(data, merged))
             return out
 
         return compute
@@ -146,20 +152,3 @@ def _one_pass(state, text, windows):
     scanned = with_arrow_columns(
         state, [F.col("row")[text], F.col("out.items"), F.col("out.runs")], _OUT, prepare)
     return scanned.select("row.row", "out")
-
-
-def _with_spans(state, text):
-    def prepare():
-        def compute(texts, runs):
-            return [[char_spans((t or "").encode(), r)
-                     for t, r in zip(texts.to_pylist(), runs.to_pylist())]]
-
-        return compute
-
-    spans = with_arrow_columns(state, [F.col("row")[text], F.col("out.runs")],
-                               "spans array<array<bigint>>", prepare)
-    n_hit, n_words = F.col("row.out.n_hit"), F.col("row.out.n_words")
-    return spans.select(
-        F.col("row.row").alias("row"),
-        F.struct("row.out.n_words", "row.out.n_hit", "row.out.items", "out.spans",
-                 ((n_hit > 0) & (n_hit * ONE_IN >= n_words)).alias("contaminated")).alias("out"))

@@ -213,5 +213,5 @@ def predict(docs, model, text="text"):
 
         return compute
 
-    return with_arrow_columns(docs, [F.col(f"`{text}`")], "lang_pred string, score double",
+    return with_arrow_columns(docs, [text], "lang_pred string, score double",
                               prepare)

@@ -138,4 +138,4 @@ def score(docs, model, text="text"):
 
         return compute
 
-    return with_arrow_columns(docs, [F.col(f"`{text}`")], "score double", prepare)
+    return with_arrow_columns(docs, [text], "score double", prepare)
