@@ -6,10 +6,12 @@ and each looks at the points next to it.  Each round then joins neighbours of ne
 around every point, its list and the points that list it meet and exchange better neighbours.
 Rounds end when they hardly find links (similarity at the threshold) any more.
 
-A list full of links is saturated: its point may have more.  Lists are therefore enlarged to
-all members of the point's connected part of the graph, which meet in blocks of bounded size;
-there cosines are taken in double precision and links leave as counts and spanning ties, so a
-large group of copies costs no row per pair.
+A list full of links is saturated: its point may have more.  Inside the point's connected part
+of the graph all members meet in blocks of bounded size; there cosines are taken in double
+precision and links leave as counts and spanning ties, so a large group of copies costs no row
+per pair.  Links to other parts, which closer members of its own part keep off a full list, are
+searched on their own: full points keep second lists of the best points of other parts, parts
+with a link become one, and this goes on until no full point has a link to another part.
 
 Recall is audited: a bounded sample of points is compared with all, and while the links found
 fall short, further projection orders and rounds follow.
@@ -35,6 +37,8 @@ ORDERS = 12
 BESIDE = 32
 #: Points of a block, and of the part of a hub's listeners that meet at once.
 BLOCK, LISTENERS = 256, 96
+#: Points of a part that look for other parts at each place of an order.
+LANES = 8
 AUDIT, RECALL, ATTEMPTS = 256, 0.99, 4
 #: Slack for the half-precision vectors that the graph is built with.
 SLACK = 0.004
@@ -76,8 +80,8 @@ def _stack(column, dtype):
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def _best(ids, vectors, k, worse=None):
-    """For each point of a group its best others: rows (id, near, sim)."""
+def _best(ids, vectors, k, parts, worse=None):
+    """For each point of a group its best points of other parts: rows (id, near, sim)."""
     out = []
     sizes = np.array([len(v) for v in vectors])
     for size in np.unique(sizes):
@@ -86,7 +90,7 @@ def _best(ids, vectors, k, worse=None):
             continue
         x = np.stack([vectors[i] for i in at]).astype(np.float32)
         sims = x @ x.T
-        sims[ids[at][:, None] == ids[at][None]] = -2
+        sims[parts[at][:, None] == parts[at][None]] = -2
         n = min(k, len(at) - 1)
         top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
         found = np.take_along_axis(sims, top, 1)
@@ -100,9 +104,8 @@ _LISTED = "id bigint, near bigint, sim float"
 _LISTED_SCHEMA = pa.schema([("id", pa.int64()), ("near", pa.int64()), ("sim", pa.float32())])
 
 
-def _orders(points, n, seed, orders=ORDERS, beside=BESIDE):
-    """Neighbours found next to each point in random-projection orders."""
-    bits = max(1, math.ceil(math.log2(max(2, n / beside))))
+def _spread(points, bits, seed, orders=ORDERS):
+    """Each point with its place in every random-projection order: order, code, fine."""
 
     def keys():
         def planes(size):
@@ -123,19 +126,29 @@ def _orders(points, n, seed, orders=ORDERS, beside=BESIDE):
 
         return compute
 
-    keyed = with_arrow_columns(points, [F.col("half")], "codes array<bigint>, fine array<float>",
-                               keys)
-    spread = keyed.select(
-        "row.id", "row.half",
+    keyed = with_arrow_columns(points.select("id", "part", "half"), [F.col("half")],
+                               "codes array<bigint>, fine array<float>", keys)
+    return keyed.select(
+        "row.id", "row.part", "row.half",
         F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(orders)).alias("o"),
                                F.col("out.codes").alias("c"), F.col("out.fine").alias("f"))
-                  ).alias("k")).select("id", "half", "k.*").toDF(
-        "id", "half", "order", "code", "fine")
+                  ).alias("k")).select("id", "part", "half", "k.*").toDF(
+        "id", "part", "half", "order", "code", "fine")
+
+
+def _bits(n, beside=BESIDE):
+    return max(1, math.ceil(math.log2(max(2, n / beside))))
+
+
+def _orders(spread, beside=BESIDE):
+    """Neighbours of other parts found next to each point in random-projection orders."""
 
     def look(batches):
-        ids, vectors, order = np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+        ids, vectors = np.zeros(0, np.int64), []
+        parts, order = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             ids = np.concatenate([ids, batch.column("id").to_numpy()])
+            parts = np.concatenate([parts, batch.column("part").to_numpy()])
             order = np.concatenate([order, batch.column("order").to_numpy()])
             vectors = vectors + _stack(batch.column("half"), np.float16)
             start = 0
@@ -143,54 +156,61 @@ def _orders(points, n, seed, orders=ORDERS, beside=BESIDE):
                 end = start + beside
                 for o in np.unique(order[start:end]):
                     at = start + np.flatnonzero(order[start:end] == o)
-                    found = _best(ids[at], [vectors[i] for i in at], 4)
+                    found = _best(ids[at], [vectors[i] for i in at], 4, parts[at])
                     if found:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(x) for x in found], schema=_LISTED_SCHEMA)
                 start += beside // 2
-            ids, order, vectors = ids[start:], order[start:], vectors[start:]
+            ids, parts, order = ids[start:], parts[start:], order[start:]
+            vectors = vectors[start:]
 
     ranged = spread.repartitionByRange("order", "code", "fine").sortWithinPartitions(
         "order", "code", "fine")
-    return ranged.select("id", "half", F.col("order").cast("bigint").alias("order")).mapInArrow(
-        look, _LISTED)
+    return ranged.select("id", "part", "half", F.col("order").cast("bigint").alias("order")
+                         ).mapInArrow(look, _LISTED)
 
 
-def _kept(listed, k):
-    """The k best of each point's neighbours."""
+def _kept(listed, k, similarity):
+    """The k best of each point's neighbours, and how many of them are links."""
     pair = listed.repartition("id").groupBy("id", "near").agg(F.max("sim").alias("sim"))
     return pair.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct("sim", "near")), False), 1, k).alias("list"))
+        F.struct("sim", "near")), False), 1, k).alias("list")).withColumn(
+        "links", F.size(F.filter("list", lambda n: n["sim"] >= similarity - SLACK)))
+
+
+def _listed(lists):
+    return lists.select("id", F.explode("list").alias("n")).select("id", "n.near", "n.sim")
 
 
-def _descend(lists, points, k):
-    """One round: around every point the points of its list and its listeners meet."""
-    near = lists.select("id", F.explode("list").alias("n")).select("id", "n.near")
+def _descend(near, lists, points, k, similarity):
+    """One round: around every point the points it is ``near`` to and its listeners meet, and
+    ``lists`` take better neighbours of other parts."""
     listeners = stored(near.groupBy("near").agg(
         F.ceil(F.count("*") / LISTENERS).cast("int").alias("parts")).select(
         F.col("near").alias("center"), "parts"), "listeners")
     part = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
     back = near.select(F.col("near").alias("center"), F.col("id").alias("member")).join(
-        listeners, "center").select("center", "member", part.alias("part"))
+        listeners, "center").select("center", "member", part.alias("share"))
     ahead = near.select(F.col("id").alias("center"), F.col("near").alias("member")).union(
-        lists.select(F.col("id").alias("center"), F.col("id").alias("member"))).join(
+        near.select(F.col("id").alias("center"), F.col("id").alias("member"))).distinct().join(
         listeners, "center", "left").select(
         "center", "member",
-        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("share"))
     around = ahead.union(back).distinct()
-    worst = stored(points.join(lists, "id").select(
-        F.col("id").alias("member"), "half",
-        F.when(F.size("list") < k, F.lit(-1.5)).otherwise(
-            F.col("list")[F.size("list") - 1]["sim"]).cast("float").alias("worst")), "worst")
-    placed = around.join(worst, "member").repartition("center", "part").sortWithinPartitions(
-        "center", "part")
+    last = F.col("list")[F.size("list") - 1]["sim"]
+    worst = stored(points.join(lists, "id", "left").select(
+        F.col("id").alias("member"), "half", "part",
+        F.when(F.size("list") >= k, last).otherwise(F.lit(-1.5)).cast("float").alias("worst")),
+        "worst")
+    placed = around.join(worst, "member").repartition("center", "share").sortWithinPartitions(
+        "center", "share")
 
     def meet(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
-            key = held.column("center").to_numpy() * 31 + held.column("part").to_numpy()
+            key = held.column("center").to_numpy() * 31 + held.column("share").to_numpy()
             heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             if len(heads) > 1:
                 yield from exchange(held.slice(0, heads[-1]), heads[:-1])
@@ -200,18 +220,19 @@ def _descend(lists, points, k):
 
     def exchange(table, heads):
         ids, worse = table.column("member").to_numpy(), table.column("worst").to_numpy()
+        parts = table.column("part").to_numpy()
         vectors, out = _stack(table.column("half"), np.float16), []
         for low, high in zip(heads, np.append(heads[1:], len(ids))):
-            found = _best(ids[low:high], vectors[low:high], k, worse[low:high])
+            found = _best(ids[low:high], vectors[low:high], k, parts[low:high], worse[low:high])
             if found and len(found[0]):
                 out.append(found)
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x)) for x in zip(*out)], schema=_LISTED_SCHEMA)
 
-    found = placed.select("center", "part", "member", "half", "worst").mapInArrow(meet, _LISTED)
-    old = lists.select("id", F.explode("list").alias("n")).select("id", "n.near", "n.sim")
-    return _kept(old.union(found), k)
+    found = placed.select("center", "share", "member", "half", "part", "worst").mapInArrow(
+        meet, _LISTED)
+    return _kept(_listed(lists).union(found), k, similarity)
 
 
 def _link_count(lists, similarity):
@@ -219,12 +240,60 @@ def _link_count(lists, similarity):
         F.col("n.sim") >= similarity - SLACK).count()
 
 
-def _parts(lists, similarity):
-    """(id, part): points of connected parts by approximate links."""
-    ties = lists.select("id", F.explode("list").alias("n")).where(
-        F.col("n.sim") >= similarity - SLACK).select(
-        F.col("id").alias("a"), F.col("n.near").alias("b"))
-    return components(ties).withColumnRenamed("component", "part")
+def _ties(lists, similarity):
+    """Approximate links of the lists."""
+    return _listed(lists).where(F.col("sim") >= similarity - SLACK).select(
+        F.col("id").alias("a"), F.col("near").alias("b"))
+
+
+def _parts(lists, points, k, similarity, seed):
+    """(id, part): points of connected parts by approximate links.
+
+    A point whose list is not full has all its links there, so links between parts run between
+    full points only.  Of each part a few full points per place of every order look for others.
+    """
+    parts = components(_ties(lists, similarity)).withColumnRenamed("component", "part")
+    full = stored(lists.where(F.col("links") >= k).select("id"), "full-points")
+    own = _listed(lists.join(full, "id", "left_semi")).select("id", "near").join(
+        full.withColumnRenamed("id", "near"), "near", "left_semi").select("id", "near")
+    far = None
+    while True:
+        at = stored(parts.join(full, "id", "left_semi"), "full-parts")
+        n = at.select("part").distinct().count()
+        if n < 2:
+            return parts
+        held = stored(points.select("id", "half").join(at, "id"), "full-vectors")
+        rank = F.xxhash64("order", "id")
+        few = _spread(held, _bits(n * LANES), seed).groupBy(
+            "order", "code", "part", F.pmod(F.xxhash64("id"), F.lit(LANES)).alias("lane")).agg(
+            F.min_by(F.struct("id", "half", "fine"), rank).alias("x")).select(
+            "order", "code", "part", "x.*")
+        seen = _orders(few)
+        if far is not None:
+            mine, other = (at.select(F.col("id").alias(c), F.col("part").alias(f"{c}_part"))
+                           for c in ("id", "near"))
+            seen = seen.union(_listed(far).join(mine, "id").join(other, "near").where(
+                "id_part <> near_part").select("id", "near", "sim"))
+        far, moved = stored(_kept(seen, k, similarity), "far-lists"), True
+        while moved:
+            near = own.union(_listed(far).select("id", "near")).distinct()
+            new = stored(_descend(near, far, held, k, similarity), "far-lists")
+            free_shuffles(points.sparkSession)
+            best = far.select("id", F.col("list")[0]["sim"].alias("was"))
+            better = new.join(best, "id", "left").where(
+                F.col("was").isNull() | (F.col("list")[0]["sim"] > F.col("was"))).count()
+            far, moved = new, better > SETTLED * held.count()
+        joined = _ties(far, similarity)
+        for end in "ab":
+            joined = joined.join(at.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part")),
+                                 end)
+        joined = stored(joined.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")
+                                      ).distinct(), "joined-parts")
+        if not joined.limit(1).count():
+            return parts
+        parts = stored(parts.join(components(joined).withColumnRenamed("id", "part"), "part", "left"
+                                  ).select("id", F.coalesce("component", "part").alias("part")),
+                       "parts")
 
 
 def _all_links(parts, points, similarity):
@@ -307,27 +376,30 @@ def near_duplicates(vectors, vector="embedding", vec_id="vec_id", similarity=SIM
     # an id that stands for several vectors is told apart by a number of its own
     points = stored(halved.select(
         F.col("row.id").alias("vec_id"), F.monotonically_increasing_id().alias("id"),
-        "row.name", "row.copies", "row.unit", "out.half"), "points")
+        "row.name", "row.copies", "row.unit", "out.half").withColumn("part", F.col("id")), "points")
     n = points.count()
     lists, found = None, 0.0
     for attempt in range(ATTEMPTS):
-        seen = _orders(points, n, attempt)
+        seen = _orders(_spread(points, _bits(n), attempt))
         if lists is not None:
-            seen = seen.union(lists.select("id", F.explode("list").alias("n")).select(
-                "id", "n.near", "n.sim"))
-        lists = stored(_kept(seen, k), "lists")
+            seen = seen.union(_listed(lists))
+        lists = stored(_kept(seen, k, similarity), "lists")
         before, settled = _link_count(lists, similarity), False
         while not settled:
-            lists = stored(_descend(lists, points, k), "lists")
+            lists = stored(_descend(_listed(lists).select("id", "near"), lists, points, k,
+                                    similarity), "lists")
             free_shuffles(spark)
             now = _link_count(lists, similarity)
             settled = now - before <= SETTLED * max(1, now)
             before = now
-        met = stored(_all_links(_parts(lists, similarity), points, similarity), "part-links")
+        parts = _parts(lists, points, k, similarity, attempt)
+        met = stored(_all_links(parts, points, similarity), "part-links")
         links = met.groupBy("id").agg(F.sum("links").alias("links"))
         found = _audit(points, links, similarity, audit)
         if found >= recall:
             break
+    else:
+        raise RuntimeError(f"audited recall of links is {found:.4f}, wanted {recall}")
     names = points.select("id", F.col("vec_id").alias("own"))
     ties = met.where("low <> id").select(F.col("id").alias("a"), F.col("low").alias("b"))
     named_parts = components(ties).withColumnRenamed("component", "part")

@@ -157,3 +157,36 @@ def test_repeated_passages_of_odd_rows(make_docs, odd_rows, clashing):
     assert len(got) == len(odd_rows)
     assert {r.row.doc_id for r in got if r.out.spans} == {6}
     assert suffix_dedup.dedupe(make_docs([])).count() == 0
+
+
+def clumps(rng, sizes, inside=0.99, across=0.93, dims=64):
+    """Tight clumps of distinct vectors, in pairs whose centres are apart by ``across``."""
+    rows = []
+    for pair in sizes:
+        base, side = np.linalg.qr(rng.standard_normal((dims, 2)))[0].T
+        half = np.arccos(across) / 2
+        for n, turn in zip(pair, (-half, half)):
+            center = np.cos(turn) * base + np.sin(turn) * side
+            for _ in range(n):
+                x = center + rng.standard_normal(dims) * np.sqrt((1 / inside - 1) / dims)
+                rows.append(x / np.linalg.norm(x))
+    return np.stack(rows)
+
+
+def links_of(vectors):
+    links = vectors @ vectors.T >= 0.9
+    np.fill_diagonal(links, False)
+    return links.sum(1)
+
+
+def test_links_between_tight_clumps(spark):
+    """The ten best of every point are in its own clump; its links to the other one count too."""
+    x = clumps(np.random.default_rng(6), [(20, 20), (60, 15)])
+    want = links_of(x)
+    assert want[:40].min() > 19  # more than the own clump
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)],
+                               "vec_id bigint, embedding array<double>").repartition(3)
+    found, recall = embedding_dedup.near_duplicates(df)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    assert got == {i: (n, 0 if i < 40 else 40) for i, n in enumerate(want)}
+    assert recall == 1.0
