@@ -4,7 +4,7 @@ Vectors are scaled to length one; equal ones are one point with a count.  The ne
 starts from random-projection orders: points are sorted by the signs of random projections,
 and each looks at the points next to it.  Each round then joins neighbours of neighbours:
 around every point, its list and the points that list it meet and exchange better neighbours.
-Rounds end when they hardly find links (similarity at the threshold) any more.
+Rounds end when hardly any list that has room gains links (similarity at the threshold).
 
 A list full of links is saturated: its point may have more.  Inside the point's connected part
 of the graph all members meet in blocks of bounded size; there cosines are taken in double
@@ -13,8 +13,10 @@ per pair.  Links to other parts, which closer members of its own part keep off a
 searched on their own: full points keep second lists of the best points of other parts, parts
 with a link become one, and this goes on until no full point has a link to another part.
 
-Recall is audited: a bounded sample of points is compared with all, and while the links found
-fall short, further projection orders and rounds follow.
+Recall is audited: points sampled from parts of every size, and from those without links, are
+compared with all.  Each counts by the share of its own links that was found, so a large group
+does not outweigh small ones.  While that falls short further projection orders and rounds
+follow; in the end it is an error.
 
 Null, empty and zero vectors, and those with null or non-finite components, link with nothing,
 nor do vectors of different lengths.  Repeated rows are copies.  A null id names nothing.
@@ -40,6 +42,7 @@ BLOCK, LISTENERS = 256, 96
 #: Points of a part that look for other parts at each place of an order.
 LANES = 8
 AUDIT, RECALL, ATTEMPTS = 256, 0.99, 4
+AUDIT_ROWS = 1024
 #: Slack for the half-precision vectors that the graph is built with.
 SLACK = 0.004
 SETTLED = 0.002
@@ -235,9 +238,14 @@ def _descend(near, lists, points, k, similarity):
     return _kept(_listed(lists).union(found), k, similarity)
 
 
-def _link_count(lists, similarity):
-    return lists.select(F.explode("list").alias("n")).where(
-        F.col("n.sim") >= similarity - SLACK).count()
+def _settled(before, lists, k):
+    """Whether few lists gained links, of those that have room for more; links never leave one."""
+    was = before.select("id", F.col("links").alias("was"))
+    gained = F.col("links") > F.coalesce("was", F.lit(0))
+    room = (F.col("links") > 0) & (F.col("links") < k)
+    r = lists.join(was, "id", "left").agg(
+        F.count_if(gained).alias("gained"), F.count_if(gained | room).alias("open")).first()
+    return r.gained <= SETTLED * r.open
 
 
 def _ties(lists, similarity):
@@ -329,9 +337,24 @@ def _all_links(parts, points, similarity):
         meet, "id bigint, links bigint, low bigint")
 
 
-def _audit(points, links, similarity, sample):
-    """Share of the links of a bounded sample of points that were found."""
-    chosen = points.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "unit").collect()
+def _audit(points, parts, links, similarity, sample):
+    """Least recall of links: of the points in parts of like size, and of all small parts.
+
+    About ``sample`` points are drawn for each power of two of the part size, and as many of the
+    points without a part, whose links are all missed.
+    """
+    sizes = stored(parts.groupBy("part").agg(
+        F.floor(F.log2(F.count("*"))).cast("int").alias("grade")), "part-grades")
+    graded = stored(points.select("id", "unit").join(
+        parts.join(sizes, "part").select("id", "grade"), "id", "left").select(
+        "id", "unit", F.coalesce("grade", F.lit(0)).alias("grade")), "graded-points")
+    counts = {r.grade: r["count"] for r in graded.groupBy("grade").count().collect()}
+    if not counts:
+        return 1.0
+    scale = 1 << 30
+    share = F.create_map(*[F.lit(v) for g, n in counts.items()
+                           for v in (g, min(scale, scale * sample // n))])
+    chosen = graded.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < share[F.col("grade")]).collect()
     queries = {}
     for r in chosen:
         queries.setdefault(len(r.unit), []).append((r.id, np.frombuffer(r.unit, np.float64)))
@@ -340,22 +363,47 @@ def _audit(points, links, similarity, sample):
          for size, q in queries.items()})
 
     def count(batches):
-        total = 0
+        totals = {size: np.zeros(len(asked), np.int64)
+                  for size, (asked, _) in shared.value.items()}
         for batch in batches:
             ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
-            for i, raw, n in zip(ids, batch.column("unit").to_pylist(), copies):
-                if len(raw) in shared.value:
-                    asked, x = shared.value[len(raw)]
-                    total += int(n) * int(((x @ np.frombuffer(raw, np.float64) >= similarity)
-                                           & (asked != i)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
-
-    true = points.select("id", "unit", "copies").mapInArrow(count, "n bigint").agg(
-        F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            units = batch.column("unit").to_pylist()
+            sizes = np.array([len(u) for u in units])
+            for size in set(sizes.tolist()) & totals.keys():
+                asked, x = shared.value[size]
+                of_size = np.flatnonzero(sizes == size)
+                for start in range(0, len(of_size), AUDIT_ROWS):
+                    at = of_size[start:start + AUDIT_ROWS]
+                    near = x @ np.stack([np.frombuffer(units[i], np.float64) for i in at]).T
+                    links = (near >= similarity) & (asked[:, None] != ids[at][None])
+                    totals[size] += links @ copies[at]
+        for size, (asked, _) in shared.value.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(totals[size])],
+                                             names=["id", "n"])
+
+    true = points.select("id", "unit", "copies").mapInArrow(count, "id bigint, n bigint").groupBy(
+        "id").agg(F.sum("n").alias("n")).where("n > 0")
+    true = {r.id: r.n for r in true.collect()}
     ids = points.sparkSession.createDataFrame([(r.id,) for r in chosen], "id bigint")
-    found = links.join(F.broadcast(ids), "id").agg(  # bounded by ``sample``
-        F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-    return found / true if true else 1.0
+    found = {r.id: r.links for r in  # bounded by ``sample`` per grade
+             links.join(F.broadcast(ids), "id").collect()}
+    return least_recall(counts, [(r.grade, found.get(r.id, 0), true.get(r.id, 0)) for r in chosen])
+
+
+def least_recall(counts, sampled, small=BLOCK):
+    """Least recall from the number of points per grade and (grade, found, true) of a sample."""
+    least, had, linked = 1.0, 0.0, 0.0
+    for grade, n in counts.items():
+        of_grade = [(f, t) for g, f, t in sampled if g == grade]
+        shares = [min(1.0, f / t) for f, t in of_grade if t]
+        if not shares:
+            continue
+        if grade:
+            least = min(least, float(np.mean(shares)))
+        if 2 ** grade < small:
+            weight = n / len(of_grade)
+            had, linked = had + weight * sum(shares), linked + weight * len(shares)
+    return min(least, had / linked) if linked else least
 
 
 def near_duplicates(vectors, vector="embedding", vec_id="vec_id", similarity=SIMILARITY,
@@ -384,18 +432,17 @@ def near_duplicates(vectors, vector="embedding", vec_id="vec_id", similarity=SIM
         if lists is not None:
             seen = seen.union(_listed(lists))
         lists = stored(_kept(seen, k, similarity), "lists")
-        before, settled = _link_count(lists, similarity), False
+        settled = False
         while not settled:
+            before = lists
             lists = stored(_descend(_listed(lists).select("id", "near"), lists, points, k,
                                     similarity), "lists")
             free_shuffles(spark)
-            now = _link_count(lists, similarity)
-            settled = now - before <= SETTLED * max(1, now)
-            before = now
+            settled = _settled(before, lists, k)
         parts = _parts(lists, points, k, similarity, attempt)
         met = stored(_all_links(parts, points, similarity), "part-links")
         links = met.groupBy("id").agg(F.sum("links").alias("links"))
-        found = _audit(points, links, similarity, audit)
+        found = _audit(points, parts, links, similarity, audit)
         if found >= recall:
             break
     else:

@@ -190,3 +190,41 @@ def test_links_between_tight_clumps(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
     assert got == {i: (n, 0 if i < 40 else 40) for i, n in enumerate(want)}
     assert recall == 1.0
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    """A third of the points is one group; the links of all pairs are missed."""
+    rng = np.random.default_rng(9)
+    center = rng.standard_normal(32)
+    hot = center + 0.05 * rng.standard_normal((300, 32))
+    pairs = np.repeat(rng.standard_normal((300, 32)), 2, 0) + 0.05 * rng.standard_normal((600, 32))
+    x = np.concatenate([hot, pairs])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    points = spark.createDataFrame([(i, i, 1, bytearray(v.tobytes())) for i, v in enumerate(x)],
+                                   "id bigint, part bigint, copies bigint, unit binary")
+    parts = spark.createDataFrame([(i, 0) for i in range(300)], "id bigint, part bigint")
+    links = spark.createDataFrame([(i, 299) for i in range(300)], "id bigint, links bigint")
+    assert embedding_dedup._audit(points, parts, links, 0.9, 64) < 0.1
+    found = parts.union(spark.createDataFrame(
+        [(i, i - i % 2) for i in range(300, 900)], "id bigint, part bigint"))
+    links = links.union(spark.createDataFrame(
+        [(i, 1) for i in range(300, 900)], "id bigint, links bigint"))
+    assert embedding_dedup._audit(points, found, links, 0.9, 64) == 1.0
+
+
+def test_rounds_go_on_while_small_groups_gain(spark):
+    """1,000 full lists do not hide that lists with room gain links."""
+    def lists(n):
+        return spark.range(1000).selectExpr("id", "10 AS links").union(
+            spark.range(1000, 1020).selectExpr("id", f"IF(id < {n}, 1, 0) AS links"))
+
+    assert not embedding_dedup._settled(lists(1000), lists(1010), 10)
+    assert embedding_dedup._settled(lists(1010), lists(1010), 10)
+
+
+def test_short_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "_audit", lambda *_: 0.5)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(RuntimeError, match="0.5"):
+        embedding_dedup.near_duplicates(df)
