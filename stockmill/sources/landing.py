@@ -18,6 +18,7 @@ from stockmill.schemas import FEEDS
 LANDING_PATH = "stockmill.landing_path"
 DEFAULT_LANDING_PATH = "landing"
 CORRUPT = "_corrupt_record"
+FILES_AT_ONCE = 10_000
 _HEADERS = "file string, header string, modified timestamp"
 
 
@@ -35,30 +36,37 @@ def with_corrupt_record(schema):
     return StructType([*schema.fields, StructField(CORRUPT, StringType())])
 
 
-def file_headers(spark, path, since=None):
-    """(file, header, modified) of the CSV files in a folder, or of those changed ``since``."""
-    reader = spark.read.option("modifiedAfter", since.isoformat()) if since else spark.read
-    lines = reader.format("text").load(path).select(
+def file_headers(spark, path, files=None):
+    """(file, header, modified) of the CSV files in a folder, or of some ``files`` of it."""
+    lines = spark.read.format("text").load(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.col("_metadata.file_modification_time").alias("modified"),
         F.monotonically_increasing_id().alias("place"))
+    if files is not None:  # the scan skips all others
+        lines = lines.where(F.col("file").isin(files))
     return lines.where("start = 0").groupBy("file").agg(
         F.min_by("value", "place").alias("header"), F.max("modified").alias("modified"))
 
 
 def note_headers(spark, path, noted):
     """The headers of all files of a folder, kept in the table ``noted``; a later call reads
-    only the files that are new since then."""
+    only the files that are not noted yet, whatever their modification time."""
     try:
         known = spark.read.schema(_HEADERS).parquet(noted)
-        since = known.agg(F.max("modified")).first()[0]
     except AnalysisException:
-        known, since = None, None
-    found = file_headers(spark, path, since)
-    if known is not None:
-        found = found.join(known, "file", "left_anti")
-    found.select("file", "header", "modified").write.mode("append").parquet(noted)
+        known = None
+    if known is None:
+        file_headers(spark, path).select("file", "header", "modified").write.mode(
+            "append").parquet(noted)
+    else:
+        # names only: contents are not asked for, so they are not read
+        listed = spark.read.format("binaryFile").load(path).select(
+            F.col("_metadata.file_path").alias("file"))
+        new = [r.file for r in listed.join(known, "file", "left_anti").collect()]
+        for start in range(0, len(new), FILES_AT_ONCE):
+            file_headers(spark, path, new[start:start + FILES_AT_ONCE]).select(
+                "file", "header", "modified").write.mode("append").parquet(noted)
     return spark.read.schema(_HEADERS).parquet(noted)
 
 

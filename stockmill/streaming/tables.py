@@ -18,6 +18,8 @@ from stockmill.session import new_dir
 from stockmill.sources.landing import feed_path, note_headers, parse_lines
 
 BATCH_BYTES = 1 << 40
+#: Spark's own default leaves out files a week older than the newest one.
+MAX_FILE_AGE = "36500d"
 _EVENT_TIME = "_event_time"
 _COUNTS = "dataset string, batch bigint, measure string, row_count bigint"
 
@@ -26,11 +28,13 @@ def _reader(spark, max_files, batch_bytes=BATCH_BYTES):
     """Batches hold at most ``max_files`` files, or else about ``batch_bytes``.
 
     A backlog of any size is thus worked off in batches whose state and output commit one
-    after the other, and a restart repeats one batch at most.
+    after the other, and a restart repeats one batch at most.  Files are told apart by path
+    alone: one that arrives late with an old modification time is taken too.
     """
+    reader = spark.readStream.option("maxFileAge", MAX_FILE_AGE)
     if max_files:
-        return spark.readStream.option("maxFilesPerTrigger", max_files)
-    return spark.readStream.option("maxBytesPerTrigger", batch_bytes)
+        return reader.option("maxFilesPerTrigger", max_files)
+    return reader.option("maxBytesPerTrigger", batch_bytes)
 
 
 def read_landing_stream(spark, root, feed, max_files=None, noted=None, batch_bytes=BATCH_BYTES):

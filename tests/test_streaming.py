@@ -1,4 +1,6 @@
+import os
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -203,3 +205,20 @@ def test_watermark_lets_old_keys_leave(spark, fresh):
     assert medallion.read_layer(spark, out, "silver", "inventory").count() == 120
     held = [s.numRowsTotal for p in done.recentProgress for s in p.stateOperators]
     assert held[-1] < 120
+
+
+@pytest.mark.parametrize("seconds", [0, -3600, -30 * 86400])
+def test_late_files_with_old_times_are_taken(spark, fresh, seconds):
+    """Moved or copied files keep times equal to or older than those of files already taken."""
+    out, header = f"{fresh}/out", "item_id,location_id,inventory_qty,inventory_value,snapshot_date"
+    folder = Path(fresh, "inventory")
+    folder.mkdir(parents=True)
+    now = 1_750_000_000
+    for run, name in enumerate(("first.csv", "late one%20.csv")):
+        (folder / name).write_text(f"{header}\ni{run},w,5,1.5,2025-03-31\n")
+        os.utime(folder / name, (now + run * seconds,) * 2)
+        medallion.ingest_bronze(spark, "inventory", fresh, out)
+    medallion.ingest_bronze(spark, "inventory", fresh, out)
+    got = spark.read.parquet(f"{out}/bronze/inventory").collect()
+    assert sorted((r.item_id, r.inventory_qty) for r in got) == [("i0", 5), ("i1", 5)]
+    assert spark.read.parquet(f"{out}/checkpoints/headers_inventory").count() == 2
