@@ -1,7 +1,11 @@
 """Licence scan: a trained paragraph classifier whose answers templates must confirm.
 
-A paragraph is a line of a text.  Paragraphs with a cue word ("licence", "copyright", "rights
-reserved", "public domain", "warranty" ...) are classified by a multinomial logistic
+A paragraph is a line of a text, or a run of adjacent lines over which a notice is wrapped: two
+lines are one paragraph if together they hold more word triples of some notice than either
+alone.  A line that holds a notice by itself begins a paragraph.  Only letters and digits count,
+so comment marks do not part words, and a line without any ends a run.  Paragraphs with a cue word
+("licence", "copyright", "rights reserved", "public domain", "warranty" ...) and those with a word
+triple of any notice are classified by a multinomial logistic
 regression on sparse counts of their words and word pairs.  It is trained on notices of each
 family, on the notices with each word left out in turn, and, as the class ``unknown``, on
 notices reduced to the words that families share and on a bounded sample of ordinary
@@ -9,8 +13,8 @@ paragraphs.  A second regression, on notices the first has not seen, turns the m
 ``unknown`` into a calibrated probability.  A family stands only if the word triples of one of
 its notices occur in the paragraph to a large part; otherwise the licence is ``unknown``.
 
-Every notice holds a cue word, so a paragraph without one could never be confirmed: leaving
-it out early changes nothing.
+A paragraph with neither a cue word nor a triple of a notice could never be confirmed: leaving
+it out changes nothing.
 
 Only DataFrame and SQL functions and Spark's own DataFrame estimators run.  Null and empty
 texts give no rows; repeated rows give their rows each; null ids and extra columns are fine;
@@ -116,10 +120,37 @@ def words(text):
 
 def triples(tokens):
     """Runs of three words; shorter paragraphs are one run."""
-    n = F.size(tokens)
-    return F.when(n < 3, F.array(F.array_join(tokens, " "))).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, 3), " ")))
+
+    def of(held):
+        n = F.size(held)
+        return F.when(n < 3, F.array(F.array_join(held, " "))).otherwise(F.transform(
+            F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
+            lambda i: F.array_join(F.slice(held, i, 3), " ")))
+
+    # a bound name, so that the words are not made again for each run
+    return F.transform(F.array(tokens), of)[0]
+
+
+def _triples_of(text):
+    """``triples`` of a notice, as a Python list."""
+    tokens = re.findall("[a-z0-9]+", text.lower())
+    return sorted({" ".join(tokens[i:i + 3]) for i in range(max(1, len(tokens) - 2))})
+
+
+def _listed(values):
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def notice_triples():
+    """The triples of each notice."""
+    return F.expr("array(" + ", ".join(
+        _listed(_triples_of(text)) for texts in NOTICES.values() for text in texts) + ")")
+
+
+def touched(runs):
+    """Whether there is a triple of any notice among ``runs``."""
+    known = {t for texts in NOTICES.values() for text in texts for t in _triples_of(text)}
+    return F.arrays_overlap(runs, F.expr(_listed(sorted(known))))
 
 
 def notices(spark):
@@ -206,13 +237,51 @@ class Model:
             *rows.columns, "predicted", F.round("chance", 6).alias("probability"))
 
 
+def _judged(pair, place):
+    """A line with its triples and those of the line before: does it join that one?"""
+    sets = notice_triples()
+
+    def held(part):
+        return lambda notice: F.size(F.array_intersect(notice, pair[part]))
+
+    mine, last, both = held("mine"), held("last"), held("both")
+    whole = F.exists(sets, lambda n: mine(n) >= CONFIRM * F.size(n))
+    more = F.exists(sets, lambda n: both(n) > F.greatest(last(n), mine(n)))
+    joins = F.when(pair["apart"] | ~touched(pair["both"]), False).when(whole, False).otherwise(more)
+    return F.struct(place.alias("place"), pair["body"].alias("body"), joins.alias("joins"),
+                    touched(pair["mine"]).alias("touched"))
+
+
 def paragraphs(docs, text="text", doc_id="doc_id"):
-    """Lines with a cue word: doc_id, paragraph (line number from 0), body."""
+    """Paragraphs with a cue word or a triple of a notice: doc_id, paragraph (number of its first
+    line from 0), body."""
     body = F.col(f"`{text}`")
-    return docs.where(body.rlike(CUE)).select(
+    lines = docs.where(body.rlike(CUE) | touched(triples(words(body)))).select(
         F.col(f"`{doc_id}`").alias("doc_id"),
-        F.posexplode(F.split(body, "\n", -1)).alias("paragraph", "body")).where(
-        F.col("body").rlike(CUE))
+        F.transform(F.split(body, "\n", -1), lambda x: F.struct(
+            x.alias("body"), words(x).alias("words"))).alias("lines"))
+    none = F.struct(F.lit("").alias("body"), F.array().cast("array<string>").alias("words"))
+    before = F.slice(F.concat(F.array(none), "lines"), 1, F.size("lines"))
+    pairs = F.zip_with("lines", before, lambda x, y: F.struct(
+        x["body"].alias("body"), triples(x["words"]).alias("mine"),
+        triples(y["words"]).alias("last"),
+        triples(F.concat(y["words"], x["words"])).alias("both"),
+        ((F.size(x["words"]) == 0) | (F.size(y["words"]) == 0)).alias("apart")))
+    judged = lines.select("doc_id", F.transform(pairs, _judged).alias("lines"))
+    # one mark per line, 0 where a paragraph begins; the first line joins nothing
+    marks = F.array_join(F.transform("lines", lambda x: x["joins"].cast("int").cast("string")), "")
+    begins = F.arrays_zip(F.filter("lines", lambda x: ~x["joins"]).alias("first"),
+                          F.regexp_extract_all(marks, F.lit("01*"), 0).alias("marks"))
+
+    def run(x):
+        inside = F.slice("lines", x["first"]["place"] + 1, F.length(x["marks"]))
+        return F.struct(
+            x["first"]["place"].alias("paragraph"),
+            F.array_join(F.transform(inside, lambda y: y["body"]), "\n").alias("body"),
+            ((F.length(x["marks"]) > 1) | x["first"]["touched"]).alias("touched"))
+
+    return judged.select("doc_id", F.inline(F.transform(begins, run))).where(
+        F.col("touched") | F.col("body").rlike(CUE)).drop("touched")
 
 
 def scan(docs, text="text", doc_id="doc_id", model=None):

@@ -137,3 +137,44 @@ def test_every_notice_has_a_cue(make_docs):
     rows = [(i, text) for i, text in enumerate(
         t for texts in license_scan.NOTICES.values() for t in texts)]
     assert license_scan.paragraphs(make_docs(rows)).count() == len(rows)
+
+
+WRAPPED = {
+    "GPL": "/* This program is free software: you can redistribute it and/or modify\n"
+           " * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version 3 of the License, or\n"
+           " * (at your option) any later version.\n */",
+    "LGPL": "# This library is free software; you can redistribute it and/or\n"
+            "# modify it under the terms of the GNU Lesser General Public\n"
+            "# License as published by the Free Software Foundation.",
+    "BSD": "// Redistribution and use in source and binary forms, with or without\n"
+           "// modification, are permitted provided that the following conditions\n// are met:",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\n"
+           "purpose with or without fee is hereby granted. The software is provided\n"
+           "without warranty.",
+    "MPL": "-- This Source Code Form is subject to the terms of the Mozilla\n"
+           "-- Public License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+           "-- file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+}
+
+
+@pytest.fixture(scope="module")
+def licence_model(make_docs):
+    return license_scan.Model(make_docs([
+        (i, "Plain words about rivers and houses.\nAnother line of words.") for i in range(40)]))
+
+
+def test_wrapped_notices(make_docs, licence_model):
+    style = ("// Use of this source code is governed by a BSD-style license that\n"
+             "// can be found in the LICENSE file.")
+    rows = [(family, f"int x;\n\n{text}\n\nint y;") for family, text in WRAPPED.items()]
+    rows += [("style", style), ("two", f"{WRAPPED['ISC']}\n{WRAPPED['GPL']}"),
+             ("lines", "Released under the MIT License.\n"
+                       "Licensed under the Apache License, Version 2.0.")]
+    docs = make_docs(rows, "doc_id string, text string")
+    found = {}
+    for r in license_scan.scan(docs, model=licence_model).where("confirmed").collect():
+        found.setdefault(r.doc_id, []).append((r.paragraph, r.license))
+    assert {d: sorted(x) for d, x in found.items()} == {
+        **{f: [(2, f)] for f in WRAPPED}, "style": [(0, "BSD")],
+        "two": [(0, "ISC"), (3, "GPL")], "lines": [(0, "MIT"), (1, "Apache")]}
