@@ -187,7 +187,7 @@ def _examples(docs, text, doc_id):
     ordinary = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(ids), "id").select(  # bounded by ORDINARY_DOCUMENTS
         "id", F.explode(F.split("text", "\n")).alias("line")).where(
-        ~F.col("line").rlike(CUE)).select(
+        ~F.col("line").rlike(CUE) & ~touched(triples(words(F.col("line"))))).select(
         F.lit(UNKNOWN).alias("family"), F.slice(words(F.col("line")), 1, 60).alias("words"),
         (F.xxhash64("line") % 3 != 0).alias("fit")).limit(10 * ORDINARY_DOCUMENTS)
     return left_out.union(bare).union(ordinary)

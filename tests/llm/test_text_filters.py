@@ -178,3 +178,11 @@ def test_wrapped_notices(make_docs, licence_model):
     assert {d: sorted(x) for d, x in found.items()} == {
         **{f: [(2, f)] for f in WRAPPED}, "style": [(0, "BSD")],
         "two": [(0, "ISC"), (3, "GPL")], "lines": [(0, "MIT"), (1, "Apache")]}
+
+
+def test_notices_without_a_cue(make_docs, licence_model):
+    rows = [(1, "This Source Code Form is subject to the terms of the Mozilla Public"),
+            (2, "and use in source and binary forms, with or without modification, are"
+                " permitted provided that the following conditions are met")]
+    got = license_scan.scan(make_docs(rows), model=licence_model).collect()
+    assert {r.doc_id: r.license for r in got} == {1: "MPL", 2: "BSD"}
