@@ -42,7 +42,7 @@ def free_shuffles(spark):
     spark.sparkContext._jvm.System.gc()
 
 
-def _slices(batches):
+def slices(batches):
     """Batches of about ``SLICE_BYTES``, so that what is made of one stays small."""
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
@@ -50,7 +50,7 @@ def _slices(batches):
             yield batch.slice(start, rows)
 
 
-def _give_back():
+def give_back():
     """Return freed memory to the system: a Python worker waits for its next task, and would
     hold what this one took."""
     gc.collect()
@@ -82,7 +82,7 @@ def with_arrow_columns(df, inputs, outputs, prepare, keep=None):
         compute = prepare()
         types = [to_arrow_type(f.dataType) for f in out_type.fields]
         fields = [pa.field(f.name, t) for f, t in zip(out_type.fields, types)]
-        for batch in _slices(batches):
+        for batch in slices(batches):
             row, sent = batch.column("row"), iter(batch.column("x").flatten()[1:])
             columns = compute(*[row.field(row.type.get_field_index(x)) if isinstance(x, str)
                                 else next(sent) for x in names])
@@ -93,6 +93,6 @@ def with_arrow_columns(df, inputs, outputs, prepare, keep=None):
             del columns, arrays, out
             pa.default_memory_pool().release_unused()
         del compute
-        _give_back()
+        give_back()
 
     return packed.mapInArrow(run, schema)

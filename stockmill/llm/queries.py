@@ -1,10 +1,11 @@
 """The operators of this subpackage as registered queries."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from stockmill.llm import (
-    decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join, pieces,
-    quality, sharding, suffix_dedup,
+    decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join, packing,
+    pieces, quality, sharding, suffix_dedup,
 )
 from stockmill.llm.common import held_out, table
 
@@ -99,6 +100,14 @@ def op10_pieces(spark, sf_dir):
         "out.lossless")
 
 
+@query
+def op13_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
 ORACLE["op1_decontamination"] = r"""
 WITH item_words AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
