@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from stockmill.llm import (
-    decontaminate, embedding_dedup, language_id, license_scan, line_dedup, ngram_join, packing,
-    pieces, quality, sharding, suffix_dedup,
+    conversation_repair, decontaminate, embedding_dedup, language_id, license_scan, line_dedup,
+    ngram_join, packing, pieces, quality, sharding, suffix_dedup,
 )
 from stockmill.llm.common import held_out, table
 
@@ -100,6 +100,12 @@ def op10_pieces(spark, sf_dir):
         "out.lossless")
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, copies="copies").drop("given")
+
+
 @query
 def op13_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

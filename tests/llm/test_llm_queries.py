@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_pipeline_stages_against_plain_versions(spark, sf_dir):
