@@ -5,8 +5,9 @@ as these numbers, with -1 between pieces; its word counts are added up by Spark,
 get ids in the order of their frequency, and every block receives the ids of its own words (never
 the whole vocabulary).  Then pairs of neighbouring ids are counted: ids are split into tiles
 of ``TILE`` by ``TILE``; a tile with many occurrences is a dense array, addressed directly and
-counted by ``bincount``, the occurrences of all other tiles are sorted.  Frequent pairs
-are ranked anew and become the symbols of the next level: a symbol at a place is the phrase that
+counted by ``bincount``, the occurrences of all other tiles are sorted.  A block's pairs travel as
+arrays, dealt by hash into buckets of about ``BUCKET_PAIRS``; a bucket adds them up, and frequent
+pairs are ranked anew and become the symbols of the next level: a symbol at a place is the phrase that
 starts there, so two neighbours of one level are a phrase that is a word longer.  A phrase can
 only be frequent if both of these are, hence nothing is missed.
 
@@ -24,10 +25,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Window, functions as F
 
-from stockmill.llm.common import free_shuffles, give_back, slices, stored, unbounded
+from stockmill.llm.common import discard, free_shuffles, give_back, slices, stored, unbounded
+from stockmill.llm.words import mix
 
 LEAST = 30
 LONGEST = 4
@@ -41,6 +44,7 @@ TILE_BITS = 8
 DENSE_IDS = 1 << 13
 DENSE_SHARE = 4
 _PART = 1 << 17
+BUCKET_PAIRS = 1 << 20
 _ROWS_PER_CELL = 50_000
 _SALTS = 64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -49,8 +53,10 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
 _GAP = _ENDS.copy()
 _GAP[[9, 32]] = True
-_BLOCKS = ("block bigint, lang string, local int, word string, left bigint, right bigint, "
-           "n bigint, ids binary")
+_BLOCKS = ("block bigint, lang string, place bigint, word string, n bigint, ids binary, "
+           "bucket bigint, left binary, right binary, counts binary")
+_RANKED = ("lang string, id bigint, left bigint, right bigint, f bigint, block bigint, n bigint, "
+           "places binary, ids binary")
 
 
 def numbered_words(data):
@@ -108,33 +114,64 @@ def count_pairs(left, right, bits=TILE_BITS, dense_ids=DENSE_IDS, share=DENSE_SH
     return *(np.concatenate(x) for x in (lefts, rights, counts)), number
 
 
-def _parts(block, lang, symbols, counts, ids):
-    """A block as rows: its distinct symbols with counts, and its text in parts."""
-    n = len(counts)
-    for start in range(0, n, _PART):
-        size = min(_PART, n - start)
-        columns = {
-            "block": pa.array(np.full(size, block)), "lang": pa.repeat(pa.scalar(lang), size),
-            "local": pa.array(np.arange(start, start + size, dtype=np.int32)),
-            "n": pa.array(np.asarray(counts[start:start + size], np.int64)),
-            **{k: v.slice(start, size) for k, v in symbols.items()}}
-        yield _row_batch(size, columns)
+def _text_rows(block, lang, ids):
+    """A block's text in parts."""
     for part, start in enumerate(range(0, len(ids), _PART)):
         yield _row_batch(1, {
-            "block": pa.array([block]), "lang": pa.array([lang]),
-            "local": pa.array([part], pa.int32()),
+            "block": pa.array([block]), "lang": pa.array([lang]), "place": pa.array([part]),
             "ids": pa.array([ids[start:start + _PART].astype("<i4").tobytes()], pa.binary())})
 
 
-_SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("local", pa.int32()),
-                     ("word", pa.string()), ("left", pa.int64()), ("right", pa.int64()),
-                     ("n", pa.int64()), ("ids", pa.binary())])
+def _word_rows(block, lang, words, counts):
+    for start in range(0, len(words), _PART):
+        size = min(_PART, len(words) - start)
+        yield _row_batch(size, {
+            "block": pa.array(np.full(size, block)), "lang": pa.repeat(pa.scalar(lang), size),
+            "place": pa.array(np.arange(start, start + size)),
+            "word": words.slice(start, size),
+            "n": pa.array(np.asarray(counts[start:start + size], np.int64))})
+
+
+def _packed(values):
+    """Bytes of numbers, 4 or 8 each as the largest needs; the length tells which."""
+    small = len(values) == 0 or int(values.max()) < 1 << 32
+    return np.asarray(values).astype("<u4" if small else "<u8").tobytes()
+
+
+def _unpacked(data, count):
+    kind = "<u8" if count and len(data) == 8 * count else "<u4"
+    return np.frombuffer(data, kind).astype(np.int64)
+
+
+def _pair_rows(block, lang, buckets, left, right, counts):
+    """Pairs, sorted by bucket, as a row per bucket; ``place`` is the first one's number."""
+    cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    ends = np.append(cuts[1:], len(buckets))
+    out = {k: [] for k in ("left", "right", "counts")}
+    for a, b in zip(cuts, ends):
+        for k, v in (("left", left), ("right", right), ("counts", counts)):
+            out[k].append(_packed(v[a:b]))
+    size = len(cuts)
+    yield _row_batch(size, {
+        "block": pa.array(np.full(size, block)), "lang": pa.repeat(pa.scalar(lang), size),
+        "place": pa.array(cuts), "n": pa.array(ends - cuts), "bucket": pa.array(buckets[cuts]),
+        **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+
 
+_SCHEMA = pa.schema([
+    ("block", pa.int64()), ("lang", pa.string()), ("place", pa.int64()), ("word", pa.string()),
+    ("n", pa.int64()), ("ids", pa.binary()), ("bucket", pa.int64()), ("left", pa.binary()),
+    ("right", pa.binary()), ("counts", pa.binary())])
+_SYMBOLS = pa.schema([
+    ("lang", pa.string()), ("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()),
+    ("f", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("places", pa.binary()),
+    ("ids", pa.binary())])
 
-def _row_batch(size, columns):
+
+def _row_batch(size, columns, schema=_SCHEMA):
     return pa.RecordBatch.from_arrays(
         [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type)
-         for f in _SCHEMA], schema=_SCHEMA)
+         for f in schema], schema=schema)
 
 
 def _blocks(docs, lang, text, block_bytes):
@@ -147,7 +184,8 @@ def _blocks(docs, lang, text, block_bytes):
             nonlocal block
             for name, parts in held.items():
                 words, counts, ids = numbered_words(b"\n".join(parts))
-                yield from _parts(block, name, {"word": words}, counts, ids)
+                yield from _word_rows(block, name, words, counts)
+                yield from _text_rows(block, name, ids)
                 block += 1
             held.clear()
 
@@ -188,64 +226,149 @@ def _ranked(symbols, names):
         "lang", *names, "f", (F.col("offset") + F.col("place")).alias("id"))
 
 
-def _frequent(level, names, least):
-    """Ids of frequent symbols (lang, names, f, id), and of every block's own (block, local, id)."""
-    rows = level.where("ids IS NULL").select("block", "lang", "local", *names, "n")
-    dealt = rows.repartition("lang", *names)  # one exchange serves the sums and the join
-    sums = dealt.groupBy("lang", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    kept = stored(dealt.join(unbounded(sums), ["lang", *names]), "frequent-in-blocks")
-    symbols = stored(kept.groupBy("lang", *names).agg(F.first("f").alias("f")), "frequent")
-    symbols = stored(_ranked(symbols, names), "ranked")
-    own = kept.join(unbounded(symbols.drop("f")), ["lang", *names]).select("block", "local", "id")
-    return symbols, own
-
+def _frequent_words(level, least):
+    """Ids of frequent words (lang, word, f, id), and of every block's own (block, places, ids)."""
+    rows = level.where("word IS NOT NULL").select("block", "lang", "place", "word", "n")
+    dealt = rows.repartition("lang", "word")  # one exchange serves the sums and the join
+    sums = dealt.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    kept = stored(dealt.drop("n").join(unbounded(sums), ["lang", "word"]), "frequent-in-blocks")
+    words = kept.groupBy("lang", "word").agg(F.first("f").alias("f"))
+    words = stored(_ranked(stored(words, "frequent"), ["word"]), "ranked")
+    own = kept.drop("f").join(unbounded(words.drop("f")), ["lang", "word"]).select(
+        "block", "place", "id")
+    return words, own, kept
+
+
+def _pairs_of(buckets):
+    """The text of a block with its pairs of neighbouring symbols as the new symbols."""
+    def run(text, places, ids):
+        text = text.sort_by("place")
+        held = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in text.column("ids")])
+        order = np.argsort(ids)
+        rank = np.full(max(int(held.max()), int(places.max())) + 2, -1, np.int64)
+        rank[places[order]] = np.arange(len(order))
+        held = rank[held]  # the place behind the last symbol stands for -1
+        at = np.flatnonzero((held[:-1] >= 0) & (held[1:] >= 0))
+        if not len(at):
+            return
+        left, right, counts, which = count_pairs(held[at], held[at + 1])
+        ids = ids[order]
+        left, right = ids[left], ids[right]
+        bucket = (mix(left.view(np.uint64) ^ mix(right.view(np.uint64)))
+                  % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        new = np.full(len(held) - 1, -1, np.int32)
+        new[at] = number[which]
+        block, lang = text.column("block")[0].as_py(), text.column("lang")[0].as_py()
+        yield from _pair_rows(block, lang, bucket[order], left[order], right[order],
+                              counts[order])
+        yield from _text_rows(block, lang, new)
+
+    return run
+
+
+def _next_level(level, own, buckets, packed):
+    """Blocks of phrases that are a word longer."""
+    one = _pairs_of(buckets)
 
-def _next_level(level, own):
-    """Every block with its pairs of neighbouring symbols as the new symbols."""
     def pairs_of(text, symbols):
-        none = _SCHEMA.empty_table()
-        if not text.num_rows or not symbols.num_rows:
-            return none
-        text = text.sort_by("local")
-        ids = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in text.column("ids")])
-        number = symbols.column("id").to_numpy()
-        local = symbols.column("local").to_numpy()
-        order = np.argsort(number)
-        rank = np.full(max(int(ids.max()), int(local.max())) + 2, -1, np.int64)
-        rank[local[order]] = np.arange(len(order))
-        ids = rank[ids]  # the place behind the last symbol stands for -1
-        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        if not len(at):
-            return none
-        left, right, counts, which = count_pairs(ids[at], ids[at + 1])
-        new = np.full(len(ids) - 1, -1, np.int32)
-        new[at] = which
-        number = number[order]
-        return pa.Table.from_batches(_parts(
-            text.column("block")[0].as_py(), text.column("lang")[0].as_py(),
-            {"left": pa.array(number[left]), "right": pa.array(number[right])}, counts, new))
-
-    text = level.where("ids IS NOT NULL").select("block", "lang", "local", "ids")
+        batches = []
+        if text.num_rows and symbols.num_rows:
+            if packed:
+                n = symbols.column("n").to_pylist()
+                places, ids = (np.concatenate([
+                    _unpacked(x.as_py(), k) for x, k in zip(symbols.column(c), n)])
+                    for c in ("places", "ids"))
+            else:
+                places, ids = (symbols.column(c).to_numpy() for c in ("place", "id"))
+            batches = list(one(text, places, ids))
+        return pa.Table.from_batches(batches, schema=_SCHEMA)
+
+    text = level.where("ids IS NOT NULL").select("block", "lang", "place", "ids")
     return text.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(pairs_of, _BLOCKS)
 
 
+def _frequent_pairs(level, least, buckets):
+    """Ids of frequent pairs (lang, id, left, right, f), and of every block's own.
+
+    A bucket adds up its pairs over all blocks and ranks the frequent ones of each language;
+    buckets take turns, which is close to the rank among all, as they hold alike shares.
+    """
+    def ranked(rows):
+        bucket = rows.column("bucket")[0].as_py()
+        batches = []
+        langs = rows.column("lang")
+        for lang in langs.unique().to_pylist():
+            part = rows.filter(pc.equal(langs, lang))
+            sizes = part.column("n").to_numpy()
+            left, right, n = (np.concatenate([
+                _unpacked(x.as_py(), k) for x, k in zip(part.column(c), sizes.tolist())])
+                for c in ("left", "right", "counts"))
+            order = np.lexsort((right, left))
+            first = np.flatnonzero(np.append(True, (np.diff(left[order]) != 0)
+                                             | (np.diff(right[order]) != 0)))
+            total = np.add.reduceat(n[order], first)
+            often = np.flatnonzero(total >= least)
+            often = often[np.argsort(-total[often], kind="stable")]
+            if not len(often):
+                continue
+            ids = np.arange(len(often)) * buckets + bucket
+            id_of = np.full(len(first), -1)
+            id_of[often] = ids
+            spot = order[first[often]]
+            batches.append(_row_batch(len(often), {
+                "lang": pa.repeat(pa.scalar(lang), len(often)), "id": pa.array(ids),
+                "left": pa.array(left[spot]), "right": pa.array(right[spot]),
+                "f": pa.array(total[often])}, _SYMBOLS))
+            of_row = np.empty(len(order), np.int64)
+            of_row[order] = np.repeat(id_of, np.diff(np.append(first, len(order))))
+            ends = np.cumsum(sizes)
+            out = {k: [] for k in ("block", "n", "places", "ids")}
+            for block, place, end, size in zip(part.column("block").to_pylist(),
+                                               part.column("place").to_pylist(), ends, sizes):
+                mine = of_row[end - size:end]
+                at = np.flatnonzero(mine >= 0)
+                if len(at):
+                    values = (block, len(at), _packed(at + place), _packed(mine[at]))
+                    for column, value in zip(out.values(), values):
+                        column.append(value)
+            batches.append(_row_batch(len(out["n"]), {
+                k: pa.array(v, _SYMBOLS.field(k).type) for k, v in out.items()}, _SYMBOLS))
+        return pa.Table.from_batches(batches, schema=_SYMBOLS)
+
+    rows = level.where("bucket IS NOT NULL").select(
+        "bucket", "lang", "block", "place", "n", "left", "right", "counts")
+    found = stored(rows.groupBy("bucket").applyInArrow(ranked, _RANKED), "ranked-pairs")
+    own = found.where("block IS NOT NULL").select("block", "n", "places", "ids")
+    return found.where("id IS NOT NULL").select("lang", "id", "left", "right", "f"), own, found
+
+
 def phrases(docs, lang="lang", text="text", least=LEAST, longest=LONGEST, block_bytes=BLOCK_BYTES):
     """Totals (lang, n) and, per length from 2, the phrases that occur ``least`` times.
 
     A phrase has lang, id, left, right (ids of its ends, a word shorter), f, text, last (its last
     word), heads and tails: frequencies of both sides of each cut.
     """
+    spark = docs.sparkSession
     level = stored(_blocks(docs, lang, text, block_bytes), "word-blocks")
-    totals = level.where("ids IS NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    symbols, own = _frequent(level, ["word"], least)
+    totals = stored(level.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")),
+                    "totals")
+    symbols, own, held = _frequent_words(level, least)
     none = F.array().cast("array<bigint>")
     known = symbols.select("lang", "id", "f", F.col("word").alias("text"),
                            F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
     found = []
-    for _ in range(2, longest + 1):
-        level = stored(_next_level(level, own), "phrase-blocks")
-        symbols, own = _frequent(level, ["left", "right"], least)
-        free_shuffles(docs.sparkSession)
+    for length in range(2, longest + 1):
+        seen = symbols.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+        buckets = max(1, seen // BUCKET_PAIRS)
+        past = [level, held]
+        level = stored(_next_level(level, own, buckets, length > 2), "phrase-blocks")
+        discard(*past)
+        free_shuffles(spark)
+        symbols, own, held = _frequent_pairs(level, least, buckets)
+        free_shuffles(spark)
         ends = {side: unbounded(known.select("lang", *[
             F.col(c).alias(f"{side}_{c}") for c in ("id", "f", "text", "last", "heads", "tails")
         ]).withColumnRenamed(f"{side}_id", side)) for side in ("left", "right")}
@@ -257,6 +380,8 @@ def phrases(docs, lang="lang", text="text", least=LEAST, longest=LONGEST, block_
             F.concat("left_heads", F.array("left_f")).alias("heads"),
             F.concat(F.array("right_f"), "right_tails").alias("tails")), "phrases")
         found.append(known)
+    discard(level)
+    free_shuffles(spark)
     return totals, found
 
 
