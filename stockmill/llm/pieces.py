@@ -112,6 +112,7 @@ class Segmenter:
         seeds = mix(np.asarray(keys, np.int64).view(np.uint64))
         out, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
         cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), LETTERS_AT_ONCE)))
+        cuts = cuts[cuts < len(starts)]  # nothing starts after the last part
         for low, high in zip(cuts, np.append(cuts[1:], len(starts))):
             at, owner = starts[low:high], text[low:high]
             part = data[at[0]:at[-1] + lengths[high - 1]]

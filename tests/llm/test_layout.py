@@ -144,3 +144,27 @@ def test_samples_follow_the_path_weights(vocabulary):
     for path, w in weights.items():
         share = w / total
         assert abs(seen[path] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-4
+
+
+@pytest.fixture(scope="module")
+def segmenter():
+    return pieces.Segmenter(pieces.load())
+
+
+def test_one_text_without_a_space(segmenter):
+    text = ("abcdefghij" * 30_000).encode()
+    assert len(text) > pieces.LETTERS_AT_ONCE
+    ids, counts = segmenter.encode([b"ahead", text, b"after it"], [1, 2, 3])
+    ends = counts.cumsum()
+    assert segmenter.decode(ids[ends[0]:ends[1]]) == text
+    assert segmenter.decode(ids[ends[1]:]) == b"after it"
+
+
+def test_batches_that_end_around_a_boundary(segmenter, monkeypatch):
+    """The last part of a batch crosses a boundary, byte by byte."""
+    monkeypatch.setattr(pieces, "LETTERS_AT_ONCE", 64)
+    for size in range(100, 260):
+        texts = [b"some words here " * 3, b"x" * (size % 37), b"y" * (size - 48 - size % 37)]
+        ids, counts = segmenter.encode(texts, [4, 5, 6])
+        ends = np.concatenate([[0], counts.cumsum()])
+        assert [segmenter.decode(ids[a:b]) for a, b in zip(ends, ends[1:])] == texts
