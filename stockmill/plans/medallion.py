@@ -3,48 +3,76 @@
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from stockmill.operators import gold, quality
 from stockmill.operators.dedupe import KEYS
 from stockmill.operators.sinks import register_table, write_materialized_view
 from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
-from stockmill.sources.landing import CORRUPT, landing_path, read_item_master
+from stockmill.session import exists
+from stockmill.sources.landing import CORRUPT, EXTRA, feed_path, landing_path, read_item_master
 from stockmill.streaming import tables
 
 STREAMED = ("orders", "inventory", "receipts", "demand")
+_SCHEMA_LOG = "column string, data_type string"
 GOLD = ("inventory_summary", "turnover_analysis", "overstock_alert")
 
 
-def ingest_bronze(spark, feed, landing, out, max_files=None, **options):
+def ingest_bronze(spark, feed, landing, out, max_files=None):
     """Take new files of one feed into its bronze table; returns the table's path."""
     path = f"{out}/bronze/{feed}"
-    stream = tables.read_landing_stream(
-        spark, landing, feed, max_files, f"{out}/checkpoints/headers_{feed}", **options)
-    tables.write_streaming_table(stream, path, f"{out}/checkpoints/bronze_{feed}")
+    tables.ingest_files(spark, feed_path(landing, feed), FEEDS[feed], path,
+                        f"{out}/checkpoints/bronze_{feed}", f"{out}/checkpoints/headers_{feed}",
+                        max_files)
     return path
 
 
+def promote_column(spark, out, feed, column, data_type):
+    """Note in the feed's schema log that a column it did not know is one from now on."""
+    spark.createDataFrame([(column, data_type)], _SCHEMA_LOG).withColumn(
+        "noted_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
+        f"{out}/schema_log/{feed}")
+
+
+def read_bronze(spark, out, feed):
+    """Bronze rows with the columns that the schema log has promoted; the latest type holds.
+
+    Rows that came before the promotion have their values too, as nothing is left out.
+    """
+    log = f"{out}/schema_log/{feed}"
+    promoted = {}
+    if exists(spark, log):
+        for r in spark.read.parquet(log).orderBy("noted_at").collect():
+            promoted[r.column] = r.data_type
+    schema = StructType([*FEEDS[feed].fields,
+                         StructField(EXTRA, MapType(StringType(), StringType()))])
+    rows = spark.read.schema(schema).parquet(f"{out}/bronze/{feed}")
+    return rows.select(*FEEDS[feed].names, *[
+        rows[EXTRA][name].try_cast(kind).alias(name) for name, kind in promoted.items()])
+
+
 def refresh_items(spark, landing, out):
     """Replace the bronze item master by the landed one; returns it without malformed text."""
     items = write_materialized_view(
         read_item_master(spark, landing, keep_malformed=True), f"{out}/bronze/item_master")
-    return items.drop(CORRUPT)
+    return items.drop(CORRUPT, EXTRA)
 
 
 def refresh_silver(spark, table, out, max_files=None, **dedupe_options):
     """Take new bronze rows of one table into silver and store the rule counts per batch;
     returns the finished query."""
-    bronze = tables.read_table_stream(spark, f"{out}/bronze/{table}", FEEDS[table], max_files)
-    return tables.write_streaming_table(
-        tables.silver_stream(bronze, table, **dedupe_options),
-        f"{out}/silver/{table}", f"{out}/checkpoints/silver_{table}",
-        tables.keep_rule_counts(spark, f"{out}/rule_counts", table),
-    )
+    source, checkpoint = f"{out}/bronze/{table}", f"{out}/checkpoints/silver_{table}"
+    bronze = tables.read_table_stream(spark, source, FEEDS[table], max_files)
+    query = tables.write_streaming_table(
+        tables.silver_stream(bronze, table, **dedupe_options), f"{out}/silver/{table}", checkpoint)
+    tables.count_batches(spark, table, source, FEEDS[table], checkpoint, f"{out}/rule_counts")
+    return query
 
 
 def read_layer(spark, out, layer, table):
-    return spark.read.schema(FEEDS[table]).parquet(f"{out}/{layer}/{table}")
+    rows = spark.read.schema(FEEDS[table]).parquet(f"{out}/{layer}/{table}")
+    return rows.select(*FEEDS[table].names)
 
 
 def rebuild_gold(spark, items, out):
@@ -63,7 +91,8 @@ def rebuild_gold(spark, items, out):
     rules = quality.EXPECTATIONS["overstock_alert"]
     tables.store_counts(
         quality.violation_counts(alerts, "overstock_alert", rules).select(
-            "dataset", F.col("expectation").alias("measure"), F.col("violations").alias("row_count")),
+            "dataset", F.lit(0).cast("bigint").alias("batch"),
+            F.col("expectation").alias("measure"), F.col("violations").alias("row_count")),
         f"{out}/rule_counts", "overstock_alert")
     return {"inventory_summary": summary, "turnover_analysis": analysis, "overstock_alert": alerts}
 

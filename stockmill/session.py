@@ -60,3 +60,24 @@ def shared_dir(spark):
 def new_dir(spark, label):
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark, path):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark, path):
+    files, path = _file_system(spark, path)
+    return files.exists(path)
+
+
+def names(spark, path):
+    """Names in a folder, or none where it is missing."""
+    files, path = _file_system(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+def folders(spark, path):
+    """Folders in a folder, without hidden ones."""
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(names(spark, path)) if n[0] not in "._"]

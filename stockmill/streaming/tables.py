@@ -5,22 +5,27 @@ in one or more batches, and stops.  The checkpoint remembers the files, so the n
 takes only new ones.
 """
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from stockmill.operators.dedupe import KEYS
-from stockmill.operators.quality import EXPECTATIONS, apply_expectations
+from stockmill.operators.quality import EXPECTATIONS, FAIL, apply_expectations
 from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
-from stockmill.session import new_dir
-from stockmill.sources.landing import feed_path, note_headers, parse_lines
+from stockmill.session import exists, folders, names, new_dir
+from stockmill.sources.landing import (
+    FILES_AT_ONCE, feed_path, first_lines, note_headers, parse_lines, read_files,
+)
 
 BATCH_BYTES = 1 << 40
 #: Spark's own default leaves out files a week older than the newest one.
 MAX_FILE_AGE = "36500d"
 _EVENT_TIME = "_event_time"
+_NAMES = "path string, modificationTime timestamp, length bigint, content binary"
 _COUNTS = "dataset string, batch bigint, measure string, row_count bigint"
 
 
@@ -52,16 +57,13 @@ def read_landing_stream(spark, root, feed, max_files=None, noted=None, batch_byt
 
 
 def read_table_stream(spark, path, schema, max_files=None, batch_bytes=BATCH_BYTES):
-    """New files of a table written by a stream."""
-    return _reader(spark, max_files, batch_bytes).schema(schema).parquet(path)
-
+    """New files of a table written by a stream, whatever folders they lie in."""
+    return _reader(spark, max_files, batch_bytes).schema(schema).option(
+        "recursiveFileLookup", True).parquet(path)
 
-def write_streaming_table(df, path, checkpoint, on_progress=None):
-    """Append a stream to a Parquet table and wait until all arrived files are in.
 
-    ``on_progress`` gets every batch's progress, some more than once: it is asked for while
-    the stream runs, so the length of the kept history does not matter.
-    """
+def write_streaming_table(df, path, checkpoint):
+    """Append a stream to a Parquet table and wait until all arrived files are in."""
     query = (
         df.writeStream.format("parquet")
         .outputMode("append")
@@ -70,11 +72,34 @@ def write_streaming_table(df, path, checkpoint, on_progress=None):
         .trigger(availableNow=True)
         .start()
     )
-    ended = False
-    while not ended:
-        ended = query.awaitTermination(1 if on_progress else None) is not False
-        for step in query.recentProgress if on_progress else ():
-            on_progress(step)
+    query.awaitTermination()
+    return query
+
+
+def ingest_files(spark, folder, schema, path, checkpoint, noted, max_files=None):
+    """Take new CSV files of a folder into the Parquet table ``path``, each file read once.
+
+    The stream sees names only.  A batch takes the headers from the first bytes of its files,
+    reads files of one header together with the CSV reader, and writes a folder of its own
+    (``batch=N``); a batch that runs again finds that folder complete, or writes it over.
+    """
+    files = spark.readStream.format("binaryFile").schema(_NAMES).option(
+        "maxFileAge", MAX_FILE_AGE).option("maxFilesPerTrigger", max_files or FILES_AT_ONCE).load(
+        folder).select(F.col("_metadata.file_path").alias("file"))
+
+    def take(batch, number):
+        target = f"{path}/batch={number}"
+        if exists(spark, f"{target}/_SUCCESS"):
+            return
+        session = batch.sparkSession
+        headers = first_lines(session, [r.file for r in batch.distinct().collect()])
+        session.createDataFrame(headers, "file string, header string").coalesce(1).write.mode(
+            "overwrite").parquet(f"{noted}/batch={number}")
+        read_files(session, headers, schema).write.mode("overwrite").parquet(target)
+
+    query = files.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start()
+    query.awaitTermination()
     return query
 
 
@@ -113,39 +138,58 @@ def dedupe_stream(df, keys, collapse=True, watermark=None):
     return df.dropDuplicates(keys)
 
 
-def silver_stream(bronze, table, observe=True, **dedupe_options):
-    """Typed, checked and deduplicated stream; rule counts appear in the query progress."""
+def silver_stream(bronze, table, observe=False, **dedupe_options):
+    """Typed, checked and deduplicated stream; ``observe`` puts rule counts in its progress."""
     rules = EXPECTATIONS[table]
     gated = apply_expectations(typed(bronze, table), rules, f"{table}_quality" if observe else None)
     return dedupe_stream(gated, KEYS[table], **dedupe_options)
 
 
-def keep_rule_counts(spark, path, table):
-    """A progress handler that stores the rule counts of each batch once.
+def store_counts(counts, path, name):
+    """Write rule counts (dataset, batch, measure, row_count) in place of earlier ones of a name."""
+    counts.select("dataset", "batch", "measure", "row_count").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/{name}")
 
-    A batch has a folder of its own that is written over, so a batch that is replayed, or
-    reported twice, counts once.
-    """
-    done = set()
-
-    def keep(step):
-        row = step.observedMetrics.get(f"{table}_quality")
-        if row is None or step.batchId in done:
-            return
-        done.add(step.batchId)
-        rows = [(table, name, value) for name, value in sorted(row.asDict().items())]
-        store_counts(spark.createDataFrame(rows, "dataset string, measure string, row_count bigint"),
-                     path, table, step.batchId)
-
-    return keep
 
+def rule_counts(spark, path):
+    """(dataset, batch, measure, row_count) of all batches stored."""
+    whole = [f for f in folders(spark, path) if exists(spark, f"{f}/_SUCCESS")]
+    if not whole:
+        return spark.createDataFrame([], _COUNTS)
+    return spark.read.schema(_COUNTS).parquet(*whole)
 
-def store_counts(counts, path, table, batch=0):
-    """Write the rule counts (dataset, measure, row_count) of one batch in place of earlier ones."""
-    counts.select("dataset", F.lit(batch).cast("bigint").alias("batch"), "measure", "row_count"
-                  ).coalesce(1).write.mode("overwrite").parquet(f"{path}/{table}-{batch}")
 
+def count_batches(spark, table, source, schema, checkpoint, path):
+    """Store the rule counts of all batches that a silver stream has committed and that have none.
 
-def rule_counts(spark, path):
-    """(dataset, batch, measure, row_count) of all batches stored."""
-    return spark.read.schema(_COUNTS).parquet(f"{path}/*")
+    Which files a batch took is read from the stream's own log, up to its last commit, so counts
+    are exact whenever the driver was lost, however many batches ran and whatever history of
+    progress is kept.  Only bronze folders that hold such files are read, for the columns that
+    rules need.
+    """
+    committed = [int(n) for n in names(spark, f"{checkpoint}/commits") if n.isdigit()]
+    if not committed:
+        return
+    offsets = [r.value for r in spark.read.text(
+        f"{checkpoint}/offsets/{max(committed)}", wholetext=True).collect()][0].splitlines()
+    upto = json.loads(offsets[2])["logOffset"]
+    known = rule_counts(spark, path).where(F.col("dataset") == table).select("batch").distinct()
+    log = spark.read.text(f"{checkpoint}/sources/0").select(
+        F.from_json("value", "path string, batchId bigint").alias("e")).where(
+        f"e.path IS NOT NULL AND e.batchId <= {upto}").select(
+        F.col("e.batchId").alias("batch"), F.regexp_extract("e.path", "[^/]+$", 0).alias("name"),
+        F.regexp_extract("e.path", "/batch=([0-9]+)/[^/]+$", 1).alias("folder")).distinct().join(
+        known, "batch", "left_anti")
+    taken = [r.folder for r in log.select("folder").distinct().collect()]
+    if not taken:
+        return
+    rows = typed(spark.read.schema(schema).parquet(*[f"{source}/batch={n}" for n in taken]),
+                 table).select("*", F.col("_metadata.file_name").alias("name"))
+    rules = [r for r in EXPECTATIONS[table] if r.action != FAIL]
+    counted = rows.join(log.select("batch", "name"), "name").groupBy("batch").agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        *[F.count_if(~r.holds).alias(r.name) for r in rules])
+    lines = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("row_count"))
+                      for m in ("total_rows", *[r.name for r in rules])])
+    store_counts(counted.select(F.lit(table).alias("dataset"), "batch", F.inline(lines)), path,
+                 f"{table}-upto-{upto}")
