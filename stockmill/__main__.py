@@ -8,7 +8,7 @@
 import argparse
 
 from stockmill.operators import marts
-from stockmill.plans import generate, medallion
+from stockmill.plans import generate, incremental, medallion
 from stockmill.session import build_session
 
 
@@ -33,8 +33,7 @@ def _update(spark, args):
 def _report(spark, args):
     for table in medallion.health(spark, args.out):
         table.show()
-    gold = {name: spark.read.parquet(f"{args.out}/gold/{name}")
-            for name in medallion.GOLD}
+    gold = {name: incremental.read_gold(spark, args.out, name) for name in medallion.GOLD}
     receipts = medallion.read_layer(spark, args.out, "silver", "receipts")
     marts.widget_counters(
         marts.inventory_kpi(gold["inventory_summary"]),

@@ -5,10 +5,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
-from stockmill.operators import gold, quality
+from stockmill.operators import gold, quality, versions
 from stockmill.operators.dedupe import KEYS
 from stockmill.operators.sinks import register_table, write_materialized_view
 from stockmill.operators.silver import typed
+from stockmill.plans import incremental
 from stockmill.schemas import FEEDS
 from stockmill.session import exists
 from stockmill.sources.landing import CORRUPT, EXTRA, feed_path, landing_path, read_item_master
@@ -76,29 +77,33 @@ def read_layer(spark, out, layer, table):
 
 
 def rebuild_gold(spark, items, out):
-    """Recompute the gold tables; the later two read the stored summary."""
+    """Recompute the gold tables whole; the later two read the stored summary."""
     inventory = read_layer(spark, out, "silver", "inventory")
-    summary = write_materialized_view(
-        gold.inventory_summary(inventory, items), f"{out}/gold/inventory_summary",
-        cluster_by="month",
-    )
-    analysis = write_materialized_view(
-        gold.turnover_analysis(summary), f"{out}/gold/turnover_analysis"
-    )
-    alerts = write_materialized_view(
-        gold.overstock_alert(summary), f"{out}/gold/overstock_alert", cluster_by="month"
-    )
+
+    def replace(name, df):
+        versions.write(df, f"{out}/gold/{name}", "month", layer="gold", notes={"made_of": {}})
+        return incremental.read_gold(spark, out, name)
+
+    summary = replace("inventory_summary", gold.inventory_summary(inventory, items))
+    replace("turnover_analysis", gold.turnover_analysis(summary))
+    replace("overstock_alert", gold.overstock_alert(summary))
+    return gold_tables(spark, out)
+
+
+def gold_tables(spark, out):
+    """The gold tables by name; the rule counts of the alerts are stored anew."""
+    found = {name: incremental.read_gold(spark, out, name) for name in GOLD}
     rules = quality.EXPECTATIONS["overstock_alert"]
     tables.store_counts(
-        quality.violation_counts(alerts, "overstock_alert", rules).select(
+        quality.violation_counts(found["overstock_alert"], "overstock_alert", rules).select(
             "dataset", F.lit(0).cast("bigint").alias("batch"),
             F.col("expectation").alias("measure"), F.col("violations").alias("row_count")),
         f"{out}/rule_counts", "overstock_alert")
-    return {"inventory_summary": summary, "turnover_analysis": analysis, "overstock_alert": alerts}
+    return found
 
 
 def run_pipeline(spark, out, landing=None, max_files=None, watermarks=None):
-    """One update: new files through bronze and silver, then gold from scratch.
+    """One update: new files through bronze and silver, then the months of gold they touch.
 
     ``watermarks`` maps a silver table to the (column, delay) that bounds its dedupe state.
     """
@@ -107,7 +112,8 @@ def run_pipeline(spark, out, landing=None, max_files=None, watermarks=None):
         ingest_bronze(spark, feed, landing, out, max_files)
     for table in KEYS:
         refresh_silver(spark, table, out, max_files, watermark=(watermarks or {}).get(table))
-    return rebuild_gold(spark, refresh_items(spark, landing, out), out)
+    incremental.update_gold(spark, refresh_items(spark, landing, out), out, max_files)
+    return gold_tables(spark, out)
 
 
 def stored_tables(out):
@@ -120,19 +126,32 @@ def stored_tables(out):
 
 
 def register_layers(spark, out, database):
-    """Name all stored tables in the catalog, tagged with their layer."""
+    """Name all stored tables in the catalog, tagged with their layer.
+
+    A gold table is a view of its newest version's folders, to be named anew after an update.
+    """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for layer, name, path in stored_tables(out):
-        register_table(spark, f"{database}.{name}", path, layer=layer)
+        if layer == "gold":
+            versions.register_view(spark, f"{database}.{name}", path)
+        else:
+            register_table(spark, f"{database}.{name}", path, layer=layer)
 
 
 def health(spark, out):
-    """Tables and rows per layer, and the share of bronze rows that pass their rules."""
-    layers = quality.layer_row_counts(
-        [(layer, name, spark.read.parquet(path)) for layer, name, path in stored_tables(out)])
+    """Tables and rows per layer, and the share of bronze rows that pass their rules.
+
+    Rows of gold tables are known from their manifests; others are counted in footers.
+    """
+    stored = [(layer, name, spark.read.parquet(path)) for layer, name, path in stored_tables(out)
+              if layer != "gold"]
+    known = spark.createDataFrame(
+        [("gold", len(GOLD), sum(versions.row_count(spark, f"{out}/gold/{n}") for n in GOLD))],
+        "layer string, table_count bigint, row_count bigint")
     rates = [
         quality.pass_rate(typed(read_layer(spark, out, "bronze", table), table), table,
                           quality.EXPECTATIONS[table])
         for table in KEYS
     ]
-    return layers, reduce(lambda a, b: a.unionByName(b), rates)
+    return (quality.layer_row_counts(stored).unionByName(known),
+            reduce(lambda a, b: a.unionByName(b), rates))

@@ -450,6 +450,51 @@ _SELECTS = {
         UNION ALL SELECT item_name, NULL, item_name FROM item_master""",
     "overstock_alert": f"SELECT * {_ROUNDED} FROM alerts",
     "latest_month_filter": f"SELECT * {_ROUNDED} FROM newest_summary",
+    "newest_month_stored": f"SELECT * {_ROUNDED} FROM newest_summary",
+    "ingest_new_columns": """
+        SELECT CAST(receipt_id AS VARCHAR) AS receipt_id, receipt_qty, lead_time_actual_days,
+               CASE WHEN lead_time_actual_days % 2 = 1
+                    THEN 'dock ' || (lead_time_actual_days % 9) END AS dock
+        FROM raw_receipts""",
+    "versioned_tables": """
+        SELECT table_name, column_name, data_type, comment, layer, CAST(2 AS BIGINT) AS version,
+               CASE table_name WHEN 'overstock_entries' THEN (SELECT count(*) FROM overstock)
+                    ELSE (SELECT count(*) FROM summary) END AS row_count
+        FROM (VALUES
+          ('overstock_entries', 'manual', 'item_id', 'string', 'item key'),
+          ('overstock_entries', 'manual', 'item_name', 'string', 'item name'),
+          ('overstock_entries', 'manual', 'category', 'string', 'category code'),
+          ('overstock_entries', 'manual', 'category_name', 'string', 'category name'),
+          ('overstock_entries', 'manual', 'month', 'date', 'snapshot month'),
+          ('overstock_entries', 'manual', 'avg_inventory_qty', 'double', 'average stock quantity'),
+          ('overstock_entries', 'manual', 'avg_inventory_value', 'double', 'average stock value'),
+          ('overstock_entries', 'manual', 'unit_price', 'double', 'price per unit'),
+          ('overstock_entries', 'manual', 'turnover_rate', 'double', 'stock turnover'),
+          ('overstock_entries', 'manual', 'days_on_hand', 'bigint', 'average days on hand'),
+          ('overstock_entries', 'manual', 'recommended_action', 'string', 'recommended action'),
+          ('inventory_summary', 'gold', 'item_id', 'bigint', NULL),
+          ('inventory_summary', 'gold', 'month', 'date', NULL),
+          ('inventory_summary', 'gold', 'avg_inventory_qty', 'double', NULL),
+          ('inventory_summary', 'gold', 'avg_inventory_value', 'double', NULL),
+          ('inventory_summary', 'gold', 'max_inventory_qty', 'bigint', NULL),
+          ('inventory_summary', 'gold', 'min_inventory_qty', 'bigint', NULL),
+          ('inventory_summary', 'gold', 'item_name', 'string', NULL),
+          ('inventory_summary', 'gold', 'category', 'string', NULL),
+          ('inventory_summary', 'gold', 'category_name', 'string', NULL),
+          ('inventory_summary', 'gold', 'unit_price', 'double', NULL),
+          ('inventory_summary', 'gold', 'turnover_rate', 'double', NULL),
+          ('inventory_summary', 'gold', 'days_on_hand', 'bigint', NULL)
+        ) AS v(table_name, layer, column_name, data_type, comment)""",
+    "distinct_item_rollup": """
+        SELECT 'month' AS scope, month, CAST(NULL AS VARCHAR) AS category,
+               count(DISTINCT item_id) AS item_count,
+               round(sum(avg_inventory_value), 2) AS total_value FROM summary GROUP BY month
+        UNION ALL SELECT 'category', NULL, category, count(DISTINCT item_id),
+               round(sum(avg_inventory_value), 2) FROM summary GROUP BY category
+        UNION ALL SELECT 'month and category', month, category, count(DISTINCT item_id),
+               round(sum(avg_inventory_value), 2) FROM summary GROUP BY month, category
+        UNION ALL SELECT 'long held', NULL, NULL, count(DISTINCT item_id),
+               round(sum(avg_inventory_value), 2) FROM alerts WHERE days_on_hand >= 90""",
     # duplicates
     "dedupe_orders": "SELECT * FROM orders_clean",
     "dedupe_inventory": "SELECT DISTINCT * FROM raw_inventory",
@@ -697,6 +742,8 @@ _SELECTS = {
         UNION ALL SELECT 'silver_rows', count(DISTINCT order_id) FROM orders_gated""",
     "stream_to_gold": f"""
         SELECT * {_ROUNDED[:-1]}, CAST(item_id AS VARCHAR) AS item_id) FROM summary""",
+    "incremental_gold": f"""
+        SELECT * {_ROUNDED[:-1]}, CAST(item_id AS VARCHAR) AS item_id) FROM summary""",
     "stream_resume": f"""
         SELECT {_STOCK_TEXT}, CASE WHEN snapshot_date >= DATE '2000-01-01' THEN 2 ELSE 1 END
                AS ingest_run FROM raw_inventory""",

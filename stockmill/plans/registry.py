@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from stockmill.functions import stock, text
 from stockmill.operators import (
-    actions, analytics, datagen, gold, marts, quality, report, sinks,
+    actions, analytics, datagen, distinct, gold, marts, quality, report, sinks, versions,
 )
 from stockmill.operators.dedupe import KEYS, dedupe
 from stockmill.operators.silver import typed
-from stockmill.plans import medallion
+from stockmill.plans import incremental, medallion
 from stockmill.plans.tables import Tables
-from stockmill.schemas import FEEDS, OVERSTOCK_ENTRIES
+from stockmill.schemas import FEEDS, OVERSTOCK_ENTRIES, conform
 from stockmill.session import new_dir
 from stockmill.sources import landing
 from stockmill.streaming import tables as streams
@@ -72,6 +72,23 @@ def ingest_item_master(t):
     return landing.read_item_master(t.spark, root)
 
 
+@query
+def ingest_new_columns(t):
+    """Receipts with a column that the feed does not know, before and after it is promoted."""
+    root, out = new_dir(t.spark, "landing"), new_dir(t.spark, "tables")
+    receipts = t.feeds.raw_receipts
+    dock = F.concat(F.lit("dock "), F.pmod("lead_time_actual_days", F.lit(9)).cast("string"))
+    for part in (0, 1):
+        rows = receipts.filter(F.pmod(F.col("lead_time_actual_days"), F.lit(2)) == part)
+        if part:  # the column comes with the second delivery, in front of the others
+            rows = rows.select(dock.alias("dock"), "*")
+        rows.write.mode("append").option("header", True).csv(landing.feed_path(root, "receipts"))
+        medallion.ingest_bronze(t.spark, "receipts", root, out)
+    medallion.promote_column(t.spark, out, "receipts", "dock", "string")
+    return medallion.read_bronze(t.spark, out, "receipts").select(
+        "receipt_id", "receipt_qty", "lead_time_actual_days", "dock")
+
+
 @query
 def read_literal_rows(t):
     """Hand-entered rows beside the computed rows they extend."""
@@ -140,6 +157,30 @@ def create_or_replace_typed_table(t):
     return rounded(stored, 2, "avg_inventory_qty", "avg_inventory_value")
 
 
+@query
+def versioned_tables(t):
+    """What the manifests of stored tables say: types, comments, layer, version and rows."""
+    out = new_dir(t.spark, "versions")
+    tables = {"inventory_summary": (t.summary, "month", "gold"),
+              "overstock_entries": (conform(t.overstock, OVERSTOCK_ENTRIES), None, "manual")}
+    found = []
+    for name, (df, part_by, layer) in tables.items():
+        versions.write(df.limit(0), f"{out}/{name}", layer=layer)
+        versions.write(df, f"{out}/{name}", part_by)
+        found.append(versions.describe(t.spark, f"{out}/{name}").select(
+            F.lit(name).alias("table_name"), "*",
+            F.lit(versions.row_count(t.spark, f"{out}/{name}")).cast("bigint").alias("row_count")))
+    return found[0].unionByName(found[1])
+
+
+@query
+def newest_month_stored(t):
+    """The newest month of the stored summary: its manifest names the only folder to read."""
+    path = new_dir(t.spark, "summary")
+    versions.write(t.summary, path, "month", layer="gold")
+    return _summary_rounded(versions.newest_part(t.spark, path))
+
+
 @query
 def append_order_proposals(t):
     path = new_dir(t.spark, "order_proposals")
@@ -413,6 +454,27 @@ def inventory_kpi(t):
     return rounded(marts.inventory_kpi(t.summary), 2, "total_value")
 
 
+@query
+def distinct_item_rollup(t):
+    """Distinct items of each month, each category and all long-held stock, from bitmaps stored
+    once per month and category."""
+    path = new_dir(t.spark, "bitmaps")
+    versions.write(distinct.item_bitmaps(t.summary, distinct.numbered(t.items)), path, "month")
+    stored = versions.read(t.spark, path)
+    month, category = F.lit(None).cast("date").alias("month"), F.lit(None).alias("category")
+
+    def counts(scope, rows, *by):
+        found = distinct.distinct_items(rows, *by)
+        return found.select(
+            F.lit(scope).alias("scope"), "month" if "month" in by else month,
+            "category" if "category" in by else category.cast("string").alias("category"),
+            "item_count", F.round("total_value", 2).alias("total_value"))
+
+    return (counts("month", stored, "month").unionByName(counts("category", stored, "category"))
+            .unionByName(counts("month and category", stored, "month", "category"))
+            .unionByName(counts("long held", stored.filter("long_held"))))
+
+
 @query
 def turnover_kpi(t):
     return rounded(marts.turnover_kpi(t.analysis), 8, "avg_turnover")
@@ -712,6 +774,21 @@ def stream_to_gold(t):
     return _summary_rounded(medallion.rebuild_gold(t.spark, items, out)["inventory_summary"])
 
 
+@query
+def incremental_gold(t):
+    """Three deliveries, each taken through silver into the months of gold that it touches."""
+    root, out = new_dir(t.spark, "landing"), new_dir(t.spark, "tables")
+    landing.land(t.items, root, "item_master")
+    items = landing.read_item_master(t.spark, root)
+    for delivery in range(3):
+        part = F.pmod(F.xxhash64("location_id", "snapshot_date"), F.lit(3)) == delivery
+        landing.land(t.feeds.raw_inventory.filter(part), root, "inventory")
+        medallion.ingest_bronze(t.spark, "inventory", root, out)
+        medallion.refresh_silver(t.spark, "inventory", out)
+        incremental.update_gold(t.spark, items, out)
+    return _summary_rounded(incremental.read_gold(t.spark, out, "inventory_summary"))
+
+
 @query
 def stream_resume(t):
     """Two runs with one checkpoint: the second takes only the files that came later."""
