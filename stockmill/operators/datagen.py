@@ -188,10 +188,11 @@ def sample_n(df, n, seed, *keys):
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = ranked.groupBy("_range").agg(F.count(F.lit(1)).alias("rows")).withColumn(
         "upto", F.sum("rows").over(upto))
-    edge = counts.where(F.col("upto") > n)
-    cut = F.coalesce(edge.select(F.min("_range")).scalar(), F.lit(1 << RANGE_BITS))
-    left = n - F.coalesce(
-        counts.where(F.col("upto") <= n).select(F.max("upto")).scalar(), F.lit(0))
+    # the first range that goes beyond n, and how many of its rows are still in
+    edge = counts.select(F.min(F.when(F.col("upto") > n, F.struct(
+        F.col("_range"), (n - F.col("upto") + F.col("rows")).alias("left"))))).scalar()
+    cut = F.coalesce(edge["_range"], F.lit(1 << RANGE_BITS))
+    left = F.coalesce(edge["left"], F.lit(0))
     last = ranked.where(F.col("_range") == cut).withColumn(
         "_place", F.row_number().over(Window.orderBy("_rank", *keys))).where(
         F.col("_place") <= left).drop("_place")

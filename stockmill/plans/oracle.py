@@ -422,6 +422,10 @@ _SELECTS = {
         SELECT order_id, item_id, order_date, lead_time_days,
                order_date + CAST(lead_time_days AS INT) AS expected_delivery_date
         FROM raw_orders JOIN item_master USING (item_id)""",
+    "expected_delivery_spread": """
+        SELECT order_id, item_id, order_date, lead_time_days,
+               order_date + CAST(lead_time_days AS INT) AS expected_delivery_date
+        FROM raw_orders JOIN item_master USING (item_id)""",
     "lead_time_actual_days": """
         SELECT receipt_id, order_date, receipt_date,
                date_diff('day', order_date, receipt_date) AS lead_time_actual_days
@@ -734,6 +738,7 @@ _SELECTS = {
         SELECT CAST(location_id AS VARCHAR) AS location_id, count(*) AS row_count,
                CAST(sum(inventory_qty) AS BIGINT) AS total_qty FROM raw_inventory GROUP BY 1""",
     "stream_dedupe": f"SELECT {_STOCK_TEXT} FROM inventory",
+    "stream_least_copy": f"SELECT {_STOCK_TEXT} FROM raw_inventory",
     "stream_quality_gate": """
         SELECT 'total_rows' AS measure, count(*) AS row_count FROM landed_orders
         UNION ALL SELECT 'valid_qty', count(*) FROM landed_orders WHERE NOT order_qty > 0

@@ -1,10 +1,12 @@
 """Every query by name: a function of (spark, folder of tables)."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from stockmill.functions import stock, text
 from stockmill.operators import (
-    actions, analytics, datagen, distinct, gold, marts, quality, report, sinks, versions,
+    actions, analytics, datagen, distinct, gold, marts, quality, report, sinks, skew, versions,
 )
 from stockmill.operators.dedupe import KEYS, dedupe
 from stockmill.operators.silver import typed
@@ -17,6 +19,7 @@ from stockmill.streaming import tables as streams
 
 REQUEST_DATE = "2025-01-01"
 SECOND_ARRIVAL = "2000-01-01"
+LATE_FROM = "2001-06-01"
 SAMPLE_ROWS, SAMPLE_SEED = 350, 42
 
 QUERIES = {}
@@ -312,6 +315,16 @@ def expected_delivery_date(t):
     )
 
 
+@query
+def expected_delivery_spread(t):
+    """As ``expected_delivery_date``, by the join that spreads frequent keys itself."""
+    lead_times = t.items.select("item_id", "lead_time_days")
+    return skew.join_spread(t.feeds.dated_lines, lead_times, "item_id").select(
+        "order_id", "item_id", "order_date", "lead_time_days",
+        stock.due_date("order_date", "lead_time_days").alias("expected_delivery_date"),
+    )
+
+
 @query
 def lead_time_actual_days(t):
     return analytics.receipts_with_orders(t.receipts, t.orders).select(
@@ -751,6 +764,26 @@ def stream_dedupe(t):
     return medallion.read_layer(t.spark, out, "silver", "inventory")
 
 
+@query
+def stream_least_copy(t):
+    """Differing copies in either order of arrival; the stream keeps the least, as batch does."""
+    root, out = new_dir(t.spark, "landing"), new_dir(t.spark, "tables")
+    rows = t.feeds.raw_inventory
+    late = F.pmod(F.xxhash64("location_id", "snapshot_date"), F.lit(2)) == 0
+    more = rows.withColumn("inventory_qty", F.col("inventory_qty") + 5)
+    end = t.spark.createDataFrame(
+        [(None, None, 0, 0.0, datetime.date(2200, 1, 1))], FEEDS["inventory"])
+    for part in (rows.filter(late).unionByName(more.filter(~late)),
+                 rows.filter(~late).unionByName(more.filter(late)), end):
+        landing.land(part, root, "inventory")
+        medallion.ingest_bronze(t.spark, "inventory", root, out)
+        bronze = streams.read_table_stream(t.spark, f"{out}/bronze/inventory", FEEDS["inventory"])
+        streams.write_streaming_table(
+            streams.dedupe_least(bronze, KEYS["inventory"], "snapshot_date", "36500 days"),
+            f"{out}/rows", f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/rows")
+
+
 @query
 def stream_quality_gate(t):
     """Violations seen by the stream, and the rows that reached silver."""
@@ -776,12 +809,14 @@ def stream_to_gold(t):
 
 @query
 def incremental_gold(t):
-    """Three deliveries, each taken through silver into the months of gold that it touches."""
+    """Three deliveries, each taken through silver into the months of gold that it touches: odd
+    months, even months, and late rows of the last months."""
     root, out = new_dir(t.spark, "landing"), new_dir(t.spark, "tables")
     landing.land(t.items, root, "item_master")
     items = landing.read_item_master(t.spark, root)
-    for delivery in range(3):
-        part = F.pmod(F.xxhash64("location_id", "snapshot_date"), F.lit(3)) == delivery
+    late = (F.col("location_id") == 0) & (F.col("snapshot_date") >= LATE_FROM)
+    odd = F.pmod(F.month("snapshot_date"), F.lit(2)) == 1
+    for part in (odd & ~late, ~odd & ~late, late):
         landing.land(t.feeds.raw_inventory.filter(part), root, "inventory")
         medallion.ingest_bronze(t.spark, "inventory", root, out)
         medallion.refresh_silver(t.spark, "inventory", out)

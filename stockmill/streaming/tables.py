@@ -138,6 +138,23 @@ def dedupe_stream(df, keys, collapse=True, watermark=None):
     return df.dropDuplicates(keys)
 
 
+def dedupe_least(df, keys, time_column, delay):
+    """The least copy of each key, in whatever order copies arrive within ``delay``.
+
+    ``time_column``, a date or timestamp, must be one of the keys.  A key's least row so far is
+    kept in state and leaves, once, when the watermark has passed it; copies combine before the
+    shuffle, so a key with very many costs one row per task.  The rows are those of the
+    batch dedupe, whereas ``dedupe_stream`` keeps the first arrival at once.
+    """
+    if time_column not in keys:
+        raise ValueError(f"{time_column} must be one of the keys")
+    rest = [c for c in df.columns if c not in keys]
+    timed = df.withColumn(_EVENT_TIME, F.col(time_column).cast("timestamp")).withWatermark(
+        _EVENT_TIME, delay)
+    least = timed.groupBy(*keys, _EVENT_TIME).agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select(*[F.col("_least")[c].alias(c) if c in rest else c for c in df.columns])
+
+
 def silver_stream(bronze, table, observe=False, **dedupe_options):
     """Typed, checked and deduplicated stream; ``observe`` puts rule counts in its progress."""
     rules = EXPECTATIONS[table]
