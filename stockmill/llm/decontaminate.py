@@ -1,25 +1,28 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised items.
 
 Words are runs of digits, letters and any non-ASCII characters, ASCII letters in lower case.
-A window is ``window`` consecutive item words; a shorter item with words is one window.  A
-text is read once; every word inside an occurrence of a window is hit, and hit runs are
-mapped back to character offsets of the original text.
+A window is ``window`` consecutive item words; a shorter item with words is one window.  Item
+words are numbered, and the automaton reads word numbers, so it has at most ``window`` nodes per
+item word.  A text is read once; every word inside an occurrence of a window is hit, and hit
+runs are mapped back to character offsets of the original text.
 
 Null and empty texts have no words and no hits.  Repeated items and rows, null ids and extra
-columns are fine: each row is judged alone.  Without items nothing is hit.
+columns are fine: each row is judged alone.  Item ids may have any type that sorts.  Without
+items nothing is hit.
 """
 
 import re
 import uuid
+from itertools import repeat
 
 import ahocorasick
-import numpy as np
 from pyspark.sql import functions as F
 
 from stockmill.llm.common import stored, with_arrow_columns
 
 WINDOW = 13
-ITEM_BYTES = 16 << 20
+#: Item text of one automaton: at two bytes a word or more, at most 6.8 million nodes.
+ITEM_BYTES = 1 << 20
 #: A document is contaminated when hit words are at least one in so many.
 ONE_IN = 20
 
@@ -28,7 +31,7 @@ _CLEAN = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
     for c in range(256)
 )
-_OUT = ("n_words bigint, n_hit bigint, items array<bigint>, runs array<array<bigint>>, "
+_OUT = ("n_words bigint, n_hit bigint, items array<{item}>, runs array<array<bigint>>, "
         "spans array<array<bigint>>")
 _automata = {}
 
@@ -49,13 +52,15 @@ def item_windows(items, window):
 
 
 def automaton(windows):
-    built = ahocorasick.Automaton()
+    """The automaton over word numbers, and the numbers of item words (from 1)."""
+    built = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    numbers = {}
     for pattern, items in windows.items():
-        built.add_word(" " + pattern.decode("latin-1") + " ",
-                       (pattern.count(b" ") + 1, tuple(items)))
+        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in pattern.split(b" "))
+        built.add_word(key, (len(key), tuple(items)))
     if windows:
         built.make_automaton()
-    return built
+    return built, numbers
 
 
 def _merge(runs):
@@ -72,13 +77,10 @@ def scan_text(text, built, before=()):
     """Word count, item ids and merged hit runs (first word, last word) of one text."""
     tokens = words(text)
     runs, items = [list(r) for r in before], set()
-    if tokens and len(built):
-        line = b" " + b" ".join(tokens) + b" "
-        spaces = None
-        for end, (length, ids) in built.iter(line.decode("latin-1")):
-            if spaces is None:
-                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-            last = int(np.searchsorted(spaces, end)) - 1
+    tree, numbers = built
+    if tokens and numbers:
+        # the number 0 is no item word and leads back to the root
+        for last, (length, ids) in tree.iter(tuple(map(numbers.get, tokens, repeat(0)))):
             runs.append([last - length + 1, last])
             items.update(ids)
     return len(tokens), items, _merge(runs)
@@ -106,16 +108,17 @@ def scan(docs, items, text="text", item_id="item_id", item_text="text", window=W
     per block, the hit runs carried from one pass to the next.
     """
     rows = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"))
+    kind = rows.schema["item"].dataType.simpleString()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-size // item_bytes) or 1
     state = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.struct(F.array().cast("array<bigint>").alias("items"),
+        F.struct(F.array().cast(f"array<{kind}>").alias("items"),
                  F.array().cast("array<array<bigint>>").alias("runs")).alias("out"))
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
         windows = item_windows(((r.item, r.text) for r in part.toLocalIterator()), window)
-        state = _one_pass(state, text, windows)
+        state = _one_pass(state, text, windows, kind)
         if block + 1 < blocks:
             state = stored(state, "decontaminate")
     n_hit, n_words = F.col("out.n_hit"), F.col("out.n_words")
@@ -124,7 +127,7 @@ def scan(docs, items, text="text", item_id="item_id", item_text="text", window=W
         ((n_hit > 0) & (n_hit * ONE_IN >= n_words)).alias("contaminated")).alias("out"))
 
 
-def _one_pass(state, text, windows):
+def _one_pass(state, text, windows, kind):
     shared = state.sparkSession.sparkContext.broadcast(windows)
     name = uuid.uuid4().hex
 
@@ -150,5 +153,6 @@ def _one_pass(state, text, windows):
         return compute
 
     scanned = with_arrow_columns(
-        state, [F.col("row")[text], F.col("out.items"), F.col("out.runs")], _OUT, prepare)
+        state, [F.col("row")[text], F.col("out.items"), F.col("out.runs")],
+        _OUT.format(item=kind), prepare)
     return scanned.select("row.row", "out")

@@ -30,10 +30,11 @@ FAMILIES = {
     "indic": "hi mr ne bn gu pa ur",
     "semitic": "ar he mt am",
 }
-#: Labelled texts used for fitting: per language on average at most, and in all.
+#: Labelled texts used for fitting: per language on average at most, in all, and per language at
+#: least, however many languages there are.
 SAMPLE_PER_LANGUAGE = 500
 SAMPLE = 2500
-LANGUAGES = 200
+LEAST_PER_LANGUAGE = 8
 FEATURES = 4096
 #: Each training text also gives a snippet of so many characters, for short texts.
 SNIPPET = 80
@@ -121,16 +122,16 @@ def _fit_arrays(x, fit, langs):
 def fit(docs, doc_id="doc_id", text="text", lang="lang", sample=SAMPLE_PER_LANGUAGE):
     """A model from rows outside the held-out fold whose language is known.
 
-    About ``sample`` rows per language, picked by a hash of the id, and never more than twice
-    ``SAMPLE`` in all; their feature vectors (8 KB each) come to the driver, texts do not.
+    About ``sample`` rows per language, picked by a hash of the id: ``SAMPLE`` in all or
+    ``LEAST_PER_LANGUAGE`` each, whichever is more, and never more than twice that; every language
+    is learned.  Feature vectors (8 KB each) come to the driver, texts do not.
     """
     known = docs.where(~held_out(doc_id) & F.col(lang).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
-        LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Model((), (), np.zeros((0, FEATURES + 1), np.float32), np.zeros((0, 2)))
-    sample = min(sample, SAMPLE // len(counts))
+    sample = max(min(sample, SAMPLE // len(counts)), LEAST_PER_LANGUAGE)
     scale = 1 << 30
     share = F.create_map(*[F.lit(v) for r in counts
                            for v in (r.lang, min(scale, scale * sample // r["count"]))])

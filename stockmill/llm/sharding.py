@@ -4,8 +4,9 @@ A group is all rows with the same text.  Groups are counted by size; from the la
 each enters the open shard with the least room that still takes it (found in a balanced tree
 of rooms), or opens a new one.  Groups of one size fill a shard one after another, because
 after one has entered, that shard has the least room again; so the counts per size, not the
-groups, pass through the driver.  Sizes keep ten significant bits, rounded up: at most about
-a thousand classes per power of two whatever the data, and no shard overflows.
+groups, pass through the driver.  Sizes are exact.  As different sizes add up to no more than
+all bytes, there are at most sqrt(2 * bytes) of them: 14 million for 100 TB, if every text were
+of another length.
 
 A null text counts as an empty one.  Repeated rows are of one group.  A group larger than a
 shard's capacity has a shard of its own.  An empty table gives no rows.
@@ -19,10 +20,10 @@ from pyspark.sql import Window, functions as F
 from stockmill.llm.common import stored
 
 SHARDS = 8
-#: Spread of one size class, and of one shard's rows, over tasks.
+#: Least spread of one size class, and of one shard's rows, over tasks.
 PIECES = 64
 ROWS_PER_PIECE = 50_000
-_KEPT_BITS = 10
+FINENESS = 20_000
 
 
 class RoomTree:
@@ -98,10 +99,10 @@ def best_fit_decreasing(counts, capacity, limit=None):
 
 
 def fill_shards(counts, shards):
-    """Runs for the least capacity, to a thousandth, at which ``shards`` shards suffice."""
+    """Runs for the least capacity, to a part in ``FINENESS``, at which ``shards`` suffice."""
     total = sum(size * n for size, n in counts.items())
     low = max(-(-total // shards), 1)
-    step, high = max(1, low // 1000), low
+    step, high = max(1, low // FINENESS), low
     while (runs := best_fit_decreasing(counts, high, shards)) is None:
         low, high = high + 1, high * 2
     while high - low >= step:
@@ -114,13 +115,6 @@ def fill_shards(counts, shards):
     return runs
 
 
-def rounded_up(size):
-    """The size with its leading ten bits, rounded up."""
-    unit = F.greatest(F.lit(0), F.length(F.bin(size)) - _KEPT_BITS)
-    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), unit)
-    return F.ceil(size / step).cast("bigint") * step
-
-
 def pack(docs, text="text", doc_id="doc_id", shards=None, capacity=None):
     """doc_id, size, text_crc32, shard, slot for every row.
 
@@ -138,9 +132,9 @@ def pack(docs, text="text", doc_id="doc_id", shards=None, capacity=None):
     rows = stored(rows, "shard-rows")
     key = ["h1", "h2", "text_crc32", "size"]
     groups = rows.groupBy(*key).agg(F.sum("size").alias("bytes"))
-    groups = stored(groups.select(
-        *key, rounded_up(F.col("bytes")).alias("class"),
-        F.pmod(F.xxhash64("h2", "h1"), F.lit(PIECES)).alias("piece")), "shard-groups")
+    groups = stored(groups.select(*key, F.col("bytes").alias("class")), "shard-groups")
+    spread = max(PIECES, groups.count() // ROWS_PER_PIECE)
+    groups = groups.withColumn("piece", F.pmod(F.xxhash64("h2", "h1"), F.lit(spread)))
     pieces = groups.groupBy("class", "piece").agg(F.count("*").alias("n"))
     counts = {r["class"]: r["n"] for r in
               pieces.groupBy("class").agg(F.sum("n").alias("n")).toLocalIterator()}

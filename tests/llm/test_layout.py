@@ -80,6 +80,22 @@ def test_near_equal_shards(make_docs):
     assert len(got) == 8 and max(got) < 1.02 * min(got)
 
 
+def test_shards_of_real_texts_differ_by_less_than_a_thousandth(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables not found")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = [r.bytes for r in sharding.pack(docs, shards=8).groupBy("shard").agg(
+        F.sum("size").alias("bytes")).collect()]
+    assert len(got) == 8 and max(got) - min(got) < 0.001 * max(got)
+
+
+def test_one_size_with_very_many_groups(make_docs):
+    rows = [(i, f"{i:06}") for i in range(3000)]
+    got = sharding.pack(make_docs(rows), shards=8).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [375] * 8
+
+
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary file")
 
 

@@ -186,3 +186,31 @@ def test_notices_without_a_cue(make_docs, licence_model):
                 " permitted provided that the following conditions are met")]
     got = license_scan.scan(make_docs(rows), model=licence_model).collect()
     assert {r.doc_id: r.license for r in got} == {1: "MPL", 2: "BSD"}
+
+
+def test_item_ids_of_any_type_and_bounded_automaton(make_docs, spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    bench = spark.createDataFrame([("q-1", body), ("q-2", "just three words"), (None, body)],
+                                  "item_id string, text string")
+    got = {r.row.doc_id: r.out for r in decontaminate.scan(
+        make_docs([(1, f"Before. {body.upper()} after"), (2, "JUST, three (words)!"), (3, "just w1")]),
+        bench).collect()}
+    assert (got[1]["items"], got[1].n_hit, got[1].contaminated) == (["q-1", None], 40, True)
+    assert (got[2]["items"], got[2].n_hit) == (["q-2"], 3)
+    assert got[3].n_hit == 0
+    windows = decontaminate.item_windows([(1, " ".join(f"w{i}" for i in range(5000)))], 13)
+    tree, numbers = decontaminate.automaton(windows)
+    assert len(numbers) == 5000 and tree.get_stats()["nodes_count"] <= 13 * 5000 + 1
+
+
+def test_many_languages_are_all_learned(make_docs):
+    """More languages than any list is long; each has letters of its own."""
+    count, rows = 230, []
+    for n in range(count):
+        word = "".join(chr(0x4E00 + 37 * n + k) for k in range(3))
+        rows += [(100 * n + k, f"{word} {word[::-1]} " * (5 + k), f"x{n:03}") for k in range(4)]
+    docs = make_docs(rows)
+    model = language_id.fit(docs)
+    assert len({m for _, members in model.families for m in members}) == count
+    told = language_id.predict(docs, model).select("row.lang", "out.lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in told) > 0.95 * len(told)
