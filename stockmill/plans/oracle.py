@@ -525,6 +525,16 @@ _SELECTS = {
         SELECT item_id, month, category, forecast_qty, actual_qty, gap_rate_pct,
                round(avg_inventory_value, 2) AS inventory_value
         FROM raw_demand JOIN summary USING (item_id, month)""",
+    "colocated_summary": f"SELECT * {_ROUNDED} FROM summary",
+    "colocated_item_turnover": """
+        SELECT item_id, item_name, category, count(*) AS month_count,
+               round(avg(turnover_rate), 8) AS avg_turnover_rate,
+               round(avg(avg_inventory_value), 2) AS avg_inventory_value
+        FROM summary GROUP BY 1, 2, 3""",
+    "colocated_demand_gap": """
+        SELECT item_id, month, category, forecast_qty, actual_qty, gap_rate_pct,
+               round(avg_inventory_value, 2) AS inventory_value
+        FROM raw_demand JOIN summary USING (item_id, month)""",
     "surplus_candidates": """
         SELECT s.item_id, s.location AS short_location, s.shortage_qty,
                count(*) AS surplus_locations, CAST(sum(u.surplus_qty) AS BIGINT) AS surplus_qty,

@@ -10,7 +10,7 @@ from stockmill.operators import (
 )
 from stockmill.operators.dedupe import KEYS, dedupe
 from stockmill.operators.silver import typed
-from stockmill.plans import incremental, medallion
+from stockmill.plans import colocated, incremental, medallion
 from stockmill.plans.tables import Tables
 from stockmill.schemas import FEEDS, OVERSTOCK_ENTRIES, conform
 from stockmill.session import new_dir
@@ -736,6 +736,53 @@ def sample_n(t):
     return datagen.sample_n(orders, SAMPLE_ROWS, SAMPLE_SEED, "o_orderkey")
 
 
+# ---- bucketed tables -----------------------------------------------------------------
+
+def _bucketed(t, store, read):
+    """Rows read from bucketed tables in a database of their own, which goes from the catalog."""
+    path = new_dir(t.spark, "buckets")
+    database = f"stockmill_{path.rsplit('-', 1)[-1]}"
+    t.spark.sql(f"CREATE DATABASE {database} LOCATION '{path}/catalog'")
+    try:
+        store(database, f"{path}/tables")
+        return read(t.spark, database)
+    finally:  # the tables are external: their folders stay, and the plan is made
+        for table in t.spark.catalog.listTables(database):
+            kind = "VIEW" if table.tableType == "VIEW" else "TABLE"
+            t.spark.sql(f"DROP {kind} {database}.{table.name}")
+        t.spark.sql(f"DROP DATABASE {database}")
+
+
+def _sums(t):
+    return incremental.month_sums(t.inventory)
+
+
+@query
+def colocated_summary(t):
+    """``inventory_summary`` by a join of sums and items that lie in the same buckets."""
+    return _summary_rounded(_bucketed(
+        t, lambda database, path: colocated.store_sums(_sums(t), t.items, database, path, 8),
+        colocated.inventory_summary))
+
+
+@query
+def colocated_item_turnover(t):
+    """Means per item over its months: join and grouping use the same buckets."""
+    return rounded(_bucketed(
+        t, lambda database, path: colocated.store_sums(_sums(t), t.items, database, path, 8),
+        colocated.turnover_by_item), 8, "avg_turnover_rate").withColumn(
+        "avg_inventory_value", F.round("avg_inventory_value", 2))
+
+
+@query
+def colocated_demand_gap(t):
+    """``demand_gap_with_value`` by a join of demand and summary in the same buckets."""
+    return rounded(_bucketed(
+        t, lambda database, path: colocated.store_summary(
+            t.summary, t.demand, database, path, 8),
+        colocated.demand_gap_with_value), 2, "inventory_value")
+
+
 # ---- streams -------------------------------------------------------------------------
 
 @query
