@@ -1,14 +1,17 @@
 """Command line: ``spark-submit`` this file, or ``python -m stockmill``.
 
   generate --landing DIR [--items N] [--orders N] [--dry-run]
-  update   --landing DIR --out DIR [--database NAME]
+  update   --landing DIR --out DIR [--database NAME] [--buckets-in DATABASE]
+  act      --out DIR [--positions CSV] [--date DAY]
   report   --out DIR
 """
 
 import argparse
+import datetime
 
 from stockmill.operators import marts
-from stockmill.plans import generate, incremental, medallion
+from stockmill.plans import colocated, generate, incremental, medallion, stored_actions
+from stockmill.schemas import STOCK_POSITION
 from stockmill.session import build_session
 
 
@@ -28,6 +31,17 @@ def _update(spark, args):
     medallion.run_pipeline(spark, args.out, args.landing, watermarks=marks)
     if args.database:
         medallion.register_layers(spark, args.out, args.database)
+    if args.buckets_in:
+        colocated.store_layers(spark, args.out, args.buckets_in)
+
+
+def _act(spark, args):
+    if args.positions:
+        stored_actions.store_positions(spark, args.out, spark.read.schema(STOCK_POSITION).csv(
+            args.positions, header=True, enforceSchema=False))
+    found = stored_actions.update_actions(spark, args.out, args.date)
+    for name, table in found.items():
+        print(name, table.count())
 
 
 def _report(spark, args):
@@ -61,6 +75,13 @@ def main(argv=None, spark=None):
     update.add_argument("--watermark", action="append", default=[],
                         metavar="TABLE:COLUMN:DELAY", help="bounds the dedupe state of a table")
     update.set_defaults(run=_update)
+    update.add_argument("--buckets-in", default=None, metavar="DATABASE",
+                        help="also keep monthly tables bucketed by item, named in DATABASE")
+    act = commands.add_parser("act")
+    act.add_argument("--out", required=True)
+    act.add_argument("--positions", default=None, help="CSV of stock positions to take over")
+    act.add_argument("--date", default=datetime.date.today().isoformat())
+    act.set_defaults(run=_act)
     report = commands.add_parser("report")
     report.add_argument("--out", required=True)
     report.set_defaults(run=_report)

@@ -693,6 +693,22 @@ _SELECTS = {
                             shortage_qty, lead_time_days) AS reason
               FROM transfers)""",
     "order_proposals": "SELECT * FROM proposals",
+    "stored_proposals": """
+        SELECT * REPLACE (CAST(item_id AS VARCHAR) AS item_id) FROM proposals""",
+    "stored_requests": """
+        SELECT 'transfer' AS kind, CAST(item_id AS VARCHAR) AS item_id,
+               CAST(source_location AS VARCHAR) AS source_location,
+               CAST(target_location AS VARCHAR) AS target_location, transfer_qty AS qty,
+               printf('[%d] から [%d] へ %s を %d個 転用するための依頼書です。理由: %d で %d個 の不足、サプライヤーリードタイム %d日',
+                      source_location, target_location, item_name, transfer_qty,
+                      target_location, shortage_qty, lead_time_days) AS summary
+        FROM transfers
+        UNION ALL
+        SELECT 'order', CAST(item_id AS VARCHAR), NULL, CAST(location AS VARCHAR), order_qty,
+               printf('緊急手配: %s を %d個発注するための依頼書です。希望納期: 2025/01/08。理由: 必要量 %d個 に対し現在庫 %d個、転用 %d個 を差し引き %d個 不足',
+                      item_name, order_qty, required_qty, current_stock, covered_qty, order_qty)
+        FROM uncovered""",
+    "stored_overstock": f"SELECT * {_ROUNDED} FROM overstock",
     "quantitative_basis": f"""
         SELECT item_id, month, {_BASIS} AS quantitative_basis FROM summary""",
     "critical_flag": """

@@ -10,11 +10,11 @@ from stockmill.operators import (
 )
 from stockmill.operators.dedupe import KEYS, dedupe
 from stockmill.operators.silver import typed
-from stockmill.plans import colocated, incremental, medallion
+from stockmill.plans import colocated, incremental, medallion, stored_actions
 from stockmill.plans.tables import Tables
 from stockmill.schemas import FEEDS, OVERSTOCK_ENTRIES, conform
 from stockmill.session import new_dir
-from stockmill.sources import landing
+from stockmill.sources import landing, literals
 from stockmill.streaming import tables as streams
 
 REQUEST_DATE = "2025-01-01"
@@ -736,6 +736,61 @@ def sample_n(t):
     return datagen.sample_n(orders, SAMPLE_ROWS, SAMPLE_SEED, "o_orderkey")
 
 
+# ---- stored actions ------------------------------------------------------------------
+
+def _action_tables(t, alerts=None):
+    """A folder of stored tables that the action tables are made from."""
+    out = new_dir(t.spark, "tables")
+    for feed, rows in (("item_master", t.items), ("demand", t.demand)):
+        conform(rows, FEEDS[feed]).write.parquet(f"{out}/bronze/{feed}")
+    as_text = F.col("item_id").cast("string")
+    for name, rows in (("inventory_summary", t.summary), ("overstock_alert", alerts)):
+        if rows is not None:
+            versions.write(rows.withColumn("item_id", as_text), f"{out}/gold/{name}", "month",
+                           layer="gold")
+    stored_actions.store_positions(t.spark, out, t.positions)
+    return out
+
+
+@query
+def stored_proposals(t):
+    """The proposal log of stored tables; a second run finds nothing to add."""
+    out = _action_tables(t)
+    for _ in range(2):
+        log = stored_actions.add_proposals(t.spark, out)
+    return log.drop("created_at")
+
+
+@query
+def stored_requests(t):
+    """Transfer requests and emergency orders of stored positions."""
+    out = new_dir(t.spark, "tables")
+    stored_actions.store_positions(t.spark, out, t.positions)
+    stored_actions.make_requests(t.spark, out, REQUEST_DATE)
+    moves, orders = (versions.read(t.spark, f"{out}/gold/{name}")
+                     for name in (stored_actions.TRANSFERS, stored_actions.ORDERS))
+    return moves.select(
+        F.lit("transfer").alias("kind"), "item_id", "source_location", "target_location",
+        F.col("transfer_qty").alias("qty"), "summary").unionByName(
+        orders.select(
+            F.lit("order").alias("kind"), "item_id",
+            F.lit(None).cast("string").alias("source_location"),
+            F.col("delivery_location").alias("target_location"),
+            F.col("order_qty").alias("qty"), "summary"))
+
+
+@query
+def stored_overstock(t):
+    """The overstock list, first of early alerts, then of the months that came later too."""
+    alerts = t.alerts.withColumn("item_id", F.col("item_id").cast("string"))
+    out = _action_tables(t, alerts.filter(F.col("month") < SECOND_ARRIVAL))
+    stored_actions.update_overstock(t.spark, out)
+    versions.write(alerts, f"{out}/gold/overstock_alert", "month")
+    stored_actions.store_entries(t.spark, out, literals.overstock_entries(t.spark))
+    stored_actions.update_overstock(t.spark, out)
+    return _summary_rounded(versions.read(t.spark, f"{out}/gold/{stored_actions.OVERSTOCK}"))
+
+
 # ---- bucketed tables -----------------------------------------------------------------
 
 def _bucketed(t, store, read):
