@@ -9,9 +9,16 @@ triple of any notice are classified by a multinomial logistic
 regression on sparse counts of their words and word pairs.  It is trained on notices of each
 family, on the notices with each word left out in turn, and, as the class ``unknown``, on
 notices reduced to the words that families share and on a bounded sample of ordinary
-paragraphs.  A second regression, on notices the first has not seen, turns the margin over
-``unknown`` into a calibrated probability.  A family stands only if the word triples of one of
-its notices occur in the paragraph to a large part; otherwise the licence is ``unknown``.
+paragraphs.  Notices of licences outside the families (``OTHERS``) train ``unknown`` too.  A second
+regression, on notices the first has not seen, turns the margin over ``unknown`` into a
+calibrated probability.
+
+Templates confirm: a family stands only if the word triples of one of its notices occur in the
+paragraph to a large part, and to a larger part than those of any other licence's notice, if no
+word names another licence (``FOREIGN``: "affero", "noderivatives" ...), and if the paragraph does
+not say that the licence does not hold ("never released under").  A copyright line ("All rights
+reserved.") right before a notice of an open licence claims nothing of its own.  In all
+these cases the licence is ``unknown``.
 
 A paragraph with neither a cue word nor a triple of a notice could never be confirmed: leaving
 it out changes nothing.
@@ -46,6 +53,20 @@ NOTICES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
         " software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this"
+        " software and associated documentation files (the Software), to deal in the Software"
+        " without restriction, including without limitation the rights to use, copy, modify,"
+        " merge, publish, distribute, sublicense, and/or sell copies of the Software, and to"
+        " permit persons to whom the Software is furnished to do so, subject to the following"
+        " conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies"
+        " or substantial portions of the Software.",
+        "The Software is provided as is, without warranty of any kind, express or implied,"
+        " including but not limited to the warranties of merchantability, fitness for a"
+        " particular purpose and noninfringement. In no event shall the authors or copyright"
+        " holders be liable for any claim, damages or other liability, whether in an action of"
+        " contract, tort or otherwise, arising from, out of or in connection with the Software"
+        " or the use or other dealings in the Software.",
     ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -74,6 +95,17 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are"
         " permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of"
+        " conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of"
+        " conditions and the following disclaimer in the documentation and/or other materials"
+        " provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used"
+        " to endorse or promote products derived from this software without specific prior"
+        " written permission.",
+        "This software is provided by the copyright holders and contributors as is and any"
+        " express or implied warranties, including, but not limited to, the implied warranties"
+        " of merchantability and fitness for a particular purpose are disclaimed.",
     ],
     "MPL": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -111,6 +143,45 @@ NOTICES = {
         " copyright law.",
     ],
 }
+
+#: Notices of licences that are no family here: fixed values, the usual public wordings.
+OTHERS = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of"
+    " the GNU Affero General Public License as published by the Free Software Foundation",
+    "Licensed under the GNU Affero General Public License, version 3.",
+    "SPDX-License-Identifier: AGPL-3.0-only",
+    "Licensed under the Educational Community License, Version 2.0 (the License); you may not use"
+    " this file except in compliance with the License.",
+    "This program and the accompanying materials are made available under the terms of the"
+    " Eclipse Public License 2.0 which is available at",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This software is provided as-is, without any express or implied warranty. In no event will"
+    " the authors be held liable for any damages arising from the use of this software.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International"
+    " License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"
+    " International License.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Use of this software is governed by the Business Source License included in the file"
+    " LICENSE.",
+    "Licensed under the Artistic License 2.0.",
+    "The contents of this file are subject to the terms of the Common Development and"
+    " Distribution License.",
+]
+
+#: Words that name another licence when they stand in a family's notice: fixed values.
+FOREIGN = ("affero agpl noderivatives noderivs nd educational ecl eclipse epl boost bsl zlib eupl"
+           " sil ofl busl artistic cddl cecill wtfpl sspl elastic commons").split()
+#: Words by which a paragraph says that a licence does not hold.
+DENIED = (r"(?i)(?:\b(?:never|not|no longer|neither|nor)\b|n['\u2019]t\b)(?:\W+\w+){0,4}?\W+"
+          r"(?:released|licen[sc]ed|available|distributed|published|offered|covered|governed|"
+          r"placed|put)\W+(?:under|by|in|into)\b")
+#: A copyright line claims nothing of its own if an open notice begins so many lines below.
+NEAR_LINES = 2
+RESERVED = "Proprietary"
 SHARED_BY = 3
 
 
@@ -147,12 +218,19 @@ def notice_triples():
         _listed(_triples_of(text)) for texts in NOTICES.values() for text in texts) + ")")
 
 
-def touched(runs):
+def touched(runs, without=()):
     """Whether there is a triple of any notice among ``runs``."""
-    known = {t for texts in NOTICES.values() for text in texts for t in _triples_of(text)}
+    known = {t for family, texts in NOTICES.items() if family not in without
+             for text in texts for t in _triples_of(text)}
     return F.arrays_overlap(runs, F.expr(_listed(sorted(known))))
 
 
+def foreign_to(family):
+    """The words of ``FOREIGN`` that none of the family's own notices has."""
+    own = set(re.findall("[a-z0-9]+", " ".join(NOTICES[family]).lower()))
+    return sorted(set(FOREIGN) - own)
+
+
 def notices(spark):
     rows = F.array(*[
         F.struct(F.lit(family).alias("family"), F.lit(i).alias("notice"), F.lit(text).alias("text"))
@@ -190,7 +268,12 @@ def _examples(docs, text, doc_id):
         ~F.col("line").rlike(CUE) & ~touched(triples(words(F.col("line"))))).select(
         F.lit(UNKNOWN).alias("family"), F.slice(words(F.col("line")), 1, 60).alias("words"),
         (F.xxhash64("line") % 3 != 0).alias("fit")).limit(10 * ORDINARY_DOCUMENTS)
-    return left_out.union(bare).union(ordinary)
+    texts = F.array(*[F.struct(F.lit(i).alias("notice"), F.lit(text).alias("text"))
+                      for i, text in enumerate(OTHERS)])
+    others = docs.sparkSession.range(1).select(F.inline(texts)).select(
+        F.lit(UNKNOWN).alias("family"), words(F.col("text")).alias("words"),
+        (F.col("notice") % 3 != 1).alias("fit"))
+    return left_out.union(bare).union(others).union(ordinary)
 
 
 class Model:
@@ -249,12 +332,13 @@ def _judged(pair, place):
     more = F.exists(sets, lambda n: both(n) > F.greatest(last(n), mine(n)))
     joins = F.when(pair["apart"] | ~touched(pair["both"]), False).when(whole, False).otherwise(more)
     return F.struct(place.alias("place"), pair["body"].alias("body"), joins.alias("joins"),
-                    touched(pair["mine"]).alias("touched"))
+                    touched(pair["mine"]).alias("touched"),
+                    touched(pair["mine"], [RESERVED]).alias("opens"))
 
 
 def paragraphs(docs, text="text", doc_id="doc_id"):
     """Paragraphs with a cue word or a triple of a notice: doc_id, paragraph (number of its first
-    line from 0), body."""
+    line from 0), body, heads (an open licence's notice begins right below)."""
     body = F.col(f"`{text}`")
     lines = docs.where(body.rlike(CUE) | touched(triples(words(body)))).select(
         F.col(f"`{doc_id}`").alias("doc_id"),
@@ -278,30 +362,47 @@ def paragraphs(docs, text="text", doc_id="doc_id"):
         return F.struct(
             x["first"]["place"].alias("paragraph"),
             F.array_join(F.transform(inside, lambda y: y["body"]), "\n").alias("body"),
-            ((F.length(x["marks"]) > 1) | x["first"]["touched"]).alias("touched"))
+            ((F.length(x["marks"]) > 1) | x["first"]["touched"]).alias("touched"),
+            F.exists(F.slice("lines", x["first"]["place"] + 1 + F.length(x["marks"]), NEAR_LINES),
+                     lambda y: y["opens"]).alias("heads"))
 
     return judged.select("doc_id", F.inline(F.transform(begins, run))).where(
         F.col("touched") | F.col("body").rlike(CUE)).drop("touched")
 
 
 def scan(docs, text="text", doc_id="doc_id", model=None):
-    """doc_id, paragraph, body, predicted, probability, similarity, confirmed, license."""
+    """doc_id, paragraph, body, predicted, probability, similarity, other_similarity, objection,
+    confirmed, license.  ``objection`` tells why a likely notice is not confirmed: "other",
+    "foreign word", "denied" or "copyright line"."""
     model = model or Model(docs, text, doc_id)
-    texts = {family: [triples(words(F.lit(line))) for line in lines]
+    texts = {family: [F.expr(_listed(_triples_of(line))) for line in lines]
              for family, lines in NOTICES.items()}
+    others = [F.expr(_listed(_triples_of(line))) for line in OTHERS]
     found = model.classify(paragraphs(docs, text, doc_id).withColumn("words", words(F.col("body"))))
     mine = triples(F.col("words"))
 
     def held(sets):
-        return F.greatest(*[F.size(F.array_intersect(s, F.col("mine"))) / F.size(F.array_distinct(s))
+        return F.greatest(*[F.size(F.array_intersect(s, F.col("mine"))) / F.size(s)
                             for s in sets])
 
-    similarity = F.lit(0.0)
+    similarity, foreign = F.lit(0.0), F.lit(False)
     for family, sets in texts.items():
-        similarity = F.when(F.col("predicted") == family, held(sets)).otherwise(similarity)
-    confirmed = (F.col("similarity") >= CONFIRM) & (F.col("probability") >= ACCEPT)
+        told = F.col("predicted") == family
+        similarity = F.when(told, held(sets)).otherwise(similarity)
+        foreign = F.when(told, F.arrays_overlap(
+            "words", F.expr(_listed(foreign_to(family))))).otherwise(foreign)
+    likely = (F.col("similarity") >= CONFIRM) & (F.col("probability") >= ACCEPT)
+    objection = (
+        F.when(~likely, None)
+        .when(F.col("other_similarity") >= F.col("similarity"), "other")
+        .when(foreign, "foreign word")
+        .when(F.col("body").rlike(DENIED), "denied")
+        .when((F.col("predicted") == RESERVED) & F.col("heads"), "copyright line"))
     return found.withColumn("mine", mine).select(
-        "doc_id", "paragraph", "body", "predicted", "probability",
-        F.round(similarity, 6).alias("similarity")).withColumn(
-        "confirmed", confirmed).withColumn(
-        "license", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN))
+        "doc_id", "paragraph", "body", "heads", "words", "predicted", "probability",
+        F.round(similarity, 6).alias("similarity"),
+        F.round(held(others), 6).alias("other_similarity")).withColumn(
+        "objection", objection).withColumn(
+        "confirmed", likely & F.col("objection").isNull()).withColumn(
+        "license", F.when(F.col("confirmed"), F.col("predicted")).otherwise(UNKNOWN)).drop(
+        "heads", "words")

@@ -188,6 +188,88 @@ def test_notices_without_a_cue(make_docs, licence_model):
     assert {r.doc_id: r.license for r in got} == {1: "MPL", 2: "BSD"}
 
 
+NO_FAMILY = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of"
+    " the GNU Affero General Public License as published by the Free Software Foundation, either"
+    " version 3 of the License, or (at your option) any later version.",
+    "Licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International"
+    " License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"
+    " International License.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "Licensed under the Educational Community License, Version 2.0 (the License); you may not use"
+    " this file except in compliance with the License.",
+    "Distributed under the Boost Software License, Version 1.0. (See accompanying file"
+    " LICENSE_1_0.txt)",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will"
+    " the authors be held liable for any damages arising from the use of this software.",
+    "This program and the accompanying materials are made available under the terms of the"
+    " Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "Licensed under the Artistic License 2.0.",
+    "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: EPL-2.0",
+    "SPDX-License-Identifier: Zlib",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution"
+    " License (the License).",
+    "Licensed under the Elastic License 2.0.",
+    "This project is released under the Server Side Public License, version 1.",
+    "This work was never released under the MIT License.",
+    "The code is not licensed under the Apache License, Version 2.0.",
+    "The old files aren't available under the CC BY-SA 4.0 license.",
+    "This library has not been released into the public domain.",
+]
+COPYRIGHT = "Copyright (c) 2010, The Authors. All rights reserved."
+MIT_TEXT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_licences_of_no_family_are_unknown(make_docs, licence_model):
+    got = license_scan.scan(make_docs(list(enumerate(NO_FAMILY))), model=licence_model).collect()
+    assert [(r.body, r.license, r.objection) for r in got if r.license != "unknown"] == []
+
+
+def test_every_notice_is_still_told(make_docs, licence_model):
+    rows = [(f"{family} {i}", text) for family, texts in license_scan.NOTICES.items()
+            for i, text in enumerate(texts)]
+    got = license_scan.scan(make_docs(rows, "doc_id string, text string"),
+                            model=licence_model).collect()
+    assert [(r.doc_id, r.predicted, r.probability, r.objection) for r in got
+            if r.license != r.doc_id.split()[0]] == []
+    assert len({r.doc_id for r in got}) == len(rows)
+
+
+def test_copyright_lines_and_whole_texts(make_docs, licence_model):
+    rows = [(1, f"{COPYRIGHT}\n\n{WRAPPED['BSD']}"), (2, f"{COPYRIGHT}\nint x;"),
+            (3, f"int x;\n{MIT_TEXT}\n\nint y;")]
+    got = license_scan.scan(make_docs(rows), model=licence_model).collect()
+    told = {d: sorted((r.paragraph, r.license) for r in got if r.doc_id == d) for d in (1, 2, 3)}
+    assert told[1] == [(0, "unknown"), (2, "BSD")] and told[2] == [(0, "Proprietary")]
+    assert [x for x in told[3] if x[1] != "unknown"] == [(3, "MIT"), (10, "MIT"), (13, "MIT")]
+    assert len(told[3]) == 4  # the copyright line is the fourth
+
+
 def test_item_ids_of_any_type_and_bounded_automaton(make_docs, spark):
     body = " ".join(f"w{i}" for i in range(40))
     bench = spark.createDataFrame([("q-1", body), ("q-2", "just three words"), (None, body)],
