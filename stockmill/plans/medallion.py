@@ -1,5 +1,6 @@
 """The whole pipeline: landing folders to bronze, silver and gold tables."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -85,8 +86,11 @@ def rebuild_gold(spark, items, out):
         return incremental.read_gold(spark, out, name)
 
     summary = replace("inventory_summary", gold.inventory_summary(inventory, items))
-    replace("turnover_analysis", gold.turnover_analysis(summary))
-    replace("overstock_alert", gold.overstock_alert(summary))
+    with ThreadPoolExecutor(2) as pool:
+        made = [pool.submit(replace, "turnover_analysis", gold.turnover_analysis(summary)),
+                pool.submit(replace, "overstock_alert", gold.overstock_alert(summary))]
+    for table in made:
+        table.result()
     return gold_tables(spark, out)
 
 
@@ -106,13 +110,22 @@ def run_pipeline(spark, out, landing=None, max_files=None, watermarks=None):
     """One update: new files through bronze and silver, then the months of gold they touch.
 
     ``watermarks`` maps a silver table to the (column, delay) that bounds its dedupe state.
+    Feeds do not depend on each other, so their streams run side by side: a feed with little to
+    do leaves no core idle.  When one fails, the others finish first; the next update goes on.
     """
     landing = landing or landing_path(spark)
-    for feed in STREAMED:
+
+    def take(feed):
         ingest_bronze(spark, feed, landing, out, max_files)
-    for table in KEYS:
-        refresh_silver(spark, table, out, max_files, watermark=(watermarks or {}).get(table))
-    incremental.update_gold(spark, refresh_items(spark, landing, out), out, max_files)
+        if feed in KEYS:
+            refresh_silver(spark, feed, out, max_files, watermark=(watermarks or {}).get(feed))
+
+    with ThreadPoolExecutor(len(STREAMED) + 1) as pool:
+        items = pool.submit(refresh_items, spark, landing, out)
+        feeds = [pool.submit(take, feed) for feed in STREAMED]
+    for feed in feeds:
+        feed.result()
+    incremental.update_gold(spark, items.result(), out, max_files)
     return gold_tables(spark, out)
 
 
