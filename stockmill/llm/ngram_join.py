@@ -9,9 +9,10 @@ a cluster meet in blocks of bounded size, and a link counts if the Jaccard simil
 full sets reaches the threshold.  Links leave a block as counts and spanning ties, not as
 pairs, so a cluster of many near copies costs no row per pair.
 
+Classes have numbers of their own, so rows that share an id, or have none, link like any others.
 Null, empty and wordless texts have no set: a class of their own each, no links.  Repeated
-rows are copies.  The class name is its smallest document id; a set that only rows
-without an id hold links with nothing.
+rows are copies.  A class or component is named by its smallest document id, which is null where
+no row of it has an id.
 """
 
 import math
@@ -69,7 +70,7 @@ def set_name(codes):
 
 
 def _signatures(docs, n, bands, rows):
-    """doc_id with the name of its set and the band keys; no set, no name."""
+    """doc_id and place with the name of the set and the band keys; no set, no name."""
 
     def prepare():
         def compute(texts):
@@ -83,20 +84,20 @@ def _signatures(docs, n, bands, rows):
         return compute
 
     return with_arrow_columns(docs, [F.col("text")], "name array<bigint>, keys array<bigint>",
-                              prepare, keep=["doc_id"]).select(
-        "row.doc_id", F.col("out.name")[0].alias("h1"), F.col("out.name")[1].alias("h2"),
-        "out.keys")
+                              prepare, keep=["doc_id", "place"]).select(
+        "row.doc_id", "row.place", F.col("out.name")[0].alias("h1"),
+        F.col("out.name")[1].alias("h2"), "out.keys")
 
 
 def _candidate_clusters(classes):
-    """(doc, cluster) of classes that share a band with another one."""
-    banded = stored(classes.select("doc", F.posexplode("keys").alias("band", "key")),
+    """(cls, cluster) of classes that share a band with another one."""
+    banded = stored(classes.select("cls", F.posexplode("keys").alias("band", "key")),
                     "bands")
     buckets = banded.groupBy("band", "key").agg(
-        F.min("doc").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = banded.join(stored(buckets, "buckets"), ["band", "key"]).where("doc <> low").select(
-        F.col("doc").alias("a"), F.col("low").alias("b"))
-    return components(ties).select(F.col("id").alias("doc"), F.col("component").alias("cluster"))
+        F.min("cls").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ties = banded.join(stored(buckets, "buckets"), ["band", "key"]).where("cls <> low").select(
+        F.col("cls").alias("a"), F.col("low").alias("b"))
+    return components(ties).select(F.col("id").alias("cls"), F.col("component").alias("cluster"))
 
 
 def _meetings(members):
@@ -104,10 +105,10 @@ def _meetings(members):
     sizes = members.groupBy("cluster").agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(stored(sizes, "cluster-sizes"), "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        "block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    return placed.select("doc", "cluster", "block", F.explode(others).alias("other")).select(
-        "doc", "cluster", F.least("block", "other").alias("one"),
+    return placed.select("cls", "cluster", "block", F.explode(others).alias("other")).select(
+        "cls", "cluster", F.least("block", "other").alias("one"),
         F.greatest("block", "other").alias("two"),
         (F.col("block") <= F.col("other")).alias("left"))
 
@@ -148,10 +149,10 @@ def smallest_reached(links, names):
 
 def _meet(n, similarity):
     """For each meeting: per class its linked documents and the smallest class it is tied to."""
-    schema = pa.schema([("doc", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
+    schema = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
     def run(table):
-        doc = table.column("doc").to_numpy()
+        cls = table.column("cls").to_numpy()
         block = table.column("block").to_numpy()
         copies = table.column("copies").to_numpy()
         one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
@@ -160,33 +161,32 @@ def _meet(n, similarity):
         if one != two:  # pairs inside one block meet elsewhere
             links &= block[:, None] != block[None]
         np.fill_diagonal(links, False)
-        return pa.table([pa.array(doc), pa.array(links @ copies),
-                         pa.array(smallest_reached(links, doc))], schema=schema)
+        return pa.table([pa.array(cls), pa.array(links @ copies),
+                         pa.array(smallest_reached(links, cls))], schema=schema)
 
     return run
 
 
-def _with_sets(meetings, classes, docs, n):
-    """The sets of the classes that meet, made again from one document of each."""
-    wanted = meetings.select("doc").distinct()
-    chosen = docs.join(stored(wanted, "met-classes").withColumnRenamed("doc", "met"),
-                       F.col("doc_id") == F.col("met")).select("doc_id", "text")
+def _with_sets(meetings, classes, rows, n):
+    """The sets of the classes that meet, made again from one text of each.
+
+    Copies of a text combine before they move, however many rows hold it.
+    """
+    met = meetings.select("cls").distinct()
+    wanted = stored(met.join(classes.select("cls", "place", "h1", "h2", "copies"), "cls"),
+                    "met-classes")
+    texts = rows.where("text IS NOT NULL").groupBy("place").agg(F.any_value("text").alias("text"))
+    chosen = wanted.join(texts, "place")
 
     def prepare():
         def compute(texts):
-            codes = [shingles(word_hashes((t or "").encode())[0], n) for t in texts.to_pylist()]
-            return ([c.tobytes() for c in codes],
-                    [set_name(c) if len(c) else None for c in codes])
+            codes = [shingles(word_hashes(t.encode())[0], n) for t in texts.to_pylist()]
+            return ([c.tobytes() for c in codes],)
 
         return compute
 
-    made = with_arrow_columns(chosen, [F.col("text")], "codes binary, name array<bigint>",
-                              prepare, keep=["doc_id"]).select(
-        F.col("row.doc_id").alias("doc"), F.col("out.name")[0].alias("h1"),
-        F.col("out.name")[1].alias("h2"), "out.codes")
-    # an id may occur with several texts: keep the class's own set, once
-    return made.join(classes.select("doc", "h1", "h2", "copies"), ["doc", "h1", "h2"]
-                     ).dropDuplicates(["doc"])
+    return with_arrow_columns(chosen, [F.col("text")], "codes binary", prepare,
+                              keep=["cls", "copies"]).select("row.*", "out.codes")
 
 
 def similar(docs, n=WORDS, similarity=SIMILARITY, recall=RECALL, text="text", doc_id="doc_id"):
@@ -194,32 +194,39 @@ def similar(docs, n=WORDS, similarity=SIMILARITY, recall=RECALL, text="text", do
     documents at the similarity or more), component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
     bands = bands_for(similarity, recall)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    body = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"),
+                       F.unhex(F.md5(body.cast("binary"))).alias("place"))
     signed = stored(_signatures(rows, n, bands, ROWS), "signatures")
+    # numbers are given once, as the table is written
     classes = stored(signed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("copies"),
-        F.any_value("keys").alias("keys")), "classes")
-    clusters = _candidate_clusters(classes.where("doc IS NOT NULL"))
-    meetings = stored(_meetings(clusters), "meetings")
+        F.min("doc_id").alias("low_id"), F.count("*").alias("copies"),
+        F.any_value("keys").alias("keys"), F.min("place").alias("place")).withColumn(
+        "cls", F.monotonically_increasing_id()), "classes")
+    meetings = stored(_meetings(_candidate_clusters(classes)), "meetings")
     sets = stored(_with_sets(meetings, classes, rows, n), "met-sets")
     free_shuffles(spark)
-    placed = meetings.join(sets, "doc").withColumn(
+    placed = meetings.join(sets, "cls").withColumn(
         "block", F.when(F.col("left"), F.col("one")).otherwise(F.col("two")))
     met = stored(placed.groupBy("cluster", "one", "two").applyInArrow(
-        _meet(n, similarity), "doc bigint, links bigint, low bigint"), "met")
+        _meet(n, similarity), "cls bigint, links bigint, low bigint"), "met")
     free_shuffles(spark)
-    names = components(met.where("low <> doc").select(F.col("doc").alias("a"),
-                                                      F.col("low").alias("b")))
-    counted = met.groupBy("doc").agg(F.sum("links").alias("links"))
+    tied = components(met.where("low <> cls").select(F.col("cls").alias("a"),
+                                                     F.col("low").alias("b")))
+    tied = classes.select(F.col("cls").alias("id"), "low_id").join(tied, "id")
+    names = tied.select("id", "component").join(
+        tied.groupBy("component").agg(F.min("low_id").alias("least_id")), "component").select(
+        F.col("id").alias("cls"), "least_id")
+    counted = met.groupBy("cls").agg(F.sum("links").alias("links"))
     judged = stored(
-        classes.select("h1", "h2", "doc", "copies")
-        .join(counted, "doc", "left").join(names.withColumnRenamed("id", "doc"), "doc", "left")
-        .select("h1", "h2", "doc", (F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
-                .alias("n_links"), F.coalesce("component", "doc").alias("component")), "judged")
+        classes.select("h1", "h2", "cls", "low_id", "copies")
+        .join(counted, "cls", "left").join(names, "cls", "left")
+        .select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "low_id",
+                (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                F.coalesce("least_id", "low_id").alias("component")), "judged")
     named = signed.select("doc_id", "h1", "h2").join(
-        judged.withColumnsRenamed({"h1": "k1", "h2": "k2"}),
-        (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
+        judged, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     return named.select(
-        "doc_id", F.coalesce("doc", "doc_id").alias("class_id"),
+        "doc_id", F.coalesce("low_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component", "doc_id").alias("component_id"))

@@ -91,6 +91,28 @@ def test_ngram_join_of_odd_rows(make_docs, odd_rows, clashing):
     assert ngram_join.similar(make_docs([])).count() == 0
 
 
+def test_classes_do_not_depend_on_ids(make_docs):
+    """Rows that share an id, and rows without one, link as if each had its own."""
+    docs = near_copies(random.Random(11), 60)
+    docs += [(60, docs[7][1]), (61, docs[7][1].upper()), (62, ""), (63, None)]
+    names, counts = brute.similar(docs)
+    shared = ngram_join.similar(make_docs([(d // 8, f"{t or ''}") for d, t in docs])).collect()
+    assert sorted(r.n_links for r in shared) == sorted(counts.values())
+    for low in range(8):
+        want = sorted(min(x // 8 for x in names if names[x] == names[d])
+                      for d, _ in docs if d // 8 == low)
+        assert sorted(r.component_id for r in shared if r.doc_id == low) == want
+    without = ngram_join.similar(make_docs([(None, t) for _, t in docs])).collect()
+    assert sorted(r.n_links for r in without) == sorted(counts.values())
+    assert all(r.class_id is None and r.component_id is None for r in without)
+    half = ngram_join.similar(make_docs([(d if d % 2 else None, t) for d, t in docs])).collect()
+    assert sorted(r.n_links for r in half) == sorted(counts.values())
+    odd = {d: min((x for x in names if x % 2 and names[x] == names[d]), default=None)
+           for d, _ in docs}
+    assert {r.doc_id: r.component_id for r in half if r.doc_id is not None} == {
+        d: c for d, c in odd.items() if d % 2}
+
+
 def test_bands_reach_the_recall():
     bands = ngram_join.bands_for(0.8, 0.9999, 5)
     assert 1 - (1 - 0.8 ** 5) ** bands >= 0.9999 > 1 - (1 - 0.8 ** 5) ** (bands - 1)
