@@ -1,8 +1,11 @@
 """Plain versions of the operators, for small tables."""
 
+import math
 import re
 import string
 
+import zstandard
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -110,3 +113,43 @@ def repeated_spans(docs, window):
                     spans.append([i, i + window])
         out[doc] = spans
     return out
+
+
+def language(text, model, features):
+    """Language and score by asking every machine of the model for this one text."""
+    if not any(c.isalpha() for c in text or "") or not model.families:
+        return "und", 0.0
+    vector, chance = features(text), {}
+    for machine, weights, (slope, offset) in zip(model.machines, model.weights, model.curves):
+        margin = sum(float(w) * float(v) for w, v in zip(weights, vector)) + float(weights[-1])
+        chance[machine] = 1 / (1 + math.exp(-min(30.0, max(-30.0, slope * margin + offset))))
+    family, share = model.families[0], 1.0
+    if len(model.families) > 1:
+        p = {f: chance["family", f[0]] for f in model.families}
+        family = max(p, key=p.get)
+        share = p[family] / (sum(p.values()) or 1.0)
+    won, total = {m: 0 for m in family[1]}, {m: 0.0 for m in family[1]}
+    for (a, b), p in chance.items():
+        if a in won and b in won:
+            won[a if p >= 0.5 else b] += 1
+            total[a] += p
+            total[b] += 1 - p
+    best = sorted(won, key=lambda m: (-won[m], -total[m], m))[0]
+    inner = total[best] / (len(won) - 1) if len(won) > 1 else 1.0
+    return best, min(1.0, max(0.0, share * inner))
+
+
+def quality(text, model, level, block, prior):
+    """Score from fresh compressors for every block of this one text."""
+    data = (text or "").encode()
+
+    def size(dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary)
+        return sum(len(zstandard.ZstdCompressor(
+            level=level, dict_data=held, write_checksum=False, write_content_size=False,
+            write_dict_id=False).compress(data[i:i + block])) for i in range(0, len(data), block))
+
+    slope, short, offset = model.curve
+    z = (slope * (size(model.bad) - size(model.good)) + short * prior) / (
+        len(data) + prior) + offset
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))

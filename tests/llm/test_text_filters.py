@@ -86,6 +86,30 @@ def test_language_of_odd_rows(make_docs, odd_rows, clashing):
             } == {"und"}
 
 
+def test_language_equals_text_by_text(spark, make_docs, odd_rows, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs)
+    odd = [(-i, text) for i, (_, text) in enumerate(odd_rows, 1)]
+    rows = docs.limit(150).unionByName(make_docs(odd).select("doc_id", "text", "lang"))
+    got = language_id.predict(rows, model).collect()
+    assert len(got) == 150 + len(odd)
+    for r in got:
+        name, value = brute.language(r.row.text, model, language_id.features)
+        assert r.out.lang_pred == name and r.out.score == pytest.approx(value, abs=1e-4)
+
+
+def test_quality_equals_text_by_text(spark, make_docs, odd_rows, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    odd = [(-i, text) for i, (_, text) in enumerate(odd_rows, 1)]
+    rows = docs.limit(150).unionByName(make_docs(odd).select("doc_id", "text"))
+    got = quality.score(rows, model).collect()
+    assert len(got) == 150 + len(odd)
+    for r in got:
+        assert r.out.score == pytest.approx(brute.quality(
+            r.row.text, model, quality.LEVEL, quality.BLOCK_BYTES, quality._PRIOR_BYTES), abs=1e-9)
+
+
 def test_quality_held_out_accuracy(spark):
     if not os.path.isdir(BIG):
         pytest.skip("test tables not found")
