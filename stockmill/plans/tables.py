@@ -20,7 +20,7 @@ class Tables:
 
     @cached_property
     def inventory(self):
-        return silver_inventory(self.feeds.raw_inventory)
+        return silver_inventory(self.feeds.inventory_by_item)
 
     @cached_property
     def orders(self):

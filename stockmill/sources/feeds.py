@@ -14,6 +14,8 @@ from stockmill.functions import stock
 QTY_SCALE = 20
 ZERO_QTY_EVERY, NO_DATE_EVERY, NEGATIVE_AMOUNT_EVERY = 97, 89, 83
 REDELIVERED_EVERY = 10
+#: Order lines whose stock rows one task holds: its sorts and groupings stay below 200 MB.
+LINES_PER_TASK = 250_000
 CREATED_AT = "2025-01-01"
 _SAFETY_DAYS = (7, 14, 21)
 _LAST_SAFETY_DAYS = 30
@@ -156,7 +158,8 @@ class Feeds:
         )
 
     @cached_property
-    def raw_inventory(self):
+    def _stock_sums(self):
+        """Quantity per item, location and month's end, before any item join."""
         lines = self.table("lineitem").select(
             "l_partkey", "l_suppkey", "l_quantity",
             F.last_day(F.col("l_shipdate").cast("date")).alias("snapshot_date"),
@@ -166,12 +169,30 @@ class Feeds:
             .groupBy(F.col("l_partkey").alias("item_id"),
                      F.col("n_regionkey").alias("location_id"), "snapshot_date")
             .agg((F.sum("l_quantity") * QTY_SCALE).cast("bigint").alias("inventory_qty"))
-            .join(self.prices, "item_id")
-            .select("item_id", "location_id", "inventory_qty",
-                    stock.line_value("inventory_qty", "unit_price").alias("inventory_value"),
-                    "snapshot_date")
         )
 
+    def _valued(self, sums, prices):
+        return sums.join(prices, "item_id").select(
+            "item_id", "location_id", "inventory_qty",
+            stock.line_value("inventory_qty", "unit_price").alias("inventory_value"),
+            "snapshot_date")
+
+    @cached_property
+    def raw_inventory(self):
+        return self._valued(self._stock_sums, self.prices)
+
+    @cached_property
+    def inventory_by_item(self):
+        """``raw_inventory`` dealt out by item, in more tasks for more order lines.
+
+        The price join, the dedupe and the groupings by item and date all use this one deal, so
+        what a task sorts and groups does not grow with the tables.  Sums come before it: an item
+        that fills a third of the lines has one row per location and month.
+        """
+        tasks = -(-self.table("lineitem").count() // LINES_PER_TASK) or 1
+        return self._valued(self._stock_sums.repartition(tasks, "item_id"),
+                            self.prices.repartition(tasks, "item_id"))
+
     @cached_property
     def redelivered_inventory(self):
         """The inventory rows that arrive a second time."""
