@@ -1,6 +1,7 @@
 """Every query by name: a function of (spark, folder of tables)."""
 
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -738,17 +739,24 @@ def sample_n(t):
 
 # ---- stored actions ------------------------------------------------------------------
 
-def _action_tables(t, alerts=None):
-    """A folder of stored tables that the action tables are made from."""
+def _action_tables(t):
+    """A folder of stored tables that the action tables are made from; its writes do not depend on
+    each other, so they run side by side."""
     out = new_dir(t.spark, "tables")
-    for feed, rows in (("item_master", t.items), ("demand", t.demand)):
-        conform(rows, FEEDS[feed]).write.parquet(f"{out}/bronze/{feed}")
-    as_text = F.col("item_id").cast("string")
-    for name, rows in (("inventory_summary", t.summary), ("overstock_alert", alerts)):
-        if rows is not None:
-            versions.write(rows.withColumn("item_id", as_text), f"{out}/gold/{name}", "month",
-                           layer="gold")
-    stored_actions.store_positions(t.spark, out, t.positions)
+
+    def feed(name, rows):
+        conform(rows, FEEDS[name]).write.parquet(f"{out}/bronze/{name}")
+
+    def summary():
+        versions.write(t.summary.withColumn("item_id", F.col("item_id").cast("string")),
+                       f"{out}/gold/inventory_summary", "month", layer="gold")
+
+    with ThreadPoolExecutor(4) as pool:
+        made = [pool.submit(summary), pool.submit(feed, "item_master", t.items),
+                pool.submit(feed, "demand", t.demand),
+                pool.submit(stored_actions.store_positions, t.spark, out, t.positions)]
+    for table in made:
+        table.result()
     return out
 
 
@@ -782,8 +790,11 @@ def stored_requests(t):
 @query
 def stored_overstock(t):
     """The overstock list, first of early alerts, then of the months that came later too."""
-    alerts = t.alerts.withColumn("item_id", F.col("item_id").cast("string"))
-    out = _action_tables(t, alerts.filter(F.col("month") < SECOND_ARRIVAL))
+    out = _action_tables(t)
+    # of the stored summary, whose rows are computed once; its item ids are text already
+    alerts = gold.overstock_alert(incremental.read_gold(t.spark, out, "inventory_summary"))
+    versions.write(alerts.filter(F.col("month") < SECOND_ARRIVAL), f"{out}/gold/overstock_alert",
+                   "month", layer="gold")
     stored_actions.update_overstock(t.spark, out)
     versions.write(alerts, f"{out}/gold/overstock_alert", "month")
     stored_actions.store_entries(t.spark, out, literals.overstock_entries(t.spark))

@@ -4,7 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from stockmill.operators import gold
 from stockmill.operators.silver import silver_inventory
+from stockmill.plans.registry import QUERIES
 from stockmill.plans.tables import Tables
 from stockmill.sources import feeds
 
@@ -17,6 +19,7 @@ def store(spark, folder, lines):
         .alias("l_partkey"),
         F.when(F.col("id") % 43 != 0, F.col("id") % 5).alias("l_suppkey"),
         F.when(F.col("id") % 47 != 0, (F.col("id") % 50).cast("double")).alias("l_quantity"),
+        F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("l_linestatus"),
         F.when(F.col("id") % 53 != 0, F.date_add(
             F.lit(datetime.date(2000, 1, 1)), (F.col("id") % 700).cast("int"))).alias("l_shipdate"))
     rows.union(rows.where("l_quantity % 10 = 3")).write.parquet(f"{folder}/lineitem.parquet")
@@ -47,3 +50,17 @@ def test_rows_are_those_of_the_feed(spark, fresh):
     want = silver_inventory(tables.feeds.raw_inventory).collect()
     assert want
     assert sorted(tables.inventory.collect(), key=repr) == sorted(want, key=repr)
+
+
+def test_alerts_come_from_the_stored_summary(spark, fresh, monkeypatch):
+    store(spark, fresh, 3_000)
+    read = []
+
+    def alert(summary, make=gold.overstock_alert):
+        read.extend(summary.inputFiles())
+        return make(summary)
+
+    monkeypatch.setattr(gold, "overstock_alert", alert)
+    assert QUERIES["stored_overstock"](spark, fresh).where("source = 'pipeline'").count() > 0
+    assert read
+    assert all("/gold/inventory_summary/" in f for f in read)
