@@ -6,6 +6,8 @@ are then made from the sums.  A month's gold notes the folder of sums it was mad
 that is cut short is finished by the next one, and no batch counts twice.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from stockmill.functions import stock
@@ -79,24 +81,27 @@ def update_gold(spark, items, out, max_files=None):
         F.xxhash64(*gold.ITEM_COLUMNS).cast("decimal(38,0)")).cast("string").alias("h")).first()
     made_of = {part: f"{p['folder']} {seen.n} {seen.h}" for part, p in sums["parts"].items()}
     path = f"{out}/gold/inventory_summary"
-    steps = (
-        ("inventory_summary", lambda parts: summary_of(
-            versions.read(spark, sums_path, parts=parts), items)),
-        ("turnover_analysis", lambda parts: gold.turnover_analysis(
-            versions.read(spark, path, parts=parts))),
-        ("overstock_alert", lambda parts: gold.overstock_alert(
-            versions.read(spark, path, parts=parts))),
-    )
-    changed = set()
-    for name, make in steps:
+
+    def bring(name, make):
+        """Make the parts of one gold table anew whose sums or items have changed."""
         base = versions.manifest(spark, f"{out}/gold/{name}")
         done = base["notes"].get("made_of", {})
         parts = [p for p in made_of if done.get(p) != made_of[p]]
         if parts or not base["version"]:
-            changed.update(parts)
             versions.write(make(parts) if sums["version"] else make_empty(spark, items, name),
                            f"{out}/gold/{name}", "month", parts, base, "gold",
                            notes={"made_of": made_of})
+        return parts
+
+    changed = set(bring("inventory_summary", lambda parts: summary_of(
+        versions.read(spark, sums_path, parts=parts), items)))
+    with ThreadPoolExecutor(2) as pool:  # both read the stored summary only
+        made = [pool.submit(bring, "turnover_analysis", lambda parts: gold.turnover_analysis(
+                    versions.read(spark, path, parts=parts))),
+                pool.submit(bring, "overstock_alert", lambda parts: gold.overstock_alert(
+                    versions.read(spark, path, parts=parts)))]
+    for table in made:
+        changed.update(table.result())
     return sorted(changed)
 
 

@@ -1,13 +1,16 @@
 """Stock is worked on in tasks that do not grow with the tables."""
 
 import datetime
+import threading
 
 from pyspark.sql import functions as F
 
 from stockmill.operators import gold
 from stockmill.operators.silver import silver_inventory
+from stockmill.plans import incremental
 from stockmill.plans.registry import QUERIES
 from stockmill.plans.tables import Tables
+from stockmill.schemas import FEEDS, conform
 from stockmill.sources import feeds
 
 
@@ -64,3 +67,20 @@ def test_alerts_come_from_the_stored_summary(spark, fresh, monkeypatch):
     assert QUERIES["stored_overstock"](spark, fresh).where("source = 'pipeline'").count() > 0
     assert read
     assert all("/gold/inventory_summary/" in f for f in read)
+
+
+def test_analysis_and_alerts_are_made_side_by_side(spark, fresh, monkeypatch):
+    tables, out = store(spark, f"{fresh}/in", 1_000), f"{fresh}/out"
+    conform(tables.inventory, FEEDS["inventory"]).write.parquet(f"{out}/silver/inventory")
+    items = conform(tables.items, FEEDS["item_master"])
+    both = threading.Barrier(2, timeout=60)
+    for name in ("turnover_analysis", "overstock_alert"):
+        monkeypatch.setattr(gold, name, lambda summary, make=getattr(gold, name): (
+            both.wait(), make(summary))[1])
+    changed = incremental.update_gold(spark, items, out)
+    monkeypatch.undo()
+    assert changed
+    for name in ("turnover_analysis", "overstock_alert"):
+        want = getattr(gold, name)(incremental.read_gold(spark, out, "inventory_summary"))
+        found = incremental.read_gold(spark, out, name)
+        assert found.count() == want.count() > 0
