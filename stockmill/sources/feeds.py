@@ -14,7 +14,7 @@ from stockmill.functions import stock
 QTY_SCALE = 20
 ZERO_QTY_EVERY, NO_DATE_EVERY, NEGATIVE_AMOUNT_EVERY = 97, 89, 83
 REDELIVERED_EVERY = 10
-#: Order lines whose stock rows one task holds: its sorts and groupings stay below 200 MB.
+#: Order lines whose stock rows one task holds, on average.
 LINES_PER_TASK = 250_000
 CREATED_AT = "2025-01-01"
 _SAFETY_DAYS = (7, 14, 21)
