@@ -26,14 +26,22 @@ def numbered(ids, column="item_id"):
 
 def item_bitmaps(summary, numbers, min_days=rules.KPI_DAYS,
                  max_turnover=rules.OVERSTOCK_TURNOVER):
-    """Bitmaps and value per month, category and whether stock is held too long."""
+    """Bitmaps and value per month, category and whether stock is held too long.
+
+    Rows move to their group before bitmaps are made: a task upstream holds a few items of every
+    bitmap, so bitmaps combined there would be 4 KB for a handful of rows each.  A group holds
+    one row per item, 32,768 at most.
+    """
     number = F.col("item_number")
     long_held = F.coalesce((F.col("turnover_rate") < max_turnover)
                            & (F.col("days_on_hand") >= min_days), F.lit(False))
-    return summary.join(numbers, "item_id").groupBy(
+    group = ["month", "category", "long_held", "bucket"]
+    return summary.join(numbers, "item_id").select(
         "month", "category", long_held.alias("long_held"),
-        F.bitmap_bucket_number(number).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("items"),
+        F.bitmap_bucket_number(number).alias("bucket"),
+        F.bitmap_bit_position(number).alias("position"), "avg_inventory_value",
+    ).repartition(*group).groupBy(*group).agg(
+        F.bitmap_construct_agg("position").alias("items"),
         F.sum("avg_inventory_value").alias("total_value"))
 
 

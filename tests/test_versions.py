@@ -174,6 +174,18 @@ def test_a_batch_that_runs_again_counts_once(spark, fresh):
     assert [(r.qty_sum, r.qty_count) for r in versions.read(spark, fresh).collect()] == [(20, 2)]
 
 
+def test_bitmaps_do_not_move_before_they_are_whole(spark):
+    items = items_of(spark, 100)
+    summary = items.select(
+        "item_id", "category", F.date_add(F.lit("2025-01-01").cast("date"), F.length("item_id")
+                                          ).alias("month"), F.lit(1.0).alias("turnover_rate"),
+        F.hash("item_id").alias("days_on_hand"), F.lit(2.0).alias("avg_inventory_value"))
+    bitmaps = distinct.item_bitmaps(summary.repartition(16, "item_id"), distinct.numbered(items))
+    plan = bitmaps._jdf.queryExecution().executedPlan().toString()
+    whole, part = (plan.index(f"[{p}bitmap_construct_agg") for p in ("", "partial_"))
+    assert "Exchange" not in plan[whole:part], plan
+
+
 def test_bitmaps_equal_count_distinct(spark):
     items = items_of(spark, 70_000)  # three bitmaps
     summary = items.crossJoin(spark.range(3)).where("hash(item_id, id) % 3 <> 0").select(
