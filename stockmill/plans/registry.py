@@ -9,6 +9,7 @@ from stockmill.functions import stock, text
 from stockmill.operators import (
     actions, analytics, datagen, distinct, gold, marts, quality, report, sinks, skew, versions,
 )
+from stockmill.operators.colocated import bucket_count
 from stockmill.operators.dedupe import KEYS, dedupe
 from stockmill.operators.silver import typed
 from stockmill.plans import colocated, incremental, medallion, stored_actions
@@ -22,6 +23,7 @@ REQUEST_DATE = "2025-01-01"
 SECOND_ARRIVAL = "2000-01-01"
 LATE_FROM = "2001-06-01"
 SAMPLE_ROWS, SAMPLE_SEED = 350, 42
+MIN_BUCKETS = 8
 
 QUERIES = {}
 
@@ -823,11 +825,17 @@ def _sums(t):
     return incremental.month_sums(t.inventory)
 
 
+def _buckets(t):
+    """Buckets of the monthly tables, which have a row per order line at most."""
+    return max(MIN_BUCKETS, bucket_count(t.feeds.line_count))
+
+
 @query
 def colocated_summary(t):
     """``inventory_summary`` by a join of sums and items that lie in the same buckets."""
     return _summary_rounded(_bucketed(
-        t, lambda database, path: colocated.store_sums(_sums(t), t.items, database, path, 8),
+        t, lambda database, path: colocated.store_sums(
+            _sums(t), t.items, database, path, _buckets(t)),
         colocated.inventory_summary))
 
 
@@ -835,7 +843,8 @@ def colocated_summary(t):
 def colocated_item_turnover(t):
     """Means per item over its months: join and grouping use the same buckets."""
     return rounded(_bucketed(
-        t, lambda database, path: colocated.store_sums(_sums(t), t.items, database, path, 8),
+        t, lambda database, path: colocated.store_sums(
+            _sums(t), t.items, database, path, _buckets(t)),
         colocated.turnover_by_item), 8, "avg_turnover_rate").withColumn(
         "avg_inventory_value", F.round("avg_inventory_value", 2))
 
@@ -845,7 +854,7 @@ def colocated_demand_gap(t):
     """``demand_gap_with_value`` by a join of demand and summary in the same buckets."""
     return rounded(_bucketed(
         t, lambda database, path: colocated.store_summary(
-            t.summary, t.demand, database, path, 8),
+            t.summary, t.demand, database, path, _buckets(t)),
         colocated.demand_gap_with_value), 2, "inventory_value")
 
 

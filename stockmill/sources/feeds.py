@@ -181,6 +181,11 @@ class Feeds:
     def raw_inventory(self):
         return self._valued(self._stock_sums, self.prices)
 
+    @cached_property
+    def line_count(self):
+        """Number of order lines, from the file footers."""
+        return self.table("lineitem").count()
+
     @cached_property
     def inventory_by_item(self):
         """``raw_inventory`` dealt out by item, in more tasks for more order lines.
@@ -189,7 +194,7 @@ class Feeds:
         what a task sorts and groups does not grow with the tables.  Sums come before it: an item
         that fills a third of the lines has one row per location and month.
         """
-        tasks = -(-self.table("lineitem").count() // LINES_PER_TASK) or 1
+        tasks = -(-self.line_count // LINES_PER_TASK) or 1
         return self._valued(self._stock_sums.repartition(tasks, "item_id"),
                             self.prices.repartition(tasks, "item_id"))
 

@@ -3,9 +3,10 @@
 import datetime
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
-from stockmill.operators import gold
+from stockmill.operators import colocated as buckets, gold
 from stockmill.operators.silver import silver_inventory
 from stockmill.plans import incremental
 from stockmill.plans.registry import QUERIES
@@ -48,6 +49,20 @@ def test_tasks_do_not_grow_with_the_tables(spark, fresh, monkeypatch):
     assert many <= 800
 
 
+@pytest.mark.parametrize("name", [
+    "colocated_summary", "colocated_item_turnover", "colocated_demand_gap"])
+def test_buckets_do_not_grow_with_the_tables(spark, fresh, monkeypatch, name):
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", 500)
+    made = []
+    monkeypatch.setattr(buckets, "write", lambda df, table, path, by, count, write=buckets.write: (
+        made.append(buckets.largest_bucket(df, by, count).first().largest),
+        write(df, table, path, by, count))[1])
+    store(spark, fresh, 16_000)
+    assert QUERIES[name](spark, fresh).count() > 0
+    assert len(made) == 2
+    assert max(made) <= 1_000
+
+
 def test_rows_are_those_of_the_feed(spark, fresh):
     tables = store(spark, fresh, 3_000)
     want = silver_inventory(tables.feeds.raw_inventory).collect()
