@@ -47,6 +47,22 @@ def test_odd_part_names_and_empty_tables(spark, fresh):
     assert versions.read(spark, fresh).count() == 0 and versions.row_count(spark, fresh) == 0
 
 
+@pytest.mark.parametrize("part", ["2025-03-01", "a b", "x}y", "k=v:[1]", "50%", "é", None])
+def test_a_part_written_alone_is_read_by_name(spark, fresh, part):
+    rows = spark.createDataFrame([("0", 1), ("1", 2)], "part string, id int")
+    versions.write(rows, fresh, "part")
+    versions.write(spark.createDataFrame([(part, 3)], "part string, id int"), fresh, "part",
+                   touched=["1"])
+    name = part or "none"
+    assert sorted(versions.manifest(spark, fresh)["parts"]) == sorted(["0", name])
+    alone = versions.read(spark, fresh, parts=[name])
+    assert [(r.part, r.id) for r in alone.collect()] == [(part, 3)]
+    roots = versions._roots(versions.manifest(spark, fresh)["parts"].values())
+    assert [r.rsplit("=", 1)[-1] for r in roots if "_part=0" not in r] == [
+        versions._escaped(name).rsplit("=", 1)[-1]]
+    assert ids(versions.read(spark, fresh)) == [1, 3]
+
+
 def test_one_of_two_writers_wins(spark, fresh):
     versions.write(spark.range(3), fresh)
     base = versions.manifest(spark, fresh)
