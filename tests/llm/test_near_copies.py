@@ -181,6 +181,40 @@ def test_repeated_passages_of_odd_rows(make_docs, odd_rows, clashing):
     assert suffix_dedup.dedupe(make_docs([])).count() == 0
 
 
+def test_one_crowded_core_goes_to_many_tasks(make_docs, monkeypatch):
+    """A passage among 1,200 different surroundings, some of them equal for a window."""
+    rng = random.Random(15)
+
+    def some(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    far, near, passage = "abcdefghijklm", "no", some("pqrst", 17)
+    docs = [(d, some(far, 16) + some(near, 4) + passage + some(near, 4) + some(far, 16))
+            for d in range(1200)]
+    docs += [(1200, docs[4][1]), (1201, passage), (1202, docs[5][1][8:50])]
+    kept, stored = {}, suffix_dedup.stored
+
+    def seen(df, label):
+        held = stored(df, label)
+        kept.setdefault(label, []).append(held)
+        return held
+
+    monkeypatch.setattr(suffix_dedup, "stored", seen)
+    got = {r.row.doc_id: r.out for r in suffix_dedup.dedupe(
+        make_docs(docs), window=24, core=8).collect()}
+    kinds = [r.kinds for r in kept["mixed-cores"][0].collect()]
+    most = max(suffix_dedup.LEAST, sum(kinds) // 4)
+    assert max(kinds) > most
+    rounds = [r.groupBy("core", "kinds").agg({"low": "count", "context": "count"}).toDF(
+        "core", "kinds", "rows", "contexts").collect() for r in kept["piece-rest"]]
+    assert all(r.rows == r.kinds for found in rounds for r in found)  # copies do not go on
+    assert any(r.contexts < r.rows for found in rounds for r in found)
+    assert not any(r.kinds > most for r in rounds[-1])
+    want = brute.repeated_spans(docs, 24)
+    assert {d: [list(s) for s in o.spans] for d, o in got.items()} == want
+    assert 0 < sum(map(bool, want.values())) < len(want)
+
+
 def clumps(rng, sizes, inside=0.99, across=0.93, dims=64):
     """Tight clumps of distinct vectors, in pairs whose centres are apart by ``across``."""
     rows = []
