@@ -890,13 +890,17 @@ def stream_dedupe(t):
 def stream_least_copy(t):
     """Differing copies in either order of arrival; the stream keeps the least, as batch does."""
     root, out = new_dir(t.spark, "landing"), new_dir(t.spark, "tables")
-    rows = t.feeds.raw_inventory
-    late = F.pmod(F.xxhash64("location_id", "snapshot_date"), F.lit(2)) == 0
-    more = rows.withColumn("inventory_qty", F.col("inventory_qty") + 5)
+    late = F.pmod(F.xxhash64("location_id", "snapshot_date"), F.lit(2)) == 0  # never NULL
+
+    def copies(more):
+        """All rows, with a greater quantity where ``more`` holds."""
+        qty = F.col("inventory_qty")
+        return t.feeds.raw_inventory.withColumn(
+            "inventory_qty", F.when(more, qty + 5).otherwise(qty))
+
     end = t.spark.createDataFrame(
         [(None, None, 0, 0.0, datetime.date(2200, 1, 1))], FEEDS["inventory"])
-    for part in (rows.filter(late).unionByName(more.filter(~late)),
-                 rows.filter(~late).unionByName(more.filter(late)), end):
+    for part in (copies(~late), copies(late), end):
         landing.land(part, root, "inventory")
         medallion.ingest_bronze(t.spark, "inventory", root, out)
         bronze = streams.read_table_stream(t.spark, f"{out}/bronze/inventory", FEEDS["inventory"])

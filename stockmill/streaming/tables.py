@@ -16,7 +16,7 @@ from stockmill.operators.dedupe import KEYS
 from stockmill.operators.quality import EXPECTATIONS, FAIL, apply_expectations
 from stockmill.operators.silver import typed
 from stockmill.schemas import FEEDS
-from stockmill.session import exists, folders, names, new_dir
+from stockmill.session import exists, folders, keep_state_on_disk, names, new_dir
 from stockmill.sources.landing import (
     FILES_AT_ONCE, feed_path, first_lines, note_headers, parse_lines, read_files,
 )
@@ -64,6 +64,7 @@ def read_table_stream(spark, path, schema, max_files=None, batch_bytes=BATCH_BYT
 
 def write_streaming_table(df, path, checkpoint):
     """Append a stream to a Parquet table and wait until all arrived files are in."""
+    keep_state_on_disk(df.sparkSession)
     query = (
         df.writeStream.format("parquet")
         .outputMode("append")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stockmill.operators.silver import silver_inventory
 from stockmill.plans import generate, medallion
 from stockmill.schemas import FEEDS
+from stockmill.session import STATE_SETTINGS
 from stockmill.sources import landing
 from stockmill.streaming import tables
 
@@ -222,3 +223,51 @@ def test_late_files_with_old_times_are_taken(spark, fresh, seconds):
     got = spark.read.parquet(f"{out}/bronze/inventory").collect()
     assert sorted((r.item_id, r.inventory_qty) for r in got) == [("i0", 5), ("i1", 5)]
     assert spark.read.parquet(f"{out}/checkpoints/headers_inventory").count() == 2
+
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+ON_HEAP = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def plain_session(spark):
+    """A session that has chosen nothing about state."""
+    plain = spark.newSession()
+    for key in STATE_SETTINGS:
+        plain.conf.unset(key)
+    return plain
+
+
+def keep_new(session, path):
+    """The keys that a deduplicating stream has let through, and whether its state is on disk."""
+    stream = tables.read_table_stream(session, f"{path}/in", "k bigint, day date")
+    query = tables.write_streaming_table(
+        tables.dedupe_stream(stream, ["k"]), f"{path}/t", f"{path}/c")
+    metrics = query.lastProgress.stateOperators[0].customMetrics
+    return (sorted(r.k for r in session.read.parquet(f"{path}/t").collect()),
+            any(m.startswith("rocksdb") for m in metrics))
+
+
+def test_state_lies_on_disk_in_any_session(spark, fresh):
+    spark.range(50).selectExpr("id AS k", "current_date() AS day").write.parquet(f"{fresh}/in")
+    plain = plain_session(spark)
+    assert keep_new(plain, fresh) == (list(range(50)), True)
+    assert {k: plain.conf.get(k) for k in STATE_SETTINGS} == STATE_SETTINGS
+    least = tables.write_streaming_table(tables.dedupe_least(tables.read_table_stream(
+        plain_session(spark), f"{fresh}/in", "k bigint, day date"), ["k", "day"], "day", "9 days"),
+        f"{fresh}/least", f"{fresh}/least_c")
+    assert "rocksdbGetCount" in least.lastProgress.stateOperators[0].customMetrics
+
+
+@pytest.mark.parametrize("key, value, on_disk", [(PROVIDER, ON_HEAP, False),
+                                                 (CHANGELOG, "true", True)])
+def test_old_checkpoints_and_own_choices_hold(spark, fresh, key, value, on_disk):
+    """What a session chose holds; its checkpoint goes on where a later session chose nothing."""
+    rows = spark.range(50).selectExpr("id AS k", "current_date() AS day")
+    rows.write.parquet(f"{fresh}/in")
+    first = plain_session(spark)
+    first.conf.set(key, value)
+    assert keep_new(first, fresh) == (list(range(50)), on_disk)
+    assert first.conf.get(key) == value
+    rows.selectExpr("k + 25 AS k", "day").write.mode("append").parquet(f"{fresh}/in")
+    assert keep_new(plain_session(spark), fresh) == (list(range(75)), on_disk)
