@@ -55,15 +55,14 @@ def add_batch(batch, number, path):
     base = versions.manifest(spark, path)
     if base["notes"].get("batch", -1) >= number:
         return
-    more = month_sums(batch).persist()
-    try:
-        months = [r.month for r in more.select(F.col("month").cast("string")).distinct().collect()]
-        touched = ["none" if m is None else m for m in months]
-        held = [m for m in touched if m in base["parts"]]
-        sums = merged(versions.read(spark, path, parts=held), more) if held else more
-        versions.write(sums, path, "month", touched, base, "gold", notes={"batch": number})
-    finally:
-        more.unpersist()
+    # the months come from one column of the batch's files: the sums are made once and kept nowhere
+    months = [r.month for r in batch.select(
+        stock.month_key("snapshot_date").cast("string").alias("month")).distinct().collect()]
+    touched = ["none" if m is None else m for m in months]
+    held = [m for m in touched if m in base["parts"]]
+    more = month_sums(batch)
+    sums = merged(versions.read(spark, path, parts=held), more) if held else more
+    versions.write(sums, path, "month", touched, base, "gold", notes={"batch": number})
 
 
 def update_gold(spark, items, out, max_files=None):

@@ -2,6 +2,7 @@
 
 import random
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,27 @@ def test_a_batch_that_runs_again_counts_once(spark, fresh):
     assert [(r.qty_sum, r.qty_count) for r in versions.read(spark, fresh).collect()] == [(20, 2)]
 
 
+def test_sums_of_a_batch_are_not_kept(spark, fresh, monkeypatch):
+    """Sums go to the table as they are made; months, also a missing one, come from the rows."""
+    kept, write = [], versions.write
+    jvm = spark._jsc.sc()
+
+    def watched(*args, **options):
+        kept.append(jvm.getPersistentRDDs().size() - before)
+        return write(*args, **options)
+
+    monkeypatch.setattr(versions, "write", watched)
+    for number in (0, 1):
+        rows = spark.createDataFrame(
+            [("a", "w", 4 + number, 1.0, None), ("a", "w", 2, 1.0, date(2025, 1 + number, 28))],
+            FEEDS["inventory"])
+        before = jvm.getPersistentRDDs().size()
+        incremental.add_batch(rows, number, fresh)
+    assert kept == [0, 0]
+    got = {str(r.month): (r.qty_count, r.qty_sum) for r in versions.read(spark, fresh).collect()}
+    assert got == {"None": (2, 9), "2025-01-01": (1, 2), "2025-02-01": (1, 2)}
+
+
 def test_bitmaps_do_not_move_before_they_are_whole(spark):
     items = items_of(spark, 100)
     summary = items.select(
